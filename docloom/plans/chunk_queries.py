@@ -326,7 +326,7 @@ def store_sharded_records(db):
     )
 
 
-def _type_sql(x: str, types) -> str:
+def type_sql(x: str, types) -> str:
     cases = " ".join(f"WHEN {q.has_any(x, words)} THEN '{name}'" for name, words in types)
     return f"CASE {cases} ELSE 'general' END"
 
@@ -337,8 +337,8 @@ FIXTURE_TYPES = [("technical", ["thor", "heit "]), ("academic", ["leau", "ness"]
 
 @query(
     f"""
-    SELECT doc_id, {_type_sql('lower(text)', rules.DOCUMENT_TYPES)} AS default_type,
-           {_type_sql('lower(text)', FIXTURE_TYPES)} AS fixture_type FROM documents
+    SELECT doc_id, {type_sql('lower(text)', rules.DOCUMENT_TYPES)} AS default_type,
+           {type_sql('lower(text)', FIXTURE_TYPES)} AS fixture_type FROM documents
     """
 )
 def document_types(db):

@@ -7,6 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.session import spread
+
+
+# Tables whose rows are whole texts: worth spreading when they come as one small file.
+TEXT_TABLES = {"documents", "pages"}
+
 
 class Tables:
     """The given Parquet tables of one folder, read on first use."""
@@ -15,7 +21,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
 
 @dataclass(frozen=True)

@@ -54,3 +54,12 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """The rows of ``df`` if there are at most ``limit``, else None."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores if it has fewer partitions than the cluster has cores.
+
+    Large tables already come in enough partitions and are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
