@@ -56,21 +56,24 @@ def analyze_query(query: Column, lemmas: Column | None = None) -> Column:
 def methods_mentioned(text: Column) -> Column:
     """Names called as ``name()``, lower case, in order of appearance."""
     found = F.regexp_extract_all(text, F.lit(t.java(rules.CALL_PATTERN)), F.lit(1))
-    return F.transform(found, F.lower)
+    # Most texts hold no bracket at all and need no pattern scan.
+    return F.when(text.contains("("), F.transform(found, F.lower)).otherwise(t.literals([]))
 
 
-def technical_concepts(query: Column) -> Column:
-    """Concepts, related terms and technical terms that occur in the query, sorted."""
-    low = F.lower(query)
-    names: list[str] = []
+def concept_names() -> list[str]:
+    names = {*rules.TECHNICAL_TERMS}
     for concept, related in rules.CONCEPTS.items():
-        names += [concept, *related]
-    names = sorted({*names, *rules.TECHNICAL_TERMS})
-    return F.filter(t.literals(names), lambda n: low.contains(F.lower(n)))
+        names |= {concept, *related}
+    return sorted(names)
 
 
-def programming_language(query: Column, languages=rules.LANGUAGE_WORDS) -> Column:
-    low = F.lower(query)
+def technical_concepts(low: Column, names: list[str] | None = None) -> Column:
+    """Concepts, related terms and technical terms in a lower-case query, sorted."""
+    return F.filter(t.literals(names or concept_names()), lambda n: low.contains(F.lower(n)))
+
+
+def programming_language(low: Column, languages=rules.LANGUAGE_WORDS) -> Column:
+    """The first language with a word in a lower-case query."""
     out = F.lit(None).cast("string")
     for name, needles in reversed(languages):
         out = F.when(t.contains_any(low, needles), F.lit(name)).otherwise(out)
@@ -80,62 +83,70 @@ def programming_language(query: Column, languages=rules.LANGUAGE_WORDS) -> Colum
 def _score(low: Column, patterns: list[str], keywords: list[str]) -> Column:
     hits = F.lit(0.0)
     for pattern in patterns:
-        hits = hits + F.when(low.rlike("(?i)" + t.java(pattern)), rules.PATTERN_WEIGHT).otherwise(0.0)
-    found = F.lit(0)
-    for keyword in keywords:
-        found = found + low.contains(keyword).cast("int")
+        hit = low.rlike("(?i)" + t.java(pattern))
+        if r"\(\)" in pattern:
+            hit = low.contains("()") & hit
+        hits = hits + F.when(hit, rules.PATTERN_WEIGHT).otherwise(0.0)
+    found = F.size(F.filter(t.literals(keywords), lambda k: low.contains(k)))
     return hits + found / F.lit(len(keywords)) * rules.KEYWORD_WEIGHT
 
 
+_RULE = "array<struct<name:string,precise:boolean,route:string>>"
+
+
+def best_rule(low: Column, query_rules=rules.QUERY_RULES) -> Column:
+    """The best scoring query type; a later type wins only with a higher score."""
+    facts = t.table([{"name": n, "precise": p, "route": r} for n, _, _, p, r in query_rules], _RULE)
+    scores = F.array(*[_score(low, patterns, keywords) for _, patterns, keywords, _, _ in query_rules])
+    scored = F.zip_with(scores, facts, lambda s, f: F.struct(s.alias("score"), f.alias("rule")))
+    nothing = F.struct(F.lit(0.0).alias("score"), F.lit(None).cast(_RULE[6:-1]).alias("rule"))
+    return F.aggregate(scored, nothing, lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
+
+
 def classify_query(query: Column, query_rules=rules.QUERY_RULES) -> Column:
     """The nine-field classification of a query as one struct column."""
-    low = t.strip(F.lower(query))
 
-    def build(state: Column) -> Column:
-        methods, concepts, best = state["methods"], state["concepts"], state["best"]
-        kind, score = best["name"], best["score"]
-        technical = (
-            (F.size(methods) > 0) | (F.size(concepts) > 0) | t.contains_any(low, rules.PROGRAMMING_WORDS)
-        )
-        none = t.literals([])
+    def facts(low: Column) -> Column:
+        methods = F.array_sort(F.array_distinct(methods_mentioned(query)))
+        concepts = technical_concepts(low)
         return F.struct(
-            F.when(technical, "technical").otherwise("general").alias("type"),
-            F.when(technical, kind).alias("subtype"),
-            F.when(technical, programming_language(query)).alias("programming_language"),
-            F.when(technical, methods).otherwise(none).alias("methods_mentioned"),
-            F.when(technical, concepts).otherwise(none).alias("technical_concepts"),
-            (technical & F.coalesce(best["precise"], F.lit(False))).alias("requires_precision"),
-            F.when(technical, score).otherwise(0.0).alias("confidence"),
-            F.when(technical, F.coalesce(best["route"], F.lit("standard_retrieval")))
-            .otherwise("standard")
-            .alias("routing_strategy"),
-            F.when(technical, special_processing(kind, methods)).otherwise(none).alias("specialized_processing"),
+            low.alias("low"),
+            methods.alias("methods"),
+            concepts.alias("concepts"),
+            t.contains_any(low, rules.PROGRAMMING_WORDS).alias("worded"),
+            best_rule(t.strip(low), query_rules).alias("best"),
         )
 
-    scored = F.array(
-        *[
+    def build(s: Column) -> Column:
+        methods, rule = s["methods"], s["best"]["rule"]
+        return F.when(
+            (F.size(methods) > 0) | (F.size(s["concepts"]) > 0) | s["worded"],
             F.struct(
-                _score(low, patterns, keywords).alias("score"),
-                F.lit(name).alias("name"),
-                F.lit(precise).alias("precise"),
-                F.lit(route).alias("route"),
+                F.lit("technical").alias("type"),
+                rule["name"].alias("subtype"),
+                programming_language(s["low"]).alias("programming_language"),
+                methods.alias("methods_mentioned"),
+                s["concepts"].alias("technical_concepts"),
+                F.coalesce(rule["precise"], F.lit(False)).alias("requires_precision"),
+                s["best"]["score"].alias("confidence"),
+                F.coalesce(rule["route"], F.lit("standard_retrieval")).alias("routing_strategy"),
+                special_processing(rule["name"], methods).alias("specialized_processing"),
+            ),
+        ).otherwise(
+            F.struct(
+                F.lit("general").alias("type"),
+                F.lit(None).cast("string").alias("subtype"),
+                F.lit(None).cast("string").alias("programming_language"),
+                t.literals([]).alias("methods_mentioned"),
+                t.literals([]).alias("technical_concepts"),
+                F.lit(False).alias("requires_precision"),
+                F.lit(0.0).alias("confidence"),
+                F.lit("standard").alias("routing_strategy"),
+                t.literals([]).alias("specialized_processing"),
             )
-            for name, patterns, keywords, precise, route in query_rules
-        ]
-    )
-    nothing = F.struct(
-        F.lit(0.0).alias("score"),
-        F.lit(None).cast("string").alias("name"),
-        F.lit(None).cast("boolean").alias("precise"),
-        F.lit(None).cast("string").alias("route"),
-    )
-    # A later type wins only with a higher score.
-    best = F.aggregate(scored, nothing, lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
-    methods = F.array_sort(F.array_distinct(methods_mentioned(query)))
-    state = F.struct(
-        methods.alias("methods"), technical_concepts(query).alias("concepts"), best.alias("best")
-    )
-    return t.let(state, build)
+        )
+
+    return t.let(t.let(F.lower(query), facts), build)
 
 
 def special_processing(kind: Column, methods: Column) -> Column:
@@ -156,15 +167,14 @@ def special_processing(kind: Column, methods: Column) -> Column:
 def technical_variants(query: Column, classification: Column) -> Column:
     """Search variants of a technical query, the query itself first, at most four."""
     methods = classification["methods_mentioned"]
-    related = F.lit(None).cast("array<string>")
-    facts = {name: rules.CONCEPTS[name][:2] for name in rules.THREADING_CONCEPTS}
+    facts = t.table(
+        [{"m": n.removesuffix("()").lower(), "c": rules.CONCEPTS[n][:2]} for n in rules.THREADING_CONCEPTS],
+        "array<struct<m:string,c:array<string>>>",
+    )
 
     def for_method(m: Column) -> Column:
-        out = related
-        for name, terms in facts.items():
-            key = name.removesuffix("()").lower()
-            out = F.when(m == key, F.array(*[F.concat(query, F.lit(f" {x}")) for x in terms])).otherwise(out)
-        return F.coalesce(out, t.literals([]))
+        known = F.flatten(F.transform(F.filter(facts, lambda f: f["m"] == m), lambda f: f["c"]))
+        return F.transform(known, lambda c: F.concat_ws(" ", query, c))
 
     language = classification["programming_language"]
     comparing = (classification["subtype"] == "method_comparison") & (F.size(methods) >= 2)

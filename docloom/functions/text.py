@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -88,16 +89,20 @@ def any_match(text: Column, patterns: list[str], ignore_case: bool = True) -> Co
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:
-    hit = F.lit(False)
-    for needle in needles:
-        hit = hit | text.contains(needle)
-    return hit
+    """True if one of the literal needles occurs; one pass over the text."""
+    if not needles:
+        return F.lit(False)
+    return text.rlike("|".join(r"\Q" + n + r"\E" for n in needles))
 
 
 def literals(values: list[str]) -> Column:
-    if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    """A constant ``array<string>``."""
+    return table(values, "array<string>")
+
+
+def table(rows: list, schema: str) -> Column:
+    """Rule rows as one constant array; folded once when the plan is made."""
+    return F.from_json(F.lit(json.dumps(rows)), schema)
 
 
 def jaccard(left: Column, right: Column) -> Column:

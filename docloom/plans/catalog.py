@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from docloom.plans import chunk_queries, search_queries  # noqa: F401
+from docloom.plans import chunk_queries, rule_queries, search_queries  # noqa: F401
 from docloom.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
