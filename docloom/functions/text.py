@@ -148,14 +148,16 @@ def counts(items: Column) -> Column:
     return let(F.array_sort(items), stretches)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """All matches of a Java pattern as ``array<struct<text, start, end>>``.
 
     Positions are code points from 0. They follow from the lengths of the pieces
     between the matches, so no text is scanned twice for each match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return placed(F.split(text, pattern, -1), found)
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return let(
+        F.regexp_extract_all(text, regex, F.lit(0)), lambda found: placed(F.split(text, regex, -1), found)
+    )
 
 
 def placed(gaps: Column, found: Column) -> Column:
