@@ -107,7 +107,7 @@ def classify_query(query: Column, query_rules=rules.QUERY_RULES) -> Column:
     """The nine-field classification of a query as one struct column."""
 
     def facts(low: Column) -> Column:
-        methods = F.array_sort(F.array_distinct(methods_mentioned(query)))
+        methods = F.sort_array(F.array_distinct(methods_mentioned(query)))
         concepts = technical_concepts(low)
         return F.struct(
             low.alias("low"),

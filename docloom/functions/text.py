@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Inside of a character class: word characters and white space as Python's str sees them.
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\p{Z}\t-\r\x{1c}-\x{1f}\x{85}"
 SPACE_CHARS = "".join(
     map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
@@ -145,7 +145,7 @@ def counts(items: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(items), stretches)
+    return let(F.sort_array(items), stretches)
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
@@ -161,21 +161,56 @@ def matches(text: Column, pattern: str | Column) -> Column:
 
 
 def placed(gaps: Column, found: Column) -> Column:
-    none = F.array().cast("array<struct<text:string,start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    """Matches with positions, from the pieces between them."""
+    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+    return F.zip_with(
+        found,
+        running_sums(steps),
+        lambda m, end: F.struct(m.alias("text"), (end - F.length(m)).alias("start"), end.alias("end")),
+    )
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        item = F.struct(pair["hit"].alias("text"), begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    pairs = F.zip_with(
-        F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("hit"))
-    )
-    return F.when(F.size(found) == 0, none).otherwise(
-        F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    )
+_BLOCK = 64
+
+
+def running_sums(values: Column) -> Column:
+    """Sums of an int array up to each element.
+
+    A fold copies its result at every step, so it is run over blocks and over the block
+    totals: long arrays cost little more per element than short ones.
+    """
+    none = F.array().cast("array<int>")
+
+    def fold(items: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(
+            items,
+            zero,
+            lambda acc, x: F.struct(
+                (acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")
+            ),
+            lambda acc: acc["out"],
+        )
+
+    def blocks(items: Column) -> Column:
+        starts = F.filter(F.transform(items, lambda _, i: i), lambda i: i % _BLOCK == 0)
+        return F.transform(starts, lambda i: fold(F.slice(items, i + 1, _BLOCK)))
+
+    def shift(parts: Column) -> Column:
+        ends = fold(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return let(
+            ends,
+            lambda e: F.flatten(
+                F.transform(
+                    parts,
+                    lambda p, i: let(
+                        F.coalesce(F.get(e, i - 1), F.lit(0)), lambda base: F.transform(p, lambda x: x + base)
+                    ),
+                )
+            ),
+        )
+
+    return let(let(values, blocks), shift)
 
 
 def around(text: Column, start: Column, end: Column, margin: int) -> Column:

@@ -15,7 +15,7 @@ def usable_synonyms(synonyms: DataFrame, most: int = 2) -> DataFrame:
     """The first ``most`` synonyms of each term as ``term, synonyms``."""
     usable = synonyms.where((F.col("synonym") != F.col("term")) & (F.length("synonym") > 2))
     first = top_k(usable, ["term"], [F.col("rank"), F.col("synonym")], most, "_n")
-    pairs = F.array_sort(F.collect_list(F.struct("_n", "synonym")))
+    pairs = F.sort_array(F.collect_list(F.struct("_n", "synonym")))
     return first.groupBy("term").agg(F.transform(pairs, lambda p: p["synonym"]).alias("synonyms"))
 
 
@@ -33,7 +33,7 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame, most: int = 3) -> Da
         F.col("pos"), F.col("term"), F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms")
     )
     lists = found.groupBy("query_id", "text").agg(
-        F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), entry))).alias("entries")
+        F.sort_array(F.collect_list(F.when(F.col("term").isNotNull(), entry))).alias("entries")
     )
     text = F.col("text")
     replaced = F.flatten(

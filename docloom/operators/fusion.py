@@ -39,7 +39,7 @@ def _by_text(hits: DataFrame, methods: list[str]) -> DataFrame:
     return hits.groupBy("query_id", "text").agg(
         F.min("id").alias("id"),
         *best,
-        F.array_sort(F.collect_set("method")).alias("methods_used"),
+        F.sort_array(F.collect_set("method")).alias("methods_used"),
     )
 
 

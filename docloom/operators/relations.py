@@ -60,7 +60,7 @@ def relation_array(text: Column, table=rules.RELATION_CONNECTORS, min_chars: int
         )
 
     def once(found: Column) -> Column:
-        keyed = F.array_sort(
+        keyed = F.sort_array(
             F.transform(
                 found,
                 lambda r: F.struct(
@@ -76,7 +76,7 @@ def relation_array(text: Column, table=rules.RELATION_CONNECTORS, min_chars: int
 
             return F.filter(k, differs)
 
-        return F.array_sort(F.transform(t.let(keyed, firsts), lambda x: x["row"]))
+        return F.sort_array(F.transform(t.let(keyed, firsts), lambda x: x["row"]))
 
     runs = F.filter(t.matches(text, RUN), lambda r: r["text"].rlike(some))
     return t.let(F.flatten(F.transform(runs, of_run)), once)
@@ -162,7 +162,7 @@ def entity_pair_relations(spans: DataFrame, tokens: DataFrame, reach: int = rule
     ).join(linking, ["doc_id", "i"])
     other = (F.lower("word") != F.lower("subject")) & (F.lower("word") != F.lower("object"))
     words = inner.where(other).groupBy("doc_id", "a", "b").agg(
-        F.array_sort(F.collect_list(F.struct("i", "word"))).alias("w")
+        F.sort_array(F.collect_list(F.struct("i", "word"))).alias("w")
     )
     joined = F.array_join(F.transform("w", lambda x: x["word"]), "_")
     fallback = F.concat_ws("_", F.lit("RELATED_TO"), "subject_type", "object_type")

@@ -9,6 +9,7 @@ from docloom.functions import text as t
 from docloom.operators import entities, relations
 from docloom.plans import sql as q
 from docloom.plans.registry import query
+from docloom.session import written
 
 # Words of the given corpus as a dictionary of the default one's shape.
 FIXTURE_TERMS = {
@@ -17,14 +18,14 @@ FIXTURE_TERMS = {
 }
 
 
-def _positions(text: str, regex: str) -> str:
-    """List of {m, s}: matches with their start."""
-    found, gaps = f"regexp_extract_all({text}, {regex})", f"regexp_split_to_array({text}, {regex})"
-    return (
-        f"list_transform(range(1, len({found}) + 1), lambda i: {{'m': ({found})[i], 's': "
-        f"list_sum(list_transform(list_slice({gaps}, 1, i), lambda g: length(g))) + "
-        f"coalesce(list_sum(list_transform(list_slice({found}, 1, i - 1), lambda g: length(g))), 0)}})"
-    )
+def _positions(source: str, keys: str, regex: str) -> str:
+    """Rows (keys, text, i, m, s): matches of a text with their start, first match 0."""
+    return f"""
+      SELECT {keys}, text, (i - 1)::INTEGER AS i, m,
+             sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+      FROM (SELECT {keys}, text, unnest(range(1, len(f) + 1)) AS i, unnest(f) AS m, unnest(list_slice(g, 1, len(f))) AS g
+            FROM (SELECT {keys}, text, regexp_extract_all(text, {regex}) AS f, regexp_split_to_array(text, {regex}) AS g FROM {source}))
+      WINDOW w AS (PARTITION BY {keys} ORDER BY i)"""
 
 
 def _around(text: str, start: str, end: str) -> str:
@@ -35,26 +36,25 @@ _TERM_LIST = ", ".join(
     f"({q.quote(r['term'])}, {q.quote(r['domain'])}, {q.quote(r['category'])}, {i})"
     for i, r in enumerate(entities.term_rows(FIXTURE_TERMS))
 )
-# Words are split off first: whole-word search without look-around.
-_DICTIONARY = f"""
-  SELECT d.doc_id, d.source, d.text, t.domain, t.category, t.n, t.term, unnest(range(1, length(d.text) - length(t.term) + 2)) AS p
-  FROM documents d JOIN (VALUES {_TERM_LIST}) t(term, domain, category, n) ON contains(lower(d.text), t.term)"""
 _FOUND = f"""
-  SELECT doc_id, source, substr(text, p, length(term)) AS entity, 'CUSTOM_' || domain || '_' || upper(category) AS label,
+  SELECT doc_id, source, substr(text, p::BIGINT, length(term)) AS entity, 'CUSTOM_' || domain || '_' || upper(category) AS label,
          (p - 1)::INTEGER AS start, (p - 1 + length(term))::INTEGER AS "end", 0.8::DOUBLE AS confidence,
          {_around('text', '(p - 1)', '(p - 1 + length(term))')} AS context
-  FROM ({_DICTIONARY}) WHERE substr(lower(text), p, length(term)) = term
-    AND NOT regexp_matches(CASE WHEN p > 1 THEN substr(text, p - 1, 1) ELSE ' ' END, '[{q.WORD}]')
-    AND NOT regexp_matches(coalesce(substr(text, p + length(term), 1), ' '), '[{q.WORD}]')"""
+  FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, n ORDER BY i) + (i - 1) * length(term) + 1 AS p
+        FROM (SELECT doc_id, source, text, domain, category, n, term, unnest(range(1, len(ps))) AS i, unnest(list_slice(ps, 1, len(ps) - 1)) AS piece
+              FROM (SELECT d.*, t.*, string_split(lower(d.text), t.term) AS ps
+                    FROM documents d JOIN (VALUES {_TERM_LIST}) t(term, domain, category, n) ON contains(lower(d.text), t.term))))
+  WHERE NOT regexp_matches(CASE WHEN p > 1 THEN substr(text, (p - 1)::BIGINT, 1) ELSE ' ' END, '[{q.WORD}]')
+    AND NOT regexp_matches(coalesce(substr(text, (p + length(term))::BIGINT, 1), ' '), '[{q.WORD}]')"""
 _EMAIL = "'[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z|]{2,}'"
 _URL = f"'https?://[^{q.SPACE}]+'"
 
 
 def _pattern_sql(label: str, regex: str, source: str) -> str:
     return f"""
-      SELECT doc_id, source, e.m AS entity, '{label}' AS label, e.s::INTEGER AS start, (e.s + length(e.m))::INTEGER AS "end",
-             0.9::DOUBLE AS confidence, {_around('text', 'e.s', '(e.s + length(e.m))')} AS context
-      FROM (SELECT *, unnest({_positions('text', regex)}) AS e FROM {source})"""
+      SELECT doc_id, source, m AS entity, '{label}' AS label, s::INTEGER AS start, (s + length(m))::INTEGER AS "end",
+             0.9::DOUBLE AS confidence, {_around('text', 's', '(s + length(m))')} AS context
+      FROM ({_positions(source, 'doc_id, source', regex)})"""
 
 
 _ENTITIES = f"{_FOUND} UNION ALL {_pattern_sql('EMAIL', _EMAIL, 'documents')} UNION ALL {_pattern_sql('URL', _URL, 'documents')}"
@@ -74,6 +74,8 @@ def entity_extraction(db):
     SELECT page_id, label, entity, start FROM (
       SELECT doc_id AS page_id, label, entity, start FROM ({_pattern_sql('URL', _URL, "(SELECT page_id AS doc_id, url AS source, url || ' ' || html AS text FROM pages)")})
       UNION ALL
+      SELECT doc_id, label, entity, start FROM ({_pattern_sql('EMAIL', _EMAIL, "(SELECT page_id AS doc_id, url AS source, url || ' ' || html AS text FROM pages)")})
+      UNION ALL
       SELECT doc_id, label, entity, start FROM ({_pattern_sql('DATE', "'[0-9]{4}-[0-9]{2}-[0-9]{2}'", "(SELECT page_id AS doc_id, url AS source, url || ' ' || html AS text FROM pages)")}))
     """
 )
@@ -142,7 +144,7 @@ def _relation_branch(i: int, relation: str, words: str) -> str:
 
 _RELATIONS = f"""
   SELECT doc_id, subject, relation, object, start_pos, end_pos, context FROM (
-    WITH runs AS (SELECT doc_id, text, e.m AS m, e.s AS s FROM (SELECT doc_id, text, unnest({_positions('text', _RUN)}) AS e FROM documents))
+    WITH runs AS MATERIALIZED ({_positions('documents', 'doc_id', _RUN)})
     SELECT doc_id, subject, relation, object, s::INTEGER AS start_pos, (s + length(m))::INTEGER AS end_pos,
            {_around('text', 's', '(s + length(m))')} AS context,
            row_number() OVER (PARTITION BY doc_id, lower(subject), relation, lower(object) ORDER BY pattern, s) AS n
@@ -210,10 +212,12 @@ def _tokens(db):
     def pick(items):
         return F.get(F.array(*[F.lit(x) for x in items]), n)
 
-    return rows.select(
+    parsed = rows.select(
         "doc_id", "i", (F.col("i") + pick(_HEAD)).alias("head"), F.col("m.text").alias("text"),
         F.lower("m.text").alias("lemma"), pick(_POS).alias("pos"), pick(_DEP).alias("dep"), F.col("m.start").alias("idx"),
     )
+    # A parser's output would be a stored table; it is read by every join below.
+    return written(parsed)
 
 
 def _lst(items) -> str:
@@ -246,9 +250,9 @@ def relation_dependencies(db):
     )
 
 
-def _spans(db):
+def _spans(tokens):
     """Every token with a capital letter as an entity of one token."""
-    caps = _tokens(db).where(F.col("text").rlike(r"^\p{Lu}"))
+    caps = tokens.where(F.col("text").rlike(r"^\p{Lu}"))
     return caps.select(
         "doc_id", F.col("i").alias("ord"), "text", F.upper("dep").alias("label"), F.col("i").alias("first"), (F.col("i") + 1).alias("last")
     )
@@ -268,15 +272,16 @@ def _spans(db):
     """
 )
 def relation_entity_pairs(db):
-    found = relations.entity_pair_relations(_spans(db), _tokens(db)).drop("method")
+    tokens = _tokens(db)
+    found = relations.entity_pair_relations(_spans(tokens), tokens).drop("method")
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
     f"""
     WITH t AS ({_TOKENS}),
-    runs AS (SELECT doc_id, i, e.s AS idx FROM (SELECT doc_id, unnest(range(0, len(es))) AS i, unnest(es) AS e FROM (SELECT doc_id, {_positions('text', f"'[{q.WORD}]+'")} AS es FROM documents))),
-    tok AS (SELECT t.*, idx FROM t JOIN runs USING (doc_id, i)),
+    runs AS ({_positions('documents', 'doc_id', f"'[{q.WORD}]+'")}),
+    tok AS (SELECT t.*, runs.s AS idx FROM t JOIN runs USING (doc_id, i)),
     ent AS (SELECT doc_id, idx AS start, idx + length(text) AS "end", text AS entity, upper(dep) AS label, i AS n FROM tok WHERE regexp_matches(text, '^\\p{{Lu}}')),
     ends AS (SELECT tok.doc_id, tok.head AS v, tok.i, tok.dep IN ('nsubj', 'nsubjpass') AS is_subject, arg_min(entity, n) AS entity, arg_min(label, n) AS label
              FROM tok JOIN ent ON ent.doc_id = tok.doc_id AND ent.start <= tok.idx AND tok.idx < ent."end" WHERE tok.dep IN ('nsubj', 'nsubjpass', 'dobj', 'pobj') GROUP BY ALL)

@@ -17,6 +17,7 @@ def build_session(app: str = "docloom", master: str | None = None, **conf) -> Sp
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
     }
     for key, value in {**defaults, **conf}.items():
@@ -40,6 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    context, folder = df.sparkSession.sparkContext, shared_dir(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast hint only for a side whose row count was checked.
 
