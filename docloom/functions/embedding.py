@@ -31,8 +31,8 @@ def _hash_words(tokens: pa.Array) -> pa.Array:
     coded = tokens.flatten().dictionary_encode()
     places = np.array([_place(x) for x in coded.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    sums = np.zeros((n, WIDTH))
-    np.add.at(sums, (rows, places[codes, 0]), places[codes, 1])
+    cells = rows * WIDTH + places[codes, 0]
+    sums = np.bincount(cells, places[codes, 1], minlength=n * WIDTH).reshape(n, WIDTH)
     norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
     unit = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0).astype(np.float32)
     return pa.ListArray.from_arrays(np.arange(0, (n + 1) * WIDTH, WIDTH, dtype=np.int32), unit.ravel())

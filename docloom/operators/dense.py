@@ -11,6 +11,9 @@ from docloom.config import Settings
 from docloom.operators.topk import query_blocks, scan_top_k, top_k, union_all
 
 
+_SCORES_PER_STEP = 4_000_000
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if flat.size != len(column) * width:
@@ -22,9 +25,14 @@ def _distance_scorer(queries: np.ndarray):
     q2 = (queries * queries).sum(axis=1)
 
     def score(batch: pa.RecordBatch):
-        vectors = _matrix(batch.column(1), queries.shape[1])
-        v2 = (vectors * vectors).sum(axis=1)
-        yield slice(None), 1.0 - (v2[:, None] + q2[None, :] - 2.0 * (vectors @ queries.T))
+        column = batch.column(1)
+        filled = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        vectors = _matrix(column.drop_null(), queries.shape[1])
+        step = max(_SCORES_PER_STEP // len(queries), 1)
+        for a in range(0, len(vectors), step):
+            some = vectors[a : a + step]
+            v2 = (some * some).sum(axis=1)
+            yield filled[a : a + step], 1.0 - (v2[:, None] + q2[None, :] - 2.0 * (some @ queries.T))
 
     return score
 
@@ -37,7 +45,7 @@ def dense_search(
     vector_col: str = "embedding",
     group: Column | None = None,
     group_k: int | None = None,
-    block: int = Settings.query_block,
+    block: int = Settings.vector_block,
 ) -> DataFrame:
     """``query_id, id, score, rank`` of the k nearest vectors; score = 1 - squared distance.
 
@@ -48,7 +56,9 @@ def dense_search(
     columns = [F.col(id_col).alias("id"), F.col(vector_col).alias("vector")]
     if group is not None:
         columns.append(group.cast("int").alias("group_id"))
-    rows = corpus.where(F.col(vector_col).isNotNull()).select(*columns)
+    # Rows without a vector are dropped by the scorer: a filter here would compute an
+    # embedding made on the fly twice.
+    rows = corpus.select(*columns)
     id_type, query_type = rows.schema["id"].dataType, queries.schema["query_id"].dataType
     parts = []
     for some in query_blocks(queries.select("query_id", "embedding"), block):

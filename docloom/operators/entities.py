@@ -44,16 +44,30 @@ def pattern_entities(text: Column, patterns=rules.ENTITY_PATTERNS) -> Column:
     return F.concat(*[_labelled(text, label, pattern) for label, pattern in patterns])
 
 
+# What a text must hold for a pattern to be worth a scan; these tests need no look-around.
+_NEEDS = {
+    "EMAIL": lambda text: text.contains("@"),
+    "URL": lambda text: text.contains("://"),
+    "PHONE": lambda text: text.rlike(r"\p{Nd}{3}-\p{Nd}{4}"),
+    "DATE": lambda text: text.rlike(r"\p{Nd}/\p{Nd}{1,2}/\p{Nd}{4}|\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}"),
+}
+
+
 def _labelled(text: Column, label: str, pattern: str) -> Column:
     none = F.lit(None).cast("string")
-    return F.transform(
+    found = F.transform(
         t.matches(text, t.java(pattern)),
         lambda m: _entity(m, F.lit(label), rules.PATTERN_CONFIDENCE, F.lit(label.lower()), none, none),
     ).cast(_ENTITY)
+    if label in _NEEDS:
+        found = F.when(_NEEDS[label](text), found).otherwise(F.array().cast(_ENTITY))
+    return found
 
 
 def _whole_word(term: Column) -> Column:
-    return F.concat(F.lit(f"(?<![{t.WORD}])\\Q"), term, F.lit(f"\\E(?![{t.WORD}])"))
+    # The literal comes first: the look-behind is tried only where it was found.
+    literal = F.concat(F.lit("\\Q"), term, F.lit("\\E"))
+    return F.concat(literal, F.lit(f"(?<![{t.WORD}]"), literal, F.lit(f")(?![{t.WORD}])"))
 
 
 def _label(r: Column) -> Column:
@@ -92,20 +106,18 @@ def entities(df: DataFrame, text_col: str = "text", dictionary=rules.ENTITY_TERM
     found = pattern_entities(text)
     if custom:
         found = F.concat(dictionary_entities(text, dictionary), found)
-    keep = [c for c in df.columns if c != text_col]
-    return df.select(*keep, text_col, F.posexplode(found).alias("entity_index", "_e")).select(
-        *keep,
-        "entity_index",
-        F.col("_e.text").alias("entity"),
-        F.col("_e.label").alias("label"),
-        F.col("_e.start").alias("start"),
-        F.col("_e.end").alias("end"),
-        F.col("_e.confidence").alias("confidence"),
-        F.col("_e.description").alias("description"),
-        F.col("_e.domain").alias("domain"),
-        F.col("_e.category").alias("category"),
-        t.around(text, F.col("_e.start"), F.col("_e.end"), rules.CONTEXT_CHARS).alias("context"),
+    # The context is cut while the text is at hand; the text itself is not copied to the rows.
+    found = F.transform(
+        found,
+        lambda e: F.struct(
+            e["text"].alias("entity"), e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"),
+            e["confidence"].alias("confidence"), e["description"].alias("description"), e["domain"].alias("domain"),
+            e["category"].alias("category"),
+            t.around(text, e["start"], e["end"], rules.CONTEXT_CHARS).alias("context"),
+        ),
     )
+    keep = [c for c in df.columns if c != text_col]
+    return df.select(*keep, F.posexplode(found).alias("entity_index", "_e")).select(*keep, "entity_index", "_e.*")
 
 
 def table_entities(df: DataFrame, terms: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

@@ -34,16 +34,20 @@ def relation_array(text: Column, table=rules.RELATION_CONNECTORS, min_chars: int
     any connector are dropped first.
     """
     rows = connectors(table)
-    some = "(?iu)" + "|".join(sorted({_between(words) for _, _, words in rows}))
+    inner = "|".join(sorted({f"[{t.SPACE}]+".join(words.split()) for _, _, words in rows}))
+    some = f"(?iu)[{t.SPACE}](?:{inner})[{t.SPACE}]"
 
     def of_run(run: Column) -> Column:
+        return t.let(F.lower(run["text"]), lambda low: matched(run, low))
+
+    def matched(run: Column, low: Column) -> Column:
         body = run["text"]
         found = []
         for i, relation, words in rows:
             p = _pattern(words)
             found.append(
                 F.when(
-                    body.rlike(p),
+                    low.contains(words.split()[-1]) & body.rlike(p),
                     F.struct(
                         F.lit(i).alias("pattern"),
                         run["start"].alias("start"),
@@ -85,18 +89,17 @@ def relation_array(text: Column, table=rules.RELATION_CONNECTORS, min_chars: int
 def pattern_relations(df: DataFrame, text_col: str = "text", table=rules.RELATION_CONNECTORS) -> DataFrame:
     """One row per distinct relation of each text. Keeps all columns but the text."""
     keep = [c for c in df.columns if c != text_col]
-    rows = df.select(*keep, text_col, F.explode(relation_array(F.col(text_col), table)).alias("_r"))
-    return rows.select(
-        *keep,
-        F.col("_r.subject").alias("subject"),
-        F.col("_r.relation").alias("relation"),
-        F.col("_r.object").alias("object"),
-        F.lit(rules.RELATION_CONFIDENCE).alias("confidence"),
-        F.lit("pattern").alias("method"),
-        F.col("_r.start").alias("start_pos"),
-        F.col("_r.end").alias("end_pos"),
-        t.around(F.col(text_col), F.col("_r.start"), F.col("_r.end"), rules.CONTEXT_CHARS).alias("context"),
+    text = F.col(text_col)
+    found = F.transform(
+        relation_array(text, table),
+        lambda r: F.struct(
+            r["subject"].alias("subject"), r["relation"].alias("relation"), r["object"].alias("object"),
+            F.lit(rules.RELATION_CONFIDENCE).alias("confidence"), F.lit("pattern").alias("method"),
+            r["start"].alias("start_pos"), r["end"].alias("end_pos"),
+            t.around(text, r["start"], r["end"], rules.CONTEXT_CHARS).alias("context"),
+        ),
     )
+    return df.select(*keep, F.explode(found).alias("_r")).select(*keep, "_r.*")
 
 
 def dependency_relations(tokens: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from docloom.session import spread
 
 
 # Tables whose rows are whole texts: worth spreading when they come as one small file.
-TEXT_TABLES = {"documents", "pages"}
+TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 class Tables:
