@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom import rules
 from docloom.config import Settings
 from docloom.functions import text as t
-from docloom.session import broadcast_if_small
+from docloom.session import is_small
 
 _ENTITY = (
     "array<struct<text:string,label:string,start:int,end:int,confidence:double,description:string,"
@@ -120,20 +120,29 @@ def entities(df: DataFrame, text_col: str = "text", dictionary=rules.ENTITY_TERM
     return df.select(*keep, F.posexplode(found).alias("entity_index", "_e")).select(*keep, "entity_index", "_e.*")
 
 
-def table_entities(df: DataFrame, terms: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+def table_entities(
+    df: DataFrame, terms: DataFrame, id_col: str, text_col: str = "text", limit: int = Settings.broadcast_rows
+) -> DataFrame:
     """Entities of a dictionary table (``term, domain, category``) of any size.
 
     Texts and terms meet on the first word of the term, so the cost does not grow with
-    the dictionary; a small dictionary is broadcast after its rows were counted.
+    the dictionary. A dictionary of at most ``limit`` rows is broadcast to the texts; a
+    larger one is joined to (id, word) rows, and the texts move once, to their terms.
     """
-    first = t.word_runs(F.lower("term"))
-    keyed = terms.select(F.lower("term").alias("term"), "domain", "category", F.get(first, F.lit(0)).alias("word"))
-    keyed = broadcast_if_small(keyed.where(F.col("word").isNotNull()), Settings.broadcast_rows)
+    keyed = terms.select(
+        F.lower("term").alias("term"), "domain", "category", F.get(t.word_runs(F.lower("term")), F.lit(0)).alias("word")
+    ).where(F.col("word").isNotNull())
     low = F.lower(F.col(text_col))
-    docs = df.select(id_col, text_col, F.explode(F.array_distinct(t.word_runs(low))).alias("word"))
-    hit = F.struct("term", "domain", "category")
-    rows = docs.join(keyed, "word").select(
-        id_col, F.explode(t.let(hit, lambda r: _of_term(F.col(text_col), low, r))).alias("e")
+    words = F.explode(F.array_distinct(t.word_runs(low))).alias("word")
+    hit = F.struct("term", "domain", "category").alias("hit")
+    if is_small(keyed, limit):
+        found = df.select(id_col, text_col, words).join(F.broadcast(keyed), "word").select(id_col, text_col, F.array(hit).alias("hits"))
+    else:
+        pairs = df.select(id_col, words).join(keyed, "word").select(id_col, hit)
+        found = df.select(id_col, text_col).join(pairs.groupBy(id_col).agg(F.collect_list("hit").alias("hits")), id_col)
+    text = F.col(text_col)
+    rows = found.select(
+        id_col, F.explode(F.flatten(F.transform("hits", lambda r: _of_term(text, low, r)))).alias("e")
     )
     return rows.select(id_col, F.col("e.text").alias("entity"), "e.label", "e.start", "e.end", "e.confidence")
 

@@ -106,11 +106,14 @@ def word_frequencies(db):
 # --- compression ----------------------------------------------------------------------
 
 # Every document meets one benchmark text as its query.
-_MATCHED = "SELECT d.doc_id, d.text, b.text AS asked FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40"
+_MATCHED = (
+    "SELECT d.doc_id, d.text, b.text AS asked FROM documents d "
+    "JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"
+)
 
 
 def _matched(db):
-    docs = db.documents.select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
+    docs = db.documents.select("doc_id", "text", (F.col("doc_id") % db.benchmark.count()).alias("item_id"))
     return docs.join(db.benchmark.select("item_id", F.col("text").alias("asked")), "item_id")
 
 

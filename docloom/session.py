@@ -49,20 +49,9 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast hint only for a side whose row count was checked.
-
-    At most ``limit + 1`` rows are counted; a larger side is left to a shuffled join.
-    """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
-
-
-def bounded_rows(df: DataFrame, limit: int) -> list | None:
-    """The rows of ``df`` if there are at most ``limit``, else None."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def is_small(df: DataFrame, limit: int) -> bool:
+    """True if ``df`` has at most ``limit`` rows; at most one more is counted."""
+    return df.limit(limit + 1).count() <= limit
 
 
 def spread(df: DataFrame) -> DataFrame:

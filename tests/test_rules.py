@@ -73,6 +73,8 @@ def test_dictionary_entities_at_word_edges(spark):
     }
     terms = spark.createDataFrame([("google cloud", "TECH", "cloud_platforms")], "term string, domain string, category string")
     assert [r.start for r in entities.table_entities(docs, terms, "doc_id").collect()] == [43]
+    # A dictionary over the broadcast limit takes the shuffled way to the same result.
+    assert [r.start for r in entities.table_entities(docs, terms, "doc_id", limit=0).collect()] == [43]
 
 
 def test_pattern_entities_and_lookup(spark):
