@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,20 @@ def build_session(app: str = "docloom", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once for a Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_docloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="docloom-package-"), "docloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._docloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for written intermediate tables.
 
