@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, mixing, quality, toxicity, warc
+from docloom.llm import decontam, langid, mixing, quality, token_files, toxicity, warc
 from docloom.llm.common import fold
 
 THRESHOLD = 0.3
@@ -56,6 +56,23 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.with_matches(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "longest",
+    )
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_index(table(spark, folder, "documents"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -94,5 +111,7 @@ QUERIES = {
     "op3_quality": (op3_quality, None),
     "op4_warc": (op4_warc, WARC_SQL),
     "op5_language": (op5_language, None),
+    "op7_decontamination": (op7_decontamination, None),
+    "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, MIXING_SQL),
 }
