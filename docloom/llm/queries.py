@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, langid, mixing, quality, token_files, toxicity, warc
+from docloom.llm import decontam, langid, mixing, quality, simhash, token_files, toxicity, warc
 from docloom.llm.common import fold
 
 THRESHOLD = 0.3
@@ -25,6 +25,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return predictions(toxicity.with_toxicity(documents, model, keep=["doc_id"]), held_out)
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents, held_out = table(spark, folder, "documents"), fold(F.col("doc_id"), 5) == 0
     model = quality.fit(quality.labelled_sample(documents.filter(~held_out), table(spark, folder, "labels").filter(~held_out), "quality"))
@@ -108,6 +113,7 @@ FROM rated
 
 QUERIES = {
     "op1_toxicity": (op1_toxicity, None),
+    "op2_simhash": (op2_simhash, None),
     "op3_quality": (op3_quality, None),
     "op4_warc": (op4_warc, WARC_SQL),
     "op5_language": (op5_language, None),
