@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, langid, mixing, quality, simhash, token_files, toxicity, warc
+from docloom.llm import ann, decontam, langid, mixing, quality, simhash, token_files, toxicity, warc
 from docloom.llm.common import fold
 
 THRESHOLD = 0.3
@@ -61,6 +61,10 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.with_matches(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
     return found.select(
@@ -117,6 +121,7 @@ QUERIES = {
     "op3_quality": (op3_quality, None),
     "op4_warc": (op4_warc, WARC_SQL),
     "op5_language": (op5_language, None),
+    "op6_neighbours": (op6_neighbours, None),
     "op7_decontamination": (op7_decontamination, None),
     "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, MIXING_SQL),
