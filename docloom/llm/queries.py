@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import ann, decontam, langid, mixing, quality, simhash, token_files, toxicity, warc
+from docloom.llm import ann, decontam, langid, mixing, quality, simhash, suffixes, token_files, toxicity, warc
 from docloom.llm.common import fold
 
 THRESHOLD = 0.3
@@ -115,6 +115,11 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u
 FROM rated
 """
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = suffixes.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_simhash": (op2_simhash, None),
@@ -125,4 +130,5 @@ QUERIES = {
     "op7_decontamination": (op7_decontamination, None),
     "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, MIXING_SQL),
+    "op10_suffix_dedup": (op10_suffix_dedup, None),
 }
