@@ -17,7 +17,6 @@ class Settings:
     max_upload_bytes: int = 50 * 1024 * 1024
     upload_types: tuple[str, ...] = ("pdf", "docx", "txt", "md", "csv", "xlsx", "html", "json")
     compress_tokens: int = 2000
-    memory_entries: int = 1000
     memory_ttl_seconds: int = 300
     ttl_seconds: int = 24 * 3600
     max_history: int = 10

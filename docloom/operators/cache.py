@@ -31,12 +31,6 @@ def newest(rows: DataFrame) -> DataFrame:
     ).select("key", "e.*")
 
 
-def memory_level(rows: DataFrame, capacity: int = Settings.memory_entries, ttl: int = Settings.memory_ttl_seconds) -> DataFrame:
-    """The newest entries up to the capacity, with the short life of the first level."""
-    kept = rows.orderBy(F.col("created_at").desc(), "key").limit(capacity)
-    return kept.withColumn("expires_at", F.col("created_at") + F.make_dt_interval(secs=F.lit(ttl)))
-
-
 def valid(rows: DataFrame, now: Column) -> DataFrame:
     return rows.where((F.col("created_at") <= now) & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
 

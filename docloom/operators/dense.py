@@ -92,6 +92,6 @@ def _no_hits(rows: DataFrame, queries: DataFrame, grouped: bool) -> DataFrame:
 def sharded_dense_search(
     corpus: DataFrame, queries: DataFrame, k: int, shard: Column, id_col: str = "id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """Each shard gives min(2k, 50) neighbours, the best k of all shards are kept."""
-    found = dense_search(corpus, queries, k, id_col, vector_col, group=shard, group_k=min(2 * k, 50))
+    """Each shard gives its k nearest, the best k of all shards are kept: exact for every k."""
+    found = dense_search(corpus, queries, k, id_col, vector_col, group=shard, group_k=k)
     return found.withColumnRenamed("group_id", "shard_id")

@@ -163,14 +163,13 @@ def entity_index(entity_rows: DataFrame, id_col: str, source_col: str = "source"
 
 def search_entities(index: DataFrame, label: str | None = None, entity: str | None = None) -> DataFrame:
     """Postings by label, by entity, or both; a label that is unknown counts as not given."""
-    known = label is not None and bool(index.where(F.col("label") == label).head(1))
-    if known and entity is None:
-        return index.where(F.col("label") == label)
-    if known:
-        return index.where((F.col("label") == label) & (F.col("entity") == entity.lower()))
-    if entity is not None:
-        return index.where(F.col("entity") == entity.lower())
-    return index.limit(0)
+    if label is None:
+        return index.limit(0) if entity is None else index.where(F.col("entity") == entity.lower())
+    of_label = index.where(F.col("label") == label)
+    if entity is None:
+        return of_label
+    same = F.col("entity") == entity.lower()
+    return index.where(same & ((F.col("label") == label) | ~of_label.exists()))
 
 
 def label_counts(entity_rows: DataFrame) -> DataFrame:

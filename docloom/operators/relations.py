@@ -158,19 +158,28 @@ def entity_pair_relations(spans: DataFrame, tokens: DataFrame, reach: int = rule
     distance = F.abs(F.col("b_first") - F.col("a_last"))
     pairs = left.join(right, ["doc_id", "cell"]).where((F.col("b") > F.col("a")) & (distance <= reach))
     pairs = pairs.withColumn("distance", distance.cast("int")).drop("cell")
-    linking = tokens.where(F.col("pos").isin("VERB", "ADP")).select("doc_id", "i", F.col("text").alias("word"))
-    inner = pairs.select(
-        "doc_id", "a", "b", "subject", "object",
-        F.explode(F.sequence(F.least("a_first", "b_first"), F.greatest("a_last", "b_last") - 1)).alias("i"),
-    ).join(linking, ["doc_id", "i"])
-    other = (F.lower("word") != F.lower("subject")) & (F.lower("word") != F.lower("object"))
-    words = inner.where(other).groupBy("doc_id", "a", "b").agg(
-        F.sort_array(F.collect_list(F.struct("i", "word"))).alias("w")
+    # Linking words are gathered once per cell; a pair reads the two or three cells it spans.
+    linking = (
+        tokens.where(F.col("pos").isin("VERB", "ADP"))
+        .groupBy("doc_id", F.floor(F.col("i") / width).alias("cell"))
+        .agg(F.collect_list(F.struct("i", F.col("text").alias("word"))).alias("ws"))
     )
+    low, high = F.least("a_first", "b_first"), F.greatest("a_last", "b_last") - 1
+    spanned = pairs.select(
+        "*", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.floor(low / width), F.floor(high / width))).alias("cell")
+    ).join(linking, ["doc_id", "cell"], "left")
+    between = F.filter(
+        "ws",
+        lambda x: x["i"].between(F.col("low"), F.col("high"))
+        & (F.lower(x["word"]) != F.lower("subject"))
+        & (F.lower(x["word"]) != F.lower("object")),
+    )
+    known = ["doc_id", "a", "b", "subject", "subject_type", "object", "object_type", "distance"]
+    found = spanned.select(*known, between.alias("ws")).groupBy(*known).agg(F.sort_array(F.flatten(F.collect_list("ws"))).alias("w"))
     joined = F.array_join(F.transform("w", lambda x: x["word"]), "_")
     fallback = F.concat_ws("_", F.lit("RELATED_TO"), "subject_type", "object_type")
-    return pairs.join(words, ["doc_id", "a", "b"], "left").select(
-        "doc_id", "subject", "subject_type", F.coalesce(joined, fallback).alias("relation"), "object", "object_type",
+    return found.select(
+        "doc_id", "subject", "subject_type", F.when(F.size("w") > 0, joined).otherwise(fallback).alias("relation"), "object", "object_type",
         F.greatest(F.lit(0.3), F.lit(0.8) - F.col("distance") * 0.05).alias("confidence"),
         F.lit("entity").alias("method"), "distance",
     )

@@ -84,6 +84,11 @@ class ChunkStore:
             writer = writer.partitionBy("shard_id")
         writer.parquet(self.path)
 
+    def without_stored(self, records: DataFrame) -> DataFrame:
+        """Records whose id is not in the table; only rows of the same sources are compared."""
+        stored = self.all().select("id", "source").join(records.select("source").distinct(), "source", "left_semi")
+        return records.join(stored.select("id"), "id", "left_anti")
+
     def all(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 

@@ -15,7 +15,7 @@ from docloom.plans import sql as q
 from docloom.plans.chunk_queries import _semantic_sql
 from docloom.plans.nlp_queries import _ENTITIES, _RELATIONS, FIXTURE_TERMS
 from docloom.plans.registry import query
-from docloom.plans.search_queries import K, benchmark_queries, bm25_sql, relevance_sql
+from docloom.plans.search_queries import HIERARCHY_SQL, K, benchmark_queries, bm25_sql, relevance_sql
 
 # --- summaries ------------------------------------------------------------------------
 
@@ -221,9 +221,9 @@ _PAIRS = """
 _AGED = f"SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC)::INTEGER AS age FROM ({_PAIRS})"
 
 
-@query(f"SELECT * FROM ({_AGED}) WHERE age <= 2")
+@query(f"SELECT * FROM ({_AGED}) WHERE age <= 10")
 def conversation_window(db):
-    return memory.last_turns(memory.question_answer_pairs(db.conversations), 2)
+    return memory.last_turns(memory.question_answer_pairs(db.conversations))
 
 
 @query(
@@ -267,34 +267,21 @@ def cache_upsert(db):
     return cache.newest(_answers(db))
 
 
-@query(
-    f"""
-    SELECT key, value, created_at, created_at + INTERVAL 300 SECOND AS expires_at
-    FROM (SELECT key, e.value AS value, e.created_at AS created_at FROM ({_NEWEST})) ORDER BY created_at DESC, key LIMIT 1000
-    """
-)
-def cache_memory_level(db):
-    return cache.memory_level(cache.newest(_answers(db)))
-
-
 @query(
     f"""
     WITH newest AS (SELECT key, e.value AS value, e.created_at AS created_at, e.expires_at AS expires_at
                     FROM (SELECT key, arg_max({{'value': value, 'created_at': created_at, 'expires_at': expires_at}}, {{'c': created_at, 'v': value}}) AS e
                           FROM ({_ANSWERS}) WHERE created_at <= TIMESTAMP '{_NOW}' GROUP BY key)),
-    mem AS (SELECT key, value, created_at + INTERVAL 300 SECOND AS expires_at FROM newest ORDER BY created_at DESC, key LIMIT 1000),
     asked AS (SELECT DISTINCT user_id, 'VIEW of ' || user_id AS query, md5('view of ' || user_id) AS key FROM events)
-    SELECT user_id, query, asked.key, CASE WHEN m.key IS NOT NULL THEN m.value ELSE n.value END AS value,
-           (CASE WHEN m.key IS NOT NULL THEN 1 WHEN n.key IS NOT NULL THEN 2 END)::INTEGER AS level, m.key IS NOT NULL OR n.key IS NOT NULL AS cached
-    FROM asked LEFT JOIN (SELECT * FROM mem WHERE expires_at > TIMESTAMP '{_NOW}') m ON m.key = asked.key
-    LEFT JOIN (SELECT * FROM newest WHERE expires_at > TIMESTAMP '{_NOW}') n ON n.key = asked.key
+    SELECT user_id, query, asked.key, n.value, (CASE WHEN n.key IS NOT NULL THEN 1 END)::INTEGER AS level, n.key IS NOT NULL AS cached
+    FROM asked LEFT JOIN (SELECT * FROM newest WHERE expires_at > TIMESTAMP '{_NOW}') n ON n.key = asked.key
     """
 )
 def cache_lookup(db):
     now = F.lit(_NOW).cast("timestamp")
     stored = cache.newest(_answers(db).where(F.col("created_at") <= now))
     asked = db.events.select("user_id", F.concat(F.lit("VIEW of "), F.col("user_id").cast("string")).alias("query")).distinct()
-    return cache.lookup(asked, [cache.memory_level(stored), stored], now)
+    return cache.lookup(asked, [stored], now)
 
 
 # --- statistics -----------------------------------------------------------------------
@@ -345,7 +332,7 @@ def ingest_statistics(db):
 @query(
     f"""
     WITH e AS (SELECT label, lower(entity) AS entity FROM ({_ENTITIES})), r AS ({_RELATIONS}),
-    p AS (SELECT {q.word_count('text')} AS n FROM documents)
+    h AS ({HIERARCHY_SQL})
     SELECT 'documents' AS part, 'total' AS section, 'documents' AS key, count(*)::DOUBLE AS value FROM documents
     UNION ALL SELECT 'entities', 'total', 'unique_entities', count(DISTINCT entity)::DOUBLE FROM e
     UNION ALL SELECT 'entities', 'label', label, count(*)::DOUBLE FROM e GROUP BY label
@@ -355,12 +342,14 @@ def ingest_statistics(db):
     UNION ALL SELECT 'relations', 'total', 'average_confidence', 0.8::DOUBLE
     UNION ALL SELECT 'relations', 'method', 'pattern', count(*)::DOUBLE FROM r
     UNION ALL SELECT 'relations', 'pattern', relation, count(*)::DOUBLE FROM r GROUP BY relation
-    UNION ALL SELECT 'hierarchy', 'total', 'largest_document', max(n)::DOUBLE FROM p
+    UNION ALL SELECT 'hierarchy', coalesce(document_type, 'total'), 'parent_documents', parent_documents::DOUBLE FROM h
+    UNION ALL SELECT 'hierarchy', coalesce(document_type, 'total'), 'child_chunks', child_chunks::DOUBLE FROM h
+    UNION ALL SELECT 'hierarchy', coalesce(document_type, 'total'), 'average_chunks', average_chunks::DOUBLE FROM h
+    UNION ALL SELECT 'hierarchy', 'total', 'largest_document', largest_document::DOUBLE FROM h WHERE document_type IS NULL
     """
 )
 def collection_analysis(db):
-    found = stats.collection_analysis(db.documents, "doc_id", dictionary=FIXTURE_TERMS)
-    return found.where((F.col("part") != "hierarchy") | (F.col("key") == "largest_document"))
+    return stats.collection_analysis(db.documents, "doc_id", dictionary=FIXTURE_TERMS)
 
 
 # --- markup ---------------------------------------------------------------------------

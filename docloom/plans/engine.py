@@ -15,7 +15,7 @@ from docloom.operators.sparse import Bm25Model, TfidfModel
 from docloom.operators.store import ChunkStore
 from docloom.operators.topk import union_all
 from docloom.providers import Providers
-from docloom.session import shared_dir, written
+from docloom.session import written
 from docloom.sources.files import check_uploads, listing, read_documents
 
 MODES = ("parent", "hybrid", "two_way", "semantic", "keyword", "technical")
@@ -25,11 +25,11 @@ class Engine:
     """A collection of tables under one folder, and the plans that read and extend them."""
 
     def __init__(
-        self, spark: SparkSession, root: str | None = None, settings: Settings = Settings(),
+        self, spark: SparkSession, root: str, settings: Settings = Settings(),
         providers: Providers = Providers(), sharded: bool = False,
     ):
         self.spark, self.settings, self.providers = spark, settings, providers
-        folder = f"{(root or shared_dir(spark)).rstrip('/')}/{settings.collection}"
+        folder = f"{root.rstrip('/')}/{settings.collection}"
         shards = settings.num_shards if sharded else 0
         self.chunks = ChunkStore(spark, folder, "chunks", shards)
         self.parents = ChunkStore(spark, folder, "parents")
@@ -37,14 +37,16 @@ class Engine:
         self.cache = ChunkStore(spark, folder, "cache")
         self.history = ChunkStore(spark, folder, "history")
         self.log = ChunkStore(spark, folder, "log")
+        self.errors = ChunkStore(spark, folder, "ingest_errors")
         self.use_expansion = True
         self.synonyms: DataFrame | None = None
 
     # --- ingest -----------------------------------------------------------------------
 
     def ingest(self, path: str | list[str], hierarchy: bool = False) -> DataFrame:
-        """Store the chunks of all files; one report row per file.
+        """Store the chunks of all accepted files; one report row per file.
 
+        Chunks that are stored already, by place and content, are not added again.
         With ``hierarchy`` each file becomes a parent with small word-window children.
         """
         checks = check_uploads(listing(self.spark, path), self.settings)
@@ -52,16 +54,14 @@ class Engine:
             self.spark, path, self.providers.pdf_reader, max_bytes=self.settings.max_upload_bytes
         )
         units = written(units)
-        good = units.where(F.col("error").isNull() & (F.trim("text") != ""))
+        accepted = checks.where("success").select(F.col("path").alias("source"))
+        good = units.where(F.col("error").isNull() & (F.trim("text") != "")).join(accepted, "source", "left_semi")
         if hierarchy:
-            self._add_hierarchy(good)
+            chunks = self._add_hierarchy(good)
         else:
-            self.add_chunks(semantic_chunks(good, max_chars=self.settings.chunk_chars))
-        counts = (
-            self.chunks.all().groupBy(F.col("source").alias("path")).agg(F.count("*").alias("chunks_processed"))
-            if self.chunks.exists()
-            else self.spark.createDataFrame([], "path string, chunks_processed long")
-        )
+            chunks = semantic_chunks(good, max_chars=self.settings.chunk_chars)
+            self.add_chunks(chunks)
+        counts = chunks.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("chunks_processed"))
         failed = units.where(F.col("error").isNotNull()).groupBy(F.col("source").alias("path")).agg(F.first("error").alias("broken"))
         return (
             checks.join(counts, "path", "left")
@@ -75,13 +75,19 @@ class Engine:
         )
 
     def add_chunks(self, chunks: DataFrame) -> None:
-        """Project chunks to the stored form, embed and append them."""
+        """Project chunks to the stored form, embed and append those that are new.
+
+        Only ids of the sources at hand are compared, so a repeated file or batch adds nothing.
+        """
         rows = store.stored_records(chunks)
+        if self.chunks.exists():
+            rows = self.chunks.without_stored(rows)
         if self.chunks.shards:
             rows = store.with_shard(rows, self.chunks.shards)
         self.chunks.append(rows.withColumn("embedding", self.providers.embed(F.col("text"))))
 
-    def _add_hierarchy(self, units: DataFrame) -> None:
+    def _add_hierarchy(self, units: DataFrame) -> DataFrame:
+        """Store parents and children of each file (one file is one row, at most the upload limit)."""
         order = F.coalesce("page_number", "paragraph_number", F.lit(0))
         texts = units.groupBy("source").agg(
             F.array_join(
@@ -91,10 +97,11 @@ class Engine:
         tops = parent.parents(texts.withColumn("doc_id", F.sha2("source", 256))).withColumn(
             "created_at", F.current_timestamp()
         )
-        self.parents.append(tops)
         kids = parent.children(tops, self.settings.child_words)
-        self.children.append(kids)
+        for table, rows, key in ((self.parents, tops, "parent_id"), (self.children, kids, "chunk_id")):
+            table.append(rows.join(table.all().select(key), key, "left_anti") if table.exists() else rows)
         self.add_chunks(kids)
+        return kids
 
     # --- search -----------------------------------------------------------------------
 
@@ -199,8 +206,7 @@ class Engine:
                 {"key": none.cast("string"), "value": none.cast("string"), "level": none.cast("int"), "cached": F.lit(False)}
             )
         stored = cache.newest(self.cache.all())
-        levels = [cache.memory_level(stored, self.settings.memory_entries, self.settings.memory_ttl_seconds), stored]
-        return cache.lookup(rows, levels, F.current_timestamp()).drop("query")
+        return cache.lookup(rows, [stored], F.current_timestamp()).drop("query")
 
     def _answer(self, new: DataFrame, k: int, mode: str, compression: bool, validation: bool) -> DataFrame:
         queries = new.select("query_id", "text")
@@ -301,7 +307,7 @@ class Engine:
             kept.write.mode("overwrite").parquet(self.history.path)
 
     def drop(self) -> None:
-        for table in (self.chunks, self.parents, self.children, self.cache, self.history, self.log):
+        for table in (self.chunks, self.parents, self.children, self.cache, self.history, self.log, self.errors):
             table.drop()
 
     def performance(self) -> DataFrame:

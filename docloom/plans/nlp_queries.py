@@ -9,7 +9,6 @@ from docloom.functions import text as t
 from docloom.operators import entities, relations
 from docloom.plans import sql as q
 from docloom.plans.registry import query
-from docloom.session import written
 
 # Words of the given corpus as a dictionary of the default one's shape.
 FIXTURE_TERMS = {
@@ -94,6 +93,25 @@ def entity_index_lookup(db):
     return entities.search_entities(index, "CUSTOM_LANG_FRENCH_WORDS", "Qui")
 
 
+_POSTINGS = f"""SELECT label, lower(entity) AS entity, doc_id, source, start AS start_pos, "end" AS end_pos, confidence, context FROM ({_ENTITIES})"""
+
+
+@query(f"SELECT * FROM ({_POSTINGS}) WHERE label = 'EMAIL'")
+def entity_index_by_label(db):
+    return entities.search_entities(entities.entity_index(_entities(db), "doc_id"), "EMAIL")
+
+
+@query(f"SELECT * FROM ({_POSTINGS}) WHERE entity = 'qui'")
+def entity_index_by_entity(db):
+    return entities.search_entities(entities.entity_index(_entities(db), "doc_id"), entity="QUI")
+
+
+@query(f"SELECT * FROM ({_POSTINGS}) WHERE entity = 'qui'")
+def entity_index_unknown_label(db):
+    """A label that no posting has counts as not given."""
+    return entities.search_entities(entities.entity_index(_entities(db), "doc_id"), "NO_SUCH_LABEL", "qui")
+
+
 @query(
     f"""
     WITH e AS (SELECT label, lower(entity) AS entity FROM ({_ENTITIES}))
@@ -212,12 +230,10 @@ def _tokens(db):
     def pick(items):
         return F.get(F.array(*[F.lit(x) for x in items]), n)
 
-    parsed = rows.select(
+    return rows.select(
         "doc_id", "i", (F.col("i") + pick(_HEAD)).alias("head"), F.col("m.text").alias("text"),
         F.lower("m.text").alias("lemma"), pick(_POS).alias("pos"), pick(_DEP).alias("dep"), F.col("m.start").alias("idx"),
     )
-    # A parser's output would be a stored table; it is read by every join below.
-    return written(parsed)
 
 
 def _lst(items) -> str:
@@ -260,12 +276,16 @@ def _spans(tokens):
 
 @query(
     f"""
-    WITH t AS ({_TOKENS}),
-    e AS (SELECT doc_id, i, text, upper(dep) AS label FROM t WHERE regexp_matches(text, '^\\p{{Lu}}')),
-    p AS (SELECT a.doc_id, a.i AS a, b.i AS b, a.text AS subject, b.text AS object, a.label AS st, b.label AS ot, b.i - a.i - 1 AS distance
-          FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i > a.i AND b.i - a.i - 1 <= 15),
-    w AS (SELECT p.doc_id, a, b, string_agg(t.text, '_' ORDER BY t.i) AS words FROM p JOIN t ON t.doc_id = p.doc_id AND t.i BETWEEN a AND b
-          WHERE t.pos IN ('VERB', 'ADP') AND lower(t.text) <> lower(subject) AND lower(t.text) <> lower(object) GROUP BY ALL)
+    WITH t AS MATERIALIZED ({_TOKENS}),
+    e AS MATERIALIZED (SELECT doc_id, i, text, upper(dep) AS label FROM t WHERE regexp_matches(text, '^\\p{{Lu}}')),
+    near AS (SELECT *, unnest([i // 16, i // 16 + 1]) AS cell FROM e),
+    p AS MATERIALIZED (SELECT a.doc_id, a.i AS a, b.i AS b, a.text AS subject, b.text AS object, a.label AS st, b.label AS ot, b.i - a.i - 1 AS distance
+          FROM near a JOIN e b ON a.doc_id = b.doc_id AND a.cell = b.i // 16 WHERE b.i > a.i AND b.i - a.i - 1 <= 15),
+    link AS MATERIALIZED (SELECT doc_id, i // 16 AS cell, i, text FROM t WHERE pos IN ('VERB', 'ADP')),
+    w AS (SELECT p.doc_id, a, b, string_agg(link.text, '_' ORDER BY link.i) AS words
+          FROM (SELECT *, unnest(CASE WHEN a // 16 = b // 16 THEN [a // 16] ELSE [a // 16, b // 16] END) AS cell FROM p) p
+          JOIN link ON link.doc_id = p.doc_id AND link.cell = p.cell
+          WHERE link.i >= a AND link.i <= b AND lower(link.text) <> lower(subject) AND lower(link.text) <> lower(object) GROUP BY ALL)
     SELECT p.doc_id, subject, st AS subject_type, coalesce(words, 'RELATED_TO_' || st || '_' || ot) AS relation, object, ot AS object_type,
            round(greatest(0.3::DOUBLE, 0.8::DOUBLE - distance * 0.05::DOUBLE), 6) AS confidence, distance::INTEGER AS distance
     FROM p LEFT JOIN w USING (doc_id, a, b)

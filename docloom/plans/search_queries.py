@@ -153,14 +153,13 @@ def tfidf_vocabulary(db):
 )
 def bm25_statistics(db):
     model = Bm25Model.fit(db.documents, "doc_id")
-    out = model.terms.where(F.col("term").isNotNull()).agg(
+    model.close()
+    return db.spark.range(1).select(
         F.lit(model.n_docs).cast("long").alias("total_documents"),
         F.round(F.lit(model.avg_len), 6).alias("average_words"),
         F.round(F.lit(model.avg_idf), 6).alias("average_idf"),
-        F.count("*").alias("distinct_terms"),
+        F.lit(model.n_terms).cast("long").alias("distinct_terms"),
     )
-    model.close()
-    return out
 
 
 def embedding_sql(key: str, source: str) -> str:
@@ -433,15 +432,16 @@ def parent_context(db):
     return parent.with_parent_context(hits, kids, tops, asked.count() * K).drop("text")
 
 
-@query(
-    f"""
+HIERARCHY_SQL = f"""
     WITH kids AS (SELECT doc_id, count(*) AS n FROM ({_CHILDREN}) GROUP BY doc_id),
     tops AS (SELECT doc_id, {q.word_count('text')}::INTEGER AS word_count, {type_sql('lower(text)', rules.DOCUMENT_TYPES)} AS document_type FROM documents)
     SELECT document_type, count(*) AS parent_documents, coalesce(sum(n), 0)::BIGINT AS child_chunks,
            round(coalesce(sum(n), 0) / count(*), 6) AS average_chunks, max(word_count) AS largest_document
     FROM tops LEFT JOIN kids USING (doc_id) GROUP BY ROLLUP (document_type)
     """
-)
+
+
+@query(HIERARCHY_SQL)
 def hierarchy_stats(db):
     tops = parent.parents(db.documents)
     return parent.hierarchy_stats(tops, parent.children(tops))

@@ -51,9 +51,17 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]+$", "")
 
 
+def _pretty(document: str) -> str | None:
+    try:
+        return json.dumps(json.loads(document), indent=2)
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def pretty_json(documents: pd.Series) -> pd.Series:
-    return documents.map(lambda d: json.dumps(json.loads(d), indent=2), na_action="ignore")
+    """Indented JSON; null for text that is no JSON."""
+    return documents.map(_pretty, na_action="ignore")
 
 
 def _table_text(head: str, frame: pd.DataFrame) -> str:
@@ -179,6 +187,12 @@ def _units(df: DataFrame, kind: str, text: Column, ending: str, raw: Column | No
     )
 
 
+def _errors(files: DataFrame, error: Column) -> DataFrame:
+    """One error row per file."""
+    given = {"source": F.col("path"), "format": F.col("format"), "error": error}
+    return files.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in UNIT.fields])
+
+
 def listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files with path, length, suffix and format; file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -199,28 +213,25 @@ def parse_files(files: DataFrame, pdf_reader: PageReader | None = None) -> DataF
     parser per file. A file of an unknown format gives an error row.
     """
     files = _described(files)
-    content = F.decode("content", "UTF-8")
-    plain = _units(files, "txt", content, "_full")
-    marked = _units(files, "markdown", markdown_text(content), "_md", content)
-    pages = _units(files, "html", html_text(content), "_html")
-    objects = _units(files, "json", F.concat(F.lit("JSON Data:\n"), pretty_json(content)), "_json", content)
+    content = F.col("content").cast("string")
+    texts = files.where(F.is_valid_utf8(content))
+    plain = _units(texts, "txt", content, "_full")
+    marked = _units(texts, "markdown", markdown_text(content), "_md", content)
+    pages = _units(texts, "html", html_text(content), "_html")
+    objects = _units(texts, "json", F.concat(F.lit("JSON Data:\n"), pretty_json(content)), "_json", content)
+    objects = objects.withColumn("error", F.when(F.col("text").isNull(), F.lit("Invalid JSON")))
+    undecoded = _errors(
+        files.where(F.col("format").isin("txt", "markdown", "html", "json") & ~F.is_valid_utf8(content)), F.lit("Not valid UTF-8 text")
+    )
     readers = {"csv": _csv, "docx": _docx, "excel": _excel, "pdf": _pdf(pdf_reader)}
     binary = (
         files.where(F.col("format").isin(list(readers)))
         .select("path", "stem", "format", "content")
         .mapInPandas(_parse(readers), UNIT)
     )
-    unknown = files.where(F.col("format").isNull()).select(
-        *[
-            {
-                "source": F.col("path"),
-                "error": F.concat(F.lit("Unsupported format: ."), F.col("suffix")),
-            }.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in UNIT.fields
-        ]
-    )
+    unknown = _errors(files.where(F.col("format").isNull()), F.concat(F.lit("Unsupported format: ."), F.col("suffix")))
     out = plain
-    for part in (marked, pages, objects, binary, unknown):
+    for part in (marked, pages, objects, undecoded, binary, unknown):
         out = out.unionByName(part)
     return out
 
@@ -242,17 +253,7 @@ def read_documents(
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     units = parse_files(files.where(F.col("length") <= max_bytes).select("path", "content"), pdf_reader)
     large = listing(spark, path).where(F.col("length") > max_bytes)
-    errors = large.select(
-        *[
-            {
-                "source": F.col("path"),
-                "format": F.col("format"),
-                "error": F.lit(f"File size exceeds {max_bytes // (1024 * 1024)}MB limit"),
-            }.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in UNIT.fields
-        ]
-    )
-    return units.unionByName(errors)
+    return units.unionByName(_errors(large, F.lit(f"File size exceeds {max_bytes // (1024 * 1024)}MB limit")))
 
 
 def check_uploads(files: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -26,18 +26,28 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 def ingest_stream(engine, path: str, checkpoint: str, files_per_batch: int = 1000):
     """A query that parses, chunks and appends new files; each file is handled once.
 
-    Chunk ids are derived from the content's place, so a batch that is repeated after a
-    failure gives the same ids. Start it with ``.start()``.
+    Chunk ids are derived from the content's place, and ids that are stored are not added
+    again, so a batch that is repeated after a failure changes nothing. Files that are too
+    large or cannot be parsed are rows of the table ``ingest_errors``. Start it with ``.start()``.
     """
     files = file_stream(engine.spark, path, files_per_batch)
-    small = files.where(F.col("length") <= engine.settings.max_upload_bytes)
+    most = engine.settings.max_upload_bytes
 
-    def append(batch: DataFrame, _: int) -> None:
-        units = parse_files(batch.select("path", "content"), engine.providers.pdf_reader)
+    def append(batch: DataFrame, number: int) -> None:
+        small = batch.where(F.col("length") <= most).select("path", "content")
+        units = parse_files(small, engine.providers.pdf_reader)
+        large = batch.where(F.col("length") > most).select(
+            F.col("path").alias("source"), F.lit(f"File size exceeds {most // (1024 * 1024)}MB limit").alias("error")
+        )
+        failed = units.where(F.col("error").isNotNull()).select("source", "error").unionByName(large)
+        failed = failed.withColumn("batch", F.lit(number).cast("long"))
+        if engine.errors.exists():
+            failed = failed.join(engine.errors.all().select("source", "batch"), ["source", "batch"], "left_anti")
+        engine.errors.append(failed)
         good = units.where(F.col("error").isNull() & (F.trim("text") != ""))
         engine.add_chunks(semantic_chunks(good, max_chars=engine.settings.chunk_chars))
 
-    return small.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 
 
 def usage_stream(log: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

@@ -38,6 +38,8 @@ def make_files(folder):
         )
     (folder / "i.pdf").write_bytes(b"page one|| |page three")
     (folder / "j.docx").write_bytes(b"broken")
+    (folder / "k.json").write_text('{"k": ')
+    (folder / "l.txt").write_bytes("Étage".encode("latin-1"))
 
 
 def pages(content: bytes) -> list[str]:
@@ -67,7 +69,8 @@ def test_readers(spark, folder):
     assert found["h_One"].text == "Sheet: One\nColumns: name, n\nRows: 1\n\n" + sheet.to_string(index=False)
     assert found["i_page_1"].page_number == 1 and found["i_page_4"].text == "page three" and "i_page_2" not in found
     errors = {r.source.rsplit("/", 1)[1]: r.error for r in rows if r.error}
-    assert errors["f.bin"] == "Unsupported format: .bin" and "BadZipFile" in errors["j.docx"] and len(errors) == 2
+    assert errors["f.bin"] == "Unsupported format: .bin" and "BadZipFile" in errors["j.docx"] and len(errors) == 4
+    assert errors["k.json"] == "Invalid JSON" and errors["l.txt"] == "Not valid UTF-8 text"
 
 
 def test_limits_and_strict(spark, folder):
@@ -91,6 +94,10 @@ def test_engine_end_to_end(spark, folder, tmp_path, sharded):
     report = {r.filename: r for r in engine.ingest(str(folder)).collect()}
     assert report["a.txt"].success and report["a.txt"].chunks_processed == 1
     assert not report["f.bin"].success and not report["j.docx"].success
+    assert report["k.json"].error == "Invalid JSON" and not report["l.txt"].success
+    before = engine.chunks.all().count()
+    assert {r.filename: r.chunks_processed for r in engine.ingest(str(folder)).collect()}["a.txt"] == 1
+    assert engine.chunks.all().count() == before
     source = engine.chunks.all().where(F.col("source").endswith("a.txt")).first()["source"]
     assert engine.chunks.for_source(source).count() == 1
     queries = spark.createDataFrame([(0, "plain text étage"), (1, "explain yield() bold words")], "query_id int, text string")
@@ -130,14 +137,15 @@ def test_engine_with_parents(spark, tmp_path):
     assert answer.success and answer.context_chunks == 2
 
 
-def test_cache_levels_and_capacity(spark):
+def test_cache_levels(spark):
     rows = spark.sql(
         "SELECT concat('q', id) AS query, concat('v', id) AS value, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS created_at FROM range(20)"
     )
     again = spark.sql("SELECT ' Q3 ' AS query, 'new' AS value, timestamp'2024-01-01 00:01:00' AS created_at")
     stored = cache.newest(cache.entries(rows.unionByName(again), 3600))
     assert stored.count() == 20
-    levels = [cache.memory_level(stored, capacity=5, ttl=60), stored]
+    recent = cache.newest(cache.entries(rows.unionByName(again).where("created_at >= timestamp'2024-01-01 00:00:15'"), 60))
+    levels = [recent, stored]
     asked = spark.createDataFrame([("q3",), ("q19",), ("Q1 ",), ("none",)], "query string")
     at = lambda x: {r["query"]: (r["value"], r["level"]) for r in cache.lookup(asked, levels, F.lit(x).cast("timestamp")).collect()}
     assert at("2024-01-01 00:01:01") == {"q3": ("new", 1), "q19": ("v19", 1), "Q1 ": ("v1", 2), "none": (None, None)}
@@ -196,6 +204,19 @@ def test_file_stream(spark, folder, tmp_path):
     sources = [r.source.rsplit("/", 1)[1] for r in engine.chunks.all().select("source").collect()]
     assert sorted(set(sources)) == ["a.txt", "b.md", "c.csv", "d.html", "e.json", "g.docx", "h.xlsx"]
     assert sources.count("a.txt") == 1
+    failed = {r.source.rsplit("/", 1)[1]: r.error for r in engine.errors.all().collect()}
+    assert failed.keys() == {"f.bin", "i.pdf", "j.docx", "k.json", "l.txt"}
+
+
+def test_rejected_uploads_are_not_stored(spark, tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    (path / "x.md").write_text("kept out")
+    (path / "y.txt").write_text("kept in")
+    engine = Engine(spark, str(tmp_path / "store"), Settings(upload_types=("txt",)))
+    report = {r.filename: r for r in engine.ingest(str(path)).collect()}
+    assert not report["x.md"].success and report["x.md"].chunks_processed == 0
+    assert [r.text for r in engine.chunks.all().select("text").collect()] == ["kept in"]
 
 
 def test_usage_stream(spark, tmp_path):
