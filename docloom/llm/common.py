@@ -37,6 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with columns of these names renamed, so that an operator's own don't clash with them."""
+    return df.withColumnsRenamed({c: f"_aside_{c}" for c in names if c in df.columns})
+
+
+def set_back(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns under their names again."""
+    return df.select(*[F.col(f"_aside_{c}" if f"_aside_{c}" in df.columns else c).alias(c) for c in columns])
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The store of a path or URI (local, object store, HDFS) and the path in it."""
     return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))

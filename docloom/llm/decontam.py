@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import text_runs
+from docloom.llm.common import set_aside, set_back, text_runs
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -235,3 +235,9 @@ def with_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
         F.coalesce("longest", F.lit(0)).cast("long").alias("longest"),
         filled.alias("spans"),
     )
+
+
+def without_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without any verbatim match, with their own columns."""
+    matched = with_matches(set_aside(documents, StructType.fromDDL(ADDED).names), benchmark, window)
+    return set_back(matched.filter("n_hit = 0"), documents.columns)

@@ -24,12 +24,13 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored
+from docloom.llm.common import set_aside, set_back, stored
 from docloom.llm.ranges import running_total
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 MAX_EPOCHS = 2
+ADDED = ["size", "source_size", "target", "copies"]
 
 
 def word_count(text: Column) -> Column:
@@ -95,7 +96,7 @@ def mix(
 
     The table of sources is joined on the source; sums are made per task before they move.
     """
-    sized = documents.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col("text")))
+    sized = documents.drop(*ADDED).withColumn("size", word_count(F.col("text")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, max_epochs).select(
         F.col("source").alias("_source"), "source_size", "target"
@@ -112,9 +113,6 @@ def mix(
 
 def mixed_rows(documents: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns."""
-    return (
-        mix(documents, **options)
-        .filter("copies > 0")
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-        .select(*documents.columns)
-    )
+    taken = mix(set_aside(documents, ADDED), **options).filter("copies > 0")
+    repeated = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return set_back(repeated, documents.columns)

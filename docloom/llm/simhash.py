@@ -8,8 +8,8 @@ bits leave some v orthogonal to all of them, so two fingerprints within the radi
 whole key of that table: every link is found, by construction.
 
 Equal fingerprints are one row before the tables are made. In a bucket, links are found by counting
-bits and only a spanning star of each connected part is returned, so a bucket yields fewer edges
-than rows. A bucket of more than ``HOT`` different fingerprints is split by a second family of masks
+bits and only links that span each connected part are returned, so a bucket yields fewer edges than
+rows. A bucket of more than ``HOT`` different fingerprints is split by a second family of masks
 over the bits that its key leaves open, which again covers all pairs; what shares both keys differs
 in some 15 bits at most, so no bucket is beyond a task, however frequent a pattern is.
 
@@ -37,16 +37,23 @@ BITS = 64
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
+# For groups by similarity: shingles of so many words, and how far apart candidates may be.
+SIMILARITY = 0.8
+WORDS = 5
+WIDE_RADIUS = 5
 HOT = 4_096
 RUN_BYTES = 4 << 20
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Words are runs of bytes that are no ASCII white space, A to Z lowered."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, once: bool = False) -> int:
+    """Words are runs of bytes that are no ASCII white space, A to Z lowered; with ``once`` a word
+    that repeats counts once (for shingles of one word)."""
     words = text.lower().split()
     if not words:
         return 0
+    if once:
+        words = list(dict.fromkeys(words))
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     last = ends[min(shingle, len(words)) - 1 :] - 1
@@ -60,14 +67,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(last), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(documents: DataFrame, shingle: int = SHINGLE, name: str = "fp", keep: list[str] | None = None) -> DataFrame:
+def with_fingerprints(documents: DataFrame, shingle: int = SHINGLE, name: str = "fp", keep: list[str] | None = None, once: bool = False) -> DataFrame:
     """Columns ``keep`` (None: all) of every row and its fingerprint as a signed 64-bit number."""
     kept = [c for c in (keep or documents.columns) if c != name]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_runs(batch, "text", RUN_BYTES):
-                found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+                found = np.array([fingerprint(t, shingle, once) for t in texts], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found)], names=[*kept, name])
 
     schema = StructType([*documents.select(*kept).schema, StructField(name, LongType())])
@@ -85,24 +92,26 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def stars(prints: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """A star for every connected part of the different fingerprints of one bucket."""
-    centers: list[int] = []
+def spanning_links(prints: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Links within the radius that span every connected part of one bucket's fingerprints: each
+    fingerprint is linked once, to one that was reached before it."""
+    reached: list[int] = []
     members: list[int] = []
     left = np.sort(prints)
     while len(left) > 1:
-        center, left = left[0], left[1:]
-        frontier = np.array([center])
+        frontier, left = left[:1], left[1:]
         while len(frontier) and len(left):
-            near = np.zeros(len(left), bool)
+            parent = np.full(len(left), -1)
             for i in range(0, len(frontier), 256):
-                rest = np.flatnonzero(~near)
-                apart = np.bitwise_count((frontier[i : i + 256, None] ^ left[None, rest]).view(np.uint64))
-                near[rest[(apart <= radius).any(axis=0)]] = True
-            frontier, left = left[near], left[~near]
-            centers += [int(center)] * len(frontier)
+                rest = np.flatnonzero(parent < 0)
+                near = np.bitwise_count((frontier[i : i + 256, None] ^ left[None, rest]).view(np.uint64)) <= radius
+                hit = near.any(axis=0)
+                parent[rest[hit]] = i + near[:, hit].argmax(axis=0)
+            found = parent >= 0
+            reached += frontier[parent[found]].tolist()
+            frontier, left = left[found], left[~found]
             members += frontier.tolist()
-    return centers, members
+    return reached, members
 
 
 def _bucket_edges(radius: int, keys: int):
@@ -119,8 +128,8 @@ def _bucket_edges(radius: int, keys: int):
             linked = pairs[np.bitwise_count((prints[pairs] ^ prints[pairs + 1]).view(np.uint64)) <= radius]
             us, vs = prints[linked].tolist(), prints[linked + 1].tolist()
             for a, b in zip(starts[size > 2], ends[size > 2]):
-                centers, members = stars(prints[a:b], radius)
-                us += centers
+                reached, members = spanning_links(prints[a:b], radius)
+                us += reached
                 vs += members
             return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
@@ -146,12 +155,19 @@ def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     counted = keyed.select(F.col("t").cast("long").alias("t"), "k", "fp").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("t", "k")))
     usual = counted.filter((F.col("_n") > 1) & (F.col("_n") <= hot)).select("t", "k", "fp").mapInArrow(_bucket_edges(radius, 2), "u long, v long")
 
-    deeper = [[m | x for x in covering_masks(radius, [b for b in range(BITS) if not m >> b & 1])] for m in masks]
-    second = [F.element_at(F.array(*[F.lit(signed(d[i])) for d in deeper]), (F.col("t") + 1).cast("int")) for i in range(len(masks))]
+    deeper = np.array([[m | x for x in covering_masks(radius, [b for b in range(BITS) if not m >> b & 1])] for m in masks], np.uint64).view(np.int64)
+
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = deeper.shape[1]
+        for batch in batches:
+            t, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            columns = [np.repeat(t, width), np.tile(np.arange(width), len(t)), (fp[:, None] & deeper[t]).ravel(), np.repeat(fp, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["t", "t2", "k2", "fp"])
+
     split = (
         counted.filter(F.col("_n") > hot)
-        .select("t", "k", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(x) for x in second])).alias("t2", "k2"))
-        .select("t", F.col("t2").cast("long").alias("t2"), "k2", "fp")
+        .select("t", "fp")
+        .mapInArrow(divided, "t long, t2 long, k2 long, fp long")
         .repartition("t", "t2", "k2")
         .sortWithinPartitions("t", "t2", "k2")
         .mapInArrow(_bucket_edges(radius, 3), "u long, v long")
@@ -174,14 +190,86 @@ def near_groups(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADI
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def without_near_copies(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted different hashes of the text's word shingles."""
+    found = text.lower().split()
+    shingles = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], "<u8"))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; two empty ones are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, text_hash, root, component_id): groups of texts whose shingles of ``words`` words have
+    a Jaccard similarity of at least ``similarity``.
+
+    Candidates are fingerprints of the different words within the wider ``radius``; these move less
+    under an edit than those of longer shingles. Each candidate link is confirmed on the exact sets
+    of shingles of both texts. Equal texts are one node.
+    """
+    keep = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    prints = stored(with_fingerprints(keep, 1, keep=["doc_id", "text_hash"], once=True), "fingerprints")
+    texts = stored(prints.groupBy("text_hash", "fp").agg(F.min("doc_id").alias("first")), "texts")
+    heads = texts.groupBy("fp").agg(F.min("text_hash").alias("head"))
+    found = links(heads.select("fp"), radius).distinct()
+    near = (
+        found.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u")
+        .join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
+        .select("a", "b")
+    )
+    equal = texts.join(heads, "fp").filter("text_hash <> head").select(F.col("text_hash").alias("a"), F.col("head").alias("b"))
+    pairs = stored(near.union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, some in text_runs(batch, "text", RUN_BYTES):
+                sets = [shingle_set(t, words).tobytes() for t in some]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
+            good = pa.array([jaccard(x, y) >= similarity for x, y in zip(a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["u", "v"])
+
+    # One document of each text that is in a pair gives its shingles.
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct().join(texts, "text_hash").select(F.col("text_hash").alias("node"), "first")
+    sources = keep.join(nodes, (F.col("text_hash") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
+    sets = stored(sources.mapInArrow(shingled, "node long, shingles binary"), "shingles").dropDuplicates(["node"])
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+    )
+    parts = components(joined.select("a", "b", "sa", "sb").mapInArrow(confirmed, "u long, v long"))
+    rooted = texts.join(parts, F.col("text_hash") == F.col("node"), "left").select("text_hash", "first", F.coalesce("root", "text_hash").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(smallest, "root").select(F.col("text_hash").alias("_text"), "root", "component_id")
+    return prints.join(named, F.col("text_hash") == F.col("_text")).select("doc_id", "text_hash", "root", "component_id")
+
+
+def one_of_each(documents: DataFrame, groups: DataFrame, text_hash) -> DataFrame:
     """``documents`` with one row of each group: the one with the smallest id; among rows that
     repeat this id the smallest hash of the text decides, and of equal rows one stays."""
-    groups = near_groups(documents, shingle, radius)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Only rows that bear their group's smallest id get here, so a large group is few rows.
     one = first.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
     kept = one.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).drop("_id", "_hash")
-    number = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
+    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))).drop("_id", "_hash")
+    number = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy(F.lit(1)))
     return rows.withColumn("_number", number).filter("_number = 1").drop("_number")
+
+
+def without_near_copies(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of ``near_groups``."""
+    return one_of_each(documents, near_groups(documents, shingle, radius), F.xxhash64("text"))
+
+
+def without_similar(documents: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
+    """One row of each group of ``similar_groups``."""
+    groups = similar_groups(documents, similarity, words, radius)
+    return one_of_each(documents, groups, F.xxhash64(F.coalesce("text", F.lit(""))))

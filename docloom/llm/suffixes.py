@@ -37,7 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -396,13 +396,14 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*pair, pa.array(np.full(len(begin), row["id"])), pa.array(at - np.arange(near, back + 1))], names=["h1", "h2", "id", "begin"])
 
 
-def identified(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with ``id``, a hash of the text, and (id, n, first) with the number of copies and
-    the smallest doc_id of each text; the hash is checked against length and a checksum."""
+def identified(documents: DataFrame) -> tuple[Column, DataFrame]:
+    """A hash of the text, and (id, n, first, size) with the number of copies and the smallest doc_id
+    of each text; the hash is checked against length and a checksum."""
+    text = F.coalesce("text", F.lit(""))
     for seed in range(16):
-        rows = documents.withColumn("id", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))))
+        key = F.xxhash64(F.lit(seed), text)
         copies = stored(
-            rows.select("id", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("check"))
+            documents.select(key.alias("id"), "doc_id", F.octet_length(text).alias("size"), F.crc32(text.cast("binary")).alias("check"))
             .groupBy("id")
             .agg(
                 F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("size").alias("size"),
@@ -411,13 +412,14 @@ def identified(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             "text-copies",
         )
         if not copies.filter("clash").limit(1).count():
-            return rows, copies
+            return key, copies
     raise ValueError("texts collide under every seed")
 
 
-def removed_stretches(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Documents with their text's id, and (id, all, spans) of the texts that lose bytes."""
-    rows, copies = identified(documents)
+def removed_stretches(documents: DataFrame, hot: int = HOT) -> tuple[Column, DataFrame]:
+    """The hash that names a text, and (id, all, spans) of the texts that lose bytes."""
+    key, copies = identified(documents)
+    rows = documents.select(key.alias("id"), "doc_id", "text")
     found = stored(
         rows.select("id", "text").mapInArrow(_scan, ANCHORS).repartition("key").sortWithinPartitions("key", "around").mapInArrow(_repeats, FOUND),
         "anchors",
@@ -453,17 +455,17 @@ def removed_stretches(documents: DataFrame, hot: int = HOT) -> tuple[DataFrame,
     whole = copies.filter((F.col("n") > 1) & (F.col("size") >= LENGTH)).select("id")
     lost = spans.join(whole, "id", "left_anti").select("id", F.lit(False).alias("all"), "spans")
     none = F.array().cast("array<struct<begin:bigint,stop:bigint>>")
-    return rows, lost.union(whole.select("id", F.lit(True), none))
+    return key, lost.union(whole.select("id", F.lit(True), none))
 
 
 def without_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
     """``documents`` with n_bytes, n_removed, n_spans (maximal runs removed) and kept (the rest)."""
     added = StructType.fromDDL(ADDED)
-    rows, lost = removed_stretches(documents.drop("id", *added.names), hot)
-    columns = [c for c in rows.columns if c != "id"]
-    joined = rows.join(lost.select(F.col("id").alias("_id"), "all", "spans"), F.col("id") == F.col("_id"), "left").select(
-        *columns, F.col("all").alias("_all"), F.col("spans").alias("_spans")
-    )
+    documents = documents.drop(*added.names)
+    key, lost = removed_stretches(documents, hot)
+    columns = documents.columns
+    losses = lost.select(F.col("id").alias("_id"), F.col("all").alias("_all"), F.col("spans").alias("_spans"))
+    joined = documents.join(losses, key == F.col("_id"), "left").drop("_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -484,7 +486,7 @@ def without_repeats(documents: DataFrame, hot: int = HOT) -> DataFrame:
                     [*(part.column(c) for c in columns), *(pa.array(c, t) for c, t in zip(zip(*made), kinds))], names=[*columns, *added.names]
                 )
 
-    schema = StructType([*documents.drop("id", *added.names).schema, *added])
+    schema = StructType([*documents.schema, *added])
     return joined.mapInArrow(cut, schema)
 
 

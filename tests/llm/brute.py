@@ -57,6 +57,39 @@ def near_roots(rows, radius=3):
     return [(i, f, root[f], least.get(root[f])) for i, f in prints]
 
 
+def shingles(text, k=5):
+    words = BLANK_SPLIT.findall((text or "").translate(LOWER))
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def word_print(text):
+    """Fingerprint of the different words."""
+    words = set(BLANK_SPLIT.findall((text or "").translate(LOWER)))
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def similar_first(rows, similarity=0.8, radius=5):
+    """Smallest id of each group of texts that are similar and candidates of each other."""
+    sets = {t or "": shingles(t) for _, t in rows}
+    prints = {t: word_print(t) for t in sets}
+
+    def linked(a, b):
+        both = len(sets[a] & sets[b])
+        total = len(sets[a] | sets[b])
+        return (both / total if total else 1) >= similarity and (prints[a] ^ prints[b]).bit_count() <= radius
+
+    root = groups(sets, linked)
+    first = {}
+    for i, t in rows:
+        r = root[t or ""]
+        if i is not None:
+            first[r] = min(i, first.get(r) if first.get(r) is not None else i)
+        else:
+            first.setdefault(r, None)
+    return list(first.values())
+
+
 def contamination(rows, items, window=10):
     """(doc_id, n_words, n_hit, item ids) of rows."""
     found = collections.defaultdict(set)

@@ -60,6 +60,35 @@ def test_one_document_of_each_group_stays(edges, edge_rows):
     assert collections.Counter(r.doc_id for r in kept.collect()) == want
 
 
+def test_similar_texts_leave_one(spark, edges, edge_rows, no_documents):
+    kept = simhash.without_similar(edges)
+    assert kept.columns == edges.columns
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(brute.similar_first(pairs(edge_rows)))
+    assert simhash.without_similar(no_documents).count() == 0
+
+
+def test_near_copies_are_found_and_others_are_left(spark):
+    rng = random.Random(9)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+
+    rows, last = [], None
+    for i in range(200):
+        if i % 4 == 1:  # one word of the text before is another one
+            last = last[:]
+            last[rng.randrange(len(last))] = "changed"
+        elif i % 4 == 2:  # half of it is other words
+            last = last[: len(last) // 2] + words(len(last) // 2)
+        else:
+            last = words(rng.randrange(120, 400))
+        rows.append((i, " ".join(last)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.without_similar(df).collect()}
+    assert {i for i in range(200) if i % 4 != 1} <= kept
+    assert len({i for i in range(200) if i % 4 == 1} & kept) <= 2
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(3)
     nodes = rng.sample(range(10_000), 400)
