@@ -5,7 +5,8 @@ which is written as Parquet and read again as the next one's docs. All but the l
 columns of documents.
 
 1. ``quality``: documents whose quality score is under ``QUALITY`` go; learned from ``labels``.
-2. ``near_duplicates``: of each group of linked texts, the document with the smallest id stays.
+2. ``near_duplicates``: of texts with equal or similar shingles (five words, Jaccard similarity of
+   0.8 or more) the document with the smallest id stays.
 3. ``decontamination``: documents with a verbatim match with ``benchmark`` go.
 4. ``mixing``: documents are repeated or left out by their source's weight.
 5. ``tokens``: token ids are written as flat files; the index that is read back is returned.
@@ -31,12 +32,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.without_near_copies(docs)
+    return simhash.without_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    matched = decontam.with_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return matched.filter("n_hit = 0").select(*docs.columns)
+    return decontam.without_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
