@@ -44,6 +44,7 @@ PART_BITS = BITS // PARTS
 SAMPLE = 4_096
 REACH = 0.985
 QUERY_BLOCK = 16_384
+QUERY_ROWS = 128
 TURNS = 30
 
 
@@ -91,36 +92,41 @@ class Index:
     def __init__(self, coder: Coder, vectors: np.ndarray):
         self.coder, self.vectors = coder, vectors
         self.codes = coder.codes(vectors) if len(vectors) else np.zeros(0, np.uint64)
-        self.tables = []
-        for part in np.ascontiguousarray(self.codes.astype("<u8")).view("<u2").reshape(-1, PARTS).T:
-            order = np.argsort(part, kind="stable")
-            values, starts = np.unique(part[order], return_index=True)
-            self.tables.append((order, values, starts, np.append(starts[1:], len(order)) - starts))
-
-    def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """Vectors whose code differs from ``code`` in at most ``radius`` bits."""
-        found = []
-        for (order, values, starts, counts), part in zip(self.tables, np.array([code], "<u8").view("<u2")):
+        self.tables = [np.unique(part, return_inverse=True) for part in substrings(self.codes).T]
+
+    def within(self, codes: np.ndarray, radius: int) -> np.ndarray:
+        """(queries x vectors) flags: the codes differ in at most ``radius`` bits."""
+        near = np.zeros((len(codes), len(self.codes)), bool)
+        for (values, bucket), parts in zip(self.tables, substrings(codes).T):
             # Of all values within the substring's radius, only those that occur are visited.
-            hit = np.flatnonzero(np.bitwise_count(values ^ part) <= radius // PARTS)
-            n = counts[hit]
-            found.append(order[np.repeat(starts[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        near = np.unique(np.concatenate(found))
-        return near[np.bitwise_count(self.codes[near] ^ code) <= radius]
-
-    def nearest(self, query: np.ndarray, code: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, inner product) of the k nearest found; all vectors tied with the last are in."""
+            probed = np.bitwise_count(parts[:, None] ^ values[None, :]) <= radius // PARTS
+            near |= probed[:, bucket]
+        near &= np.bitwise_count(codes[:, None] ^ self.codes[None, :]) <= radius
+        return near
+
+    def nearest(self, queries: np.ndarray, codes: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(vectors, inner products) of about the k nearest found of each query, the k nearest among them."""
+        k = min(k, len(self.codes))
         radius = self.coder.radius
-        near = self.within(code, radius)
-        while len(near) < min(k, len(self.codes)):
+        near = self.within(codes, radius)
+        few = np.flatnonzero(near.sum(axis=1) < k)
+        while len(few):
             radius += PARTS
-            near = self.within(code, radius)
-        # One product at a time, so that a score does not depend on what is ranked beside it.
-        score = (self.vectors[near] * query).sum(axis=1)
-        if len(near) > k:
-            least = np.partition(score, len(score) - k)[len(score) - k]
-            near, score = near[score >= least], score[score >= least]
-        return near, score
+            near[few] = self.within(codes[few], radius)
+            few = few[near[few].sum(axis=1) < k]
+        about = np.where(near, queries @ self.vectors.T, -np.inf)
+        out = []
+        for query, row in zip(queries, about):
+            # Those tied with the k-th but for rounding are in; then each product is summed by itself,
+            # so that a score does not depend on what is ranked beside it.
+            least = np.partition(row, len(row) - k)[len(row) - k]
+            best = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
+            out.append((best, (self.vectors[best] * query).sum(axis=1)))
+        return out
+
+
+def substrings(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(codes.astype("<u8")).view("<u2").reshape(-1, PARTS)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -183,10 +189,10 @@ def _pass(classes: DataFrame, coder, queries: pa.Table, size: int, k: int) -> Da
             ids = batch.column("ids").to_pylist()
             vectors = batch.column("embedding").flatten().to_numpy().reshape(-1, size)
             index, rows = Index(coder.value, vectors), []
-            for query, code in zip(asked, codes):
-                near, score = index.nearest(query, code, k + 1)
-                best = sorted((-s, i) for v, s in zip(near.tolist(), score.tolist()) for i in ids[v])[: k + 1]
-                rows.append([{"minus": s, "id": i} for s, i in best])
+            for at in range(0, len(asked), QUERY_ROWS):
+                for near, score in index.nearest(asked[at : at + QUERY_ROWS], codes[at : at + QUERY_ROWS], k + 1):
+                    best = sorted((-s, i) for v, s in zip(near.tolist(), score.tolist()) for i in ids[v])[: k + 1]
+                    rows.append([{"minus": s, "id": i} for s, i in best])
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rows, near_type)], names=["class_id", "near"])
 
     return classes.mapInArrow(answer, "class_id long, near array<struct<minus:double,id:long>>")

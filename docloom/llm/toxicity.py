@@ -34,19 +34,19 @@ from docloom.llm.calibrate import calibrated, isotonic
 from docloom.llm.common import text_runs, unit_hash
 
 WINDOW = 128
-ORDINARY_BYTES = 110_000
-TOXIC_BYTES = 4_096
+ORDINARY_BYTES = 440_000
+TOXIC_BYTES = 3_072
 ORDINARY_WINDOWS = 80_000
 SAMPLE = 9_000
 SAMPLE_TEXT = 1 << 17
-LEVEL = 3
+LEVEL = 6  # lower ones index a dictionary at some places only and miss short words
 # A word is toxic training text if it is in so many toxic documents, and so many times as
 # frequent there as in ordinary ones.
-LIFT_SHARE = 0.004
-LIFT = 10.0
+LIFT_SHARE = 0.008
+LIFT = 15.0
 GAINS = 24
 RUN_BYTES = 4 << 20
-# The compressor indexes a dictionary in steps, so both dictionaries are cut to whole steps.
+# Dictionaries are cut to whole steps, so that the ordinary text has the same alignment in both.
 STEP = 24
 
 
@@ -95,8 +95,8 @@ class Model:
             made = []
             for content in (self.ordinary, self.toxic + self.ordinary):
                 options = zstandard.ZstdCompressionParameters.from_level(
-                    LEVEL, source_size=WINDOW, dict_size=len(content), min_match=4, hash_log=17, chain_log=17,
-                    window_log=18, write_content_size=False, write_checksum=False, write_dict_id=False,
+                    LEVEL, source_size=WINDOW, dict_size=len(content), min_match=4, hash_log=18, chain_log=18,
+                    window_log=20, write_content_size=False, write_checksum=False, write_dict_id=False,
                 )
                 words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 words.precompute_compress(compression_params=options)
