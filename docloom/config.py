@@ -21,9 +21,7 @@ class Settings:
     ttl_seconds: int = 24 * 3600
     max_history: int = 10
     history_in_prompt: int = 3
-    # Largest query block whose score matrix is shipped to the scoring tasks.
-    query_block: int = 256
-    # The same for query vectors, which are short: more of them share a pass.
+    # Largest block of query vectors that is shipped to the scoring tasks.
     vector_block: int = 1024
     # Largest side that may be broadcast, in rows, after it was counted.
     broadcast_rows: int = 200_000

@@ -1,23 +1,22 @@
-"""BM25 and TF-IDF: corpus statistics by aggregation, scoring inside the scan tasks."""
+"""BM25 and TF-IDF over stored postings.
+
+A corpus is cut into words once. Its postings (term, id, count) are a table; a search explodes the
+queries to (query, term, weight) rows, joins them with the postings on the term and sums by query
+and id. So any number of queries is one plan, only postings of asked terms take part, and nothing
+passes the driver but the totals of the corpus.
+"""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import rules
-from docloom.config import Settings
 from docloom.functions import text as t
-from docloom.operators.topk import query_blocks, scan_top_k, top_k, union_all
-
-_POSTINGS_PER_STEP = 4_000_000
+from docloom.operators.topk import SCORE_DIGITS, top_k
+from docloom.session import stored, work_folder
 
 
 def bm25_tokens(text: Column) -> Column:
@@ -48,49 +47,32 @@ def term_counts(df: DataFrame, terms: Column) -> DataFrame:
     )
 
 
-def tfidf_vocabulary(
-    corpus: DataFrame, terms: Column, n_docs: int, max_features: int, max_df: float, min_df: int
-) -> DataFrame:
-    """``term, df, cf, idf`` of the most frequent terms that are neither too rare nor too common."""
-    return (
-        term_counts(corpus, terms)
-        .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-        .withColumn("idf", F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1)
-        .orderBy(F.col("cf").desc(), "term")
-        .limit(max_features)
+def postings(df: DataFrame, terms: Column, id_col: str = "id") -> DataFrame:
+    """``id, len, pos, term, tf``: one row per different term of each row, the first at ``pos`` 0.
+
+    A row without terms is kept as one row with a null term, so that it counts as a row.
+    """
+    rows = df.select(F.col(id_col).alias("id"), terms.alias("terms"))
+    return rows.select("id", F.size("terms").alias("len"), F.posexplode_outer(t.counts(F.col("terms"))).alias("pos", "p")).select(
+        "id", "len", F.coalesce("pos", F.lit(0)).alias("pos"), "p.term", "p.tf"
     )
 
 
-def _postings(column: pa.Array, vocabulary: pa.Array):
-    """Row, term position and count of the vocabulary's terms in a list column."""
-    offsets = column.offsets.to_numpy()
-    rows = np.repeat(np.arange(len(column)), np.diff(offsets))
-    places = pc.index_in(column.flatten(), value_set=vocabulary)
-    known = places.is_valid().to_numpy(zero_copy_only=False)
-    ids = places.fill_null(-1).to_numpy(zero_copy_only=False)[known].astype(np.int64)
-    size = max(len(vocabulary), 1)
-    keys, tf = np.unique(rows[known] * size + ids, return_counts=True)
-    return keys // size, keys % size, tf
+def term_weights(queries: DataFrame, terms: Column) -> DataFrame:
+    """``query_id, term, n`` of the queries' terms."""
+    return queries.select("query_id", F.explode(t.counts(terms)).alias("p")).select("query_id", "p.term", F.col("p.tf").alias("n"))
 
 
-def _row_sums(rows: np.ndarray, terms: np.ndarray, values: np.ndarray, weights: np.ndarray, n: int):
-    """Sum of value x weight row over each row's postings, in bounded steps."""
-    out = np.zeros((n, weights.shape[1]))
-    step = max(_POSTINGS_PER_STEP // max(weights.shape[1], 1), 1)
-    for a in range(0, len(rows), step):
-        part = slice(a, a + step)
-        starts = np.flatnonzero(np.r_[True, np.diff(rows[part]) != 0])
-        sums = np.add.reduceat(values[part, None] * weights[terms[part]], starts, axis=0)
-        out[rows[part][starts]] += sums
-    return out
+def summed(found: DataFrame, value: Column) -> DataFrame:
+    """Scores by query and id, rounded."""
+    return found.groupBy("query_id", "id").agg(F.round(F.sum(value), SCORE_DIGITS).alias("score"))
 
 
 @dataclass
 class Bm25Model:
-    """Okapi statistics of a corpus. ``terms`` (term, df) stays distributed."""
+    """Okapi statistics and postings of a corpus."""
 
-    corpus: DataFrame
-    id_col: str
+    rows: DataFrame
     terms: DataFrame
     n_docs: int
     avg_len: float
@@ -99,115 +81,87 @@ class Bm25Model:
 
     @staticmethod
     def fit(corpus: DataFrame, id_col: str = "id", text_col: str = "text", table: str | None = None) -> Bm25Model:
-        """One pass over the corpus for the term table; it is written to ``table`` if given.
+        """Cut the corpus into postings below ``table`` (None: a new folder of the shared one)."""
+        table = table or work_folder(corpus.sparkSession, "bm25")
+        return Bm25Model.of_postings(stored(postings(corpus, bm25_tokens(F.col(text_col)), id_col), f"{table}/postings"), table)
 
-        The length of a row rides on its first distinct term, so row count and average
-        length come from the same pass.
-        """
-        spark = corpus.sparkSession
-        rows = corpus.select(F.col(id_col), bm25_tokens(F.col(text_col)).alias("tokens"))
-        first = F.col("pos").isNull() | (F.col("pos") == 0)
-        terms = (
-            rows.select(F.size("tokens").alias("len"), F.posexplode_outer(F.array_distinct("tokens")).alias("pos", "term"))
-            .groupBy("term")
-            .agg(
-                F.count("term").alias("df"),
-                F.sum(first.cast("long")).alias("docs"),
-                F.sum(F.when(first, F.col("len")).otherwise(0)).alias("words"),
-            )
+    @staticmethod
+    def of_postings(rows: DataFrame, table: str | None = None) -> Bm25Model:
+        """The statistics of stored postings."""
+        table = table or work_folder(rows.sparkSession, "bm25")
+        first = F.col("pos") == 0
+        terms = rows.groupBy("term").agg(
+            F.count("term").alias("df"), F.sum(first.cast("long")).alias("docs"), F.sum(F.when(first, F.col("len")).otherwise(0)).alias("words")
         )
-        if table:
-            terms.write.mode("overwrite").parquet(table)
-            terms = spark.read.parquet(table)
-        else:
-            terms = terms.persist()
+        terms = stored(terms, f"{table}/terms")
         total = terms.agg(F.sum("docs").alias("n"), F.sum("words").alias("w"), F.count("term").alias("v")).first()
         n = total["n"] or 0
         idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         mean = terms.where(F.col("term").isNotNull()).agg(F.avg(idf)).first()[0]
-        return Bm25Model(
-            rows, id_col, terms, n, (total["w"] or 0) / n if n else 0.0, mean or 0.0, total["v"] or 0
+        return Bm25Model(rows, terms, n, (total["w"] or 0) / n if n else 0.0, mean or 0.0, total["v"] or 0)
+
+    def search(self, queries: DataFrame, k: int, positive_only: bool = True) -> DataFrame:
+        """``query_id, id, score, rank``: the k best rows for each (query_id, text).
+
+        A negative idf becomes a share of the mean. Without ``positive_only`` rows that share no
+        word with a query follow with score 0, the smallest ids first.
+        """
+        k1, b = rules.BM25_K1, rules.BM25_B
+        asked = term_weights(queries, bm25_tokens(F.col("text")))
+        idf = F.log(F.lit(float(self.n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        idf = F.when(idf >= 0, idf).otherwise(rules.BM25_EPSILON * self.avg_idf)
+        weights = asked.join(self.terms.select("term", "df"), "term").select("query_id", "term", (F.col("n") * idf).alias("w"))
+        share = F.col("len") / F.lit(self.avg_len) if self.avg_len else F.lit(0.0)
+        value = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * share))
+        hits = summed(self.rows.select("term", "id", "len", "tf").join(weights, "term"), value)
+        if positive_only:
+            hits = hits.where("score > 0")
+        else:
+            hits = self._with_others(hits, queries, k)
+        return top_k(hits, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+
+    def _with_others(self, hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """Hits and, for every query, the first rows of the corpus with score 0 unless they are hits.
+
+        At most k positive hits stand before them, so the 2k smallest ids are enough; all rows are
+        taken where the mean idf is negative, as in a corpus whose every word is in most rows.
+        """
+        ids = self.rows.where("pos = 0").select("id").distinct()
+        if self.avg_idf >= 0:
+            ids = ids.orderBy("id").limit(2 * k)
+        first = ids.agg(F.sort_array(F.collect_list("id")).alias("ids")).first()["ids"]
+        if not first:
+            return hits
+        lists = F.from_json(F.lit(_json(first)), f"array<{self.rows.schema['id'].dataType.simpleString()}>")
+        others = queries.select("query_id").distinct().select("query_id", F.explode(lists).alias("id"))
+        return (
+            others.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0)).unionByName(hits)
         )
 
-    def idf(self, words: list[str]) -> dict[str, float]:
-        """Weights of the given words; a negative weight becomes a share of the mean."""
-        spark = self.corpus.sparkSession
-        asked = spark.createDataFrame([(w,) for w in words], "term string")
-        found = self.terms.join(F.broadcast(asked), "term").select("term", "df").collect()
-        out = {}
-        for term, df in found:
-            value = math.log(self.n_docs - df + 0.5) - math.log(df + 0.5)
-            out[term] = value if value >= 0 else rules.BM25_EPSILON * self.avg_idf
-        return out
-
-    def search(
-        self, queries: DataFrame, k: int, positive_only: bool = True, block: int = Settings.query_block
-    ) -> DataFrame:
-        """``query_id, id, score, rank``: the k best rows for each (query_id, text)."""
-        asked = queries.select("query_id", bm25_tokens(F.col("text")).alias("tokens"))
-        rows = self.corpus.select(F.col(self.id_col).alias("id"), "tokens")
-        id_type, query_type = rows.schema["id"].dataType, queries.schema["query_id"].dataType
-        parts = []
-        for some in query_blocks(asked, block):
-            words = sorted({w for r in some for w in r["tokens"]})
-            idf = self.idf(words)
-            words = [w for w in words if w in idf]
-            weights = np.zeros((len(words), len(some)))
-            place = {w: i for i, w in enumerate(words)}
-            for q, row in enumerate(some):
-                for w, n in Counter(row["tokens"]).items():
-                    if w in place:
-                        weights[place[w], q] = n * idf[w]
-            scorer = _bm25_scorer(pa.array(words, pa.string()), weights, self.avg_len)
-            parts.append(
-                scan_top_k(
-                    rows, id_type, query_type, [r["query_id"] for r in some], scorer, k,
-                    floor=0.0 if positive_only else None,
-                )
-            )
-        if not parts:
-            return _no_hits(rows, queries)
-        return top_k(union_all(parts), ["query_id"], [F.col("score").desc(), F.col("id")], k)
-
-    def close(self) -> None:
-        self.terms.unpersist()
-
-
-def _no_hits(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    return rows.limit(0).select(
-        F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"),
-        "id",
-        F.lit(0.0).alias("score"),
-        F.lit(1).alias("rank"),
-    )
 
+def _json(values: list) -> str:
+    import json
 
-def _bm25_scorer(vocabulary: pa.Array, weights: np.ndarray, avg_len: float):
-    k1, b = rules.BM25_K1, rules.BM25_B
+    return json.dumps(values, default=str)
 
-    def score(batch: pa.RecordBatch):
-        tokens = batch.column(1)
-        lengths = np.diff(tokens.offsets.to_numpy())
-        rows, terms, tf = _postings(tokens, vocabulary)
-        share = lengths[rows] / avg_len if avg_len else np.zeros(len(rows))
-        values = tf * (k1 + 1) / (tf + k1 * (1 - b + b * share))
-        yield slice(None), _row_sums(rows, terms, values, weights, batch.num_rows)
 
-    return score
+def tfidf_vocabulary(counts: DataFrame, n_docs: int, max_features: int | None, max_df: float, min_df: int) -> DataFrame:
+    """``term, idf`` of terms that are neither too rare nor too common, of ``counts`` (term, df, cf);
+    with ``max_features`` the most frequent ones only."""
+    kept = counts.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    if max_features is not None:
+        kept = kept.orderBy(F.col("cf").desc(), "term").limit(max_features)
+    return kept.select("term", (F.log(F.lit(1.0 + n_docs) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 @dataclass
 class TfidfModel:
-    """Vocabulary and inverse document frequencies; at most ``max_features`` terms."""
+    """Inverse document frequencies, and postings weighted so that each row has length 1."""
 
-    corpus: DataFrame
-    id_col: str
-    text_col: str
+    weights: DataFrame
+    vocabulary: DataFrame
     stop_words: list[str]
-    terms: list[str]
-    idf: np.ndarray
     n_docs: int
-    place: dict = field(default_factory=dict)
 
     @staticmethod
     def fit(
@@ -215,53 +169,44 @@ class TfidfModel:
         id_col: str = "id",
         text_col: str = "text",
         stop_words: list[str] = tuple(rules.TFIDF_STOP_WORDS),
-        max_features: int = rules.TFIDF_MAX_FEATURES,
+        max_features: int | None = None,
         max_df: float = rules.TFIDF_MAX_DF,
         min_df: int = rules.TFIDF_MIN_DF,
+        table: str | None = None,
     ) -> TfidfModel:
-        n = corpus.count()
-        terms_of = tfidf_terms(F.col(text_col), stop_words)
-        found = tfidf_vocabulary(corpus, terms_of, n, max_features, max_df, min_df).collect()
-        terms, idf = [r["term"] for r in found], np.array([r["idf"] for r in found])
-        return TfidfModel(
-            corpus, id_col, text_col, list(stop_words), terms, idf, n, {w: i for i, w in enumerate(terms)}
-        )
+        """Cut the corpus into postings below ``table`` (None: a new folder of the shared one)."""
+        table = table or work_folder(corpus.sparkSession, "tfidf")
+        rows = stored(postings(corpus, tfidf_terms(F.col(text_col), stop_words), id_col), f"{table}/postings")
+        return TfidfModel.of_postings(rows, stop_words, max_features, max_df, min_df, table)
 
-    def search(
-        self, queries: DataFrame, k: int, min_score: float = rules.TFIDF_MIN_SCORE, block: int = Settings.query_block
-    ) -> DataFrame:
-        """``query_id, id, score, rank`` by cosine of the weighted term vectors."""
-        asked = queries.select("query_id", tfidf_terms(F.col("text"), self.stop_words).alias("terms"))
-        rows = self.corpus.select(
-            F.col(self.id_col).alias("id"), tfidf_terms(F.col(self.text_col), self.stop_words).alias("terms")
+    @staticmethod
+    def of_postings(
+        rows: DataFrame,
+        stop_words: list[str] = tuple(rules.TFIDF_STOP_WORDS),
+        max_features: int | None = None,
+        max_df: float = rules.TFIDF_MAX_DF,
+        min_df: int = rules.TFIDF_MIN_DF,
+        table: str | None = None,
+    ) -> TfidfModel:
+        """The vocabulary of stored postings."""
+        table = table or work_folder(rows.sparkSession, "tfidf")
+        counts = rows.groupBy("term").agg(
+            F.count("term").alias("df"), F.sum("tf").alias("cf"), F.sum((F.col("pos") == 0).cast("long")).alias("docs")
         )
-        id_type, query_type = rows.schema["id"].dataType, queries.schema["query_id"].dataType
-        vocabulary = pa.array(self.terms, pa.string())
-        parts = []
-        for some in query_blocks(asked, block):
-            weights = np.zeros((len(self.terms), len(some)))
-            for q, row in enumerate(some):
-                for w, n in Counter(row["terms"]).items():
-                    if w in self.place:
-                        weights[self.place[w], q] = n * self.idf[self.place[w]]
-            norm = np.sqrt((weights * weights).sum(axis=0))
-            weights = np.divide(weights, norm, out=np.zeros_like(weights), where=norm > 0)
-            scorer = _tfidf_scorer(vocabulary, self.idf, weights)
-            parts.append(
-                scan_top_k(rows, id_type, query_type, [r["query_id"] for r in some], scorer, k, floor=min_score)
-            )
-        if not parts:
-            return _no_hits(rows, queries)
-        return top_k(union_all(parts), ["query_id"], [F.col("score").desc(), F.col("id")], k)
-
-
-def _tfidf_scorer(vocabulary: pa.Array, idf: np.ndarray, weights: np.ndarray):
-    def score(batch: pa.RecordBatch):
-        rows, terms, tf = _postings(batch.column(1), vocabulary)
-        values = tf * idf[terms] if len(terms) else np.zeros(0)
-        n = batch.num_rows
-        norm = np.sqrt(np.bincount(rows, values * values, minlength=n))
-        dots = _row_sums(rows, terms, values, weights, n)
-        yield slice(None), np.divide(dots, norm[:, None], out=np.zeros_like(dots), where=norm[:, None] > 0)
-
-    return score
+        counts = stored(counts, f"{table}/terms")
+        n = counts.agg(F.sum("docs")).first()[0] or 0
+        named = counts.where(F.col("term").isNotNull())
+        vocabulary = stored(tfidf_vocabulary(named, n, max_features, max_df, min_df), f"{table}/vocabulary")
+        weighted = rows.select("term", "id", "tf").join(vocabulary, "term").select("term", "id", (F.col("tf") * F.col("idf")).alias("w"))
+        return TfidfModel(stored(weighted, f"{table}/weights"), vocabulary, list(stop_words), n)
+
+    def search(self, queries: DataFrame, k: int, min_score: float = rules.TFIDF_MIN_SCORE) -> DataFrame:
+        """``query_id, id, score, rank`` by cosine of the weighted term vectors."""
+        asked = term_weights(queries, tfidf_terms(F.col("text"), self.stop_words)).join(self.vocabulary, "term")
+        asked = asked.select("query_id", "term", (F.col("n") * F.col("idf")).alias("q"))
+        length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("query_norm"))
+        norms = self.weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        dots = self.weights.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+        score = F.round(F.col("dot") / F.col("norm") / F.col("query_norm"), SCORE_DIGITS)
+        hits = dots.join(norms, "id").join(length, "query_id").select("query_id", "id", score.alias("score")).where(F.col("score") > min_score)
+        return top_k(hits, ["query_id"], [F.col("score").desc(), F.col("id")], k)

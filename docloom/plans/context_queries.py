@@ -183,9 +183,7 @@ def context_compression(db):
 
 
 def _hit_rows(db, asked):
-    model = Bm25Model.fit(db.documents, "doc_id")
-    hits = model.search(asked, 2 * K)
-    model.close()
+    hits = Bm25Model.fit(db.documents, "doc_id").search(asked, 2 * K)
     docs = db.documents.select(F.col("doc_id").alias("id"), "text", "source")
     return attach(hits, docs, asked.count() * 2 * K)
 

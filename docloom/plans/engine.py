@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom import rules
 from docloom.config import Settings
 from docloom.functions.classify import classify_query, query_type, technical_variants
 from docloom.functions.validate import validate_answer
 from docloom.operators import cache, compress, expansion, fusion, memory, parent, prompts, stats, store
 from docloom.operators.chunking import semantic_chunks
 from docloom.operators.dense import dense_search
-from docloom.operators.sparse import Bm25Model, TfidfModel
+from docloom.operators.sparse import Bm25Model, TfidfModel, bm25_tokens, postings, tfidf_terms
 from docloom.operators.store import ChunkStore
 from docloom.operators.topk import union_all
 from docloom.providers import Providers
@@ -38,6 +39,8 @@ class Engine:
         self.history = ChunkStore(spark, folder, "history")
         self.log = ChunkStore(spark, folder, "log")
         self.errors = ChunkStore(spark, folder, "ingest_errors")
+        self.bm25_postings = ChunkStore(spark, folder, "bm25_postings")
+        self.tfidf_postings = ChunkStore(spark, folder, "tfidf_postings")
         self.use_expansion = True
         self.synonyms: DataFrame | None = None
 
@@ -75,7 +78,7 @@ class Engine:
         )
 
     def add_chunks(self, chunks: DataFrame) -> None:
-        """Project chunks to the stored form, embed and append those that are new.
+        """Project chunks to the stored form, embed and append those that are new, with their postings.
 
         Only ids of the sources at hand are compared, so a repeated file or batch adds nothing.
         """
@@ -84,6 +87,14 @@ class Engine:
             rows = self.chunks.without_stored(rows)
         if self.chunks.shards:
             rows = store.with_shard(rows, self.chunks.shards)
+        rows = written(rows)  # what is new is settled before the table grows
+        # Postings go first: a batch that is repeated after a failure replaces none, so ids in both
+        # tables are compared.
+        for table, terms in ((self.bm25_postings, bm25_tokens(F.col("text"))), (self.tfidf_postings, tfidf_terms(F.col("text"), rules.TFIDF_STOP_WORDS))):
+            new = rows.select("id", "text")
+            if table.exists():
+                new = new.join(table.all().where("pos = 0").select("id"), "id", "left_anti")
+            table.append(postings(new, terms))
         self.chunks.append(rows.withColumn("embedding", self.providers.embed(F.col("text"))))
 
     def _add_hierarchy(self, units: DataFrame) -> DataFrame:
@@ -145,17 +156,15 @@ class Engine:
 
     def _mixed_modes(self, queries, k, mode, corpus, n) -> DataFrame:
         embed, texts = self.providers.embed, corpus.select("id", "text")
-        model = Bm25Model.fit(texts)
+        model = Bm25Model.of_postings(self.bm25_postings.all())
         if mode == "keyword":
             hits = model.search(queries, k)
-            model.close()
             return fusion.attach(hits, texts, n * k)
         vectors = queries.select("query_id", embed(F.col("text")).alias("embedding"))
         parts = [fusion.tagged(dense_search(corpus, vectors, 2 * k), "dense")]
         parts.append(fusion.tagged(model.search(queries, 2 * k, positive_only=mode == "hybrid"), "bm25"))
-        model.close()
         if mode == "hybrid":
-            parts.append(fusion.tagged(TfidfModel.fit(texts).search(queries, 2 * k), "tfidf"))
+            parts.append(fusion.tagged(TfidfModel.of_postings(self.tfidf_postings.all()).search(queries, 2 * k), "tfidf"))
         hits = fusion.attach(union_all(parts), texts, n * 2 * k * len(parts))
         fused = fusion.fuse_three(hits) if mode == "hybrid" else fusion.fuse_two(hits, self.settings.alpha)
         return fusion.best(fusion.rerank(fused, queries, self.providers.rerank), k, "final_score")
@@ -307,7 +316,7 @@ class Engine:
             kept.write.mode("overwrite").parquet(self.history.path)
 
     def drop(self) -> None:
-        for table in (self.chunks, self.parents, self.children, self.cache, self.history, self.log, self.errors):
+        for table in (self.chunks, self.parents, self.children, self.cache, self.history, self.log, self.errors, self.bm25_postings, self.tfidf_postings):
             table.drop()
 
     def performance(self) -> DataFrame:

@@ -10,8 +10,7 @@ from docloom.functions.embedding import hashed_embedding
 from docloom.functions.hashing import shard_of
 from docloom.operators import expansion, fusion, parent
 from docloom.operators.dense import dense_search, sharded_dense_search
-from docloom.operators.sparse import Bm25Model, TfidfModel, tfidf_terms
-from docloom.operators.sparse import tfidf_vocabulary as tfidf_vocabulary_of
+from docloom.operators.sparse import Bm25Model, TfidfModel
 from docloom.operators.topk import union_all
 from docloom.plans import sql as q
 from docloom.plans.chunk_queries import type_sql, windows_sql
@@ -90,10 +89,7 @@ def bm25_sql(k: int, floor: str = "score > 0", docs: str = "documents", key: str
 
 @query(f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM ({bm25_sql(K)})")
 def bm25_topk(db):
-    model = Bm25Model.fit(db.documents, "doc_id")
-    hits = model.search(benchmark_queries(db), K)
-    model.close()
-    return hits
+    return Bm25Model.fit(db.documents, "doc_id").search(benchmark_queries(db), K)
 
 
 _STOP = ", ".join(q.quote(w) for w in rules.TFIDF_STOP_WORDS)
@@ -129,17 +125,13 @@ def tfidf_sql(k: int, docs: str = "documents", key: str = "doc_id", queries: str
 
 @query(f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM ({tfidf_sql(K)})")
 def tfidf_topk(db):
-    return TfidfModel.fit(db.documents, "doc_id").search(benchmark_queries(db), K)
+    return TfidfModel.fit(db.documents, "doc_id", max_features=rules.TFIDF_MAX_FEATURES).search(benchmark_queries(db), K)
 
 
 @query(f"WITH {tfidf_ctes()} SELECT term, round(idf, 6) AS idf FROM vocabulary")
 def tfidf_vocabulary(db):
-    docs = db.documents
-    terms = tfidf_terms(F.col("text"), rules.TFIDF_STOP_WORDS)
-    kept = tfidf_vocabulary_of(
-        docs, terms, docs.count(), rules.TFIDF_MAX_FEATURES, rules.TFIDF_MAX_DF, rules.TFIDF_MIN_DF
-    )
-    return kept.select("term", F.round("idf", 6).alias("idf"))
+    model = TfidfModel.fit(db.documents, "doc_id", max_features=rules.TFIDF_MAX_FEATURES)
+    return model.vocabulary.select("term", F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -153,7 +145,6 @@ def tfidf_vocabulary(db):
 )
 def bm25_statistics(db):
     model = Bm25Model.fit(db.documents, "doc_id")
-    model.close()
     return db.spark.range(1).select(
         F.lit(model.n_docs).cast("long").alias("total_documents"),
         F.round(F.lit(model.avg_len), 6).alias("average_words"),
@@ -192,9 +183,8 @@ def _hits(db, k: int, three: bool):
     found = [fusion.tagged(dense_search(_corpus(db), vectors, 2 * k), "dense")]
     model = Bm25Model.fit(db.documents, "doc_id")
     found.append(fusion.tagged(model.search(asked, 2 * k, positive_only=three), "bm25"))
-    model.close()
     if three:
-        found.append(fusion.tagged(TfidfModel.fit(db.documents, "doc_id").search(asked, 2 * k), "tfidf"))
+        found.append(fusion.tagged(TfidfModel.fit(db.documents, "doc_id", max_features=rules.TFIDF_MAX_FEATURES).search(asked, 2 * k), "tfidf"))
     texts = db.documents.select(F.col("doc_id").alias("id"), "text")
     return asked, fusion.attach(union_all(found), texts, asked.count() * 2 * k * len(found))
 

@@ -46,17 +46,23 @@ def test_bm25_equals_plain_python(spark, documents, corpus):
     asked = {0: "the of on", 1: "the the thing", 2: "nothing-here", 3: ""}
     queries = spark.createDataFrame(list(asked.items()), "query_id int, text string")
     model = Bm25Model.fit(corpus)
-    # A block of one query must give the same as one block of all.
-    for block in (1, 256):
-        found = {}
-        for r in model.search(queries, 7, block=block).collect():
-            found.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
-        for q, text in asked.items():
-            got = [(i, s) for _, i, s in sorted(found.get(q, []))]
-            want = best(okapi(texts, text), 7)
-            assert [i for i, _ in got] == [i for i, _ in want]
-            assert np.allclose([s for _, s in got], [s for _, s in want], atol=2e-6)
-    model.close()
+    found = {}
+    for r in model.search(queries, 7).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    for q, text in asked.items():
+        got = [(i, s) for _, i, s in sorted(found.get(q, []))]
+        want = best(okapi(texts, text), 7)
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want], atol=2e-6)
+
+
+def test_a_search_is_one_plan_for_any_number_of_queries(spark, corpus):
+    sizes = []
+    models = Bm25Model.fit(corpus), TfidfModel.fit(corpus)
+    for n in (10, 2000):
+        queries = spark.range(n).select(F.col("id").alias("query_id"), F.lit("the thing").alias("text"))
+        sizes.append([len(m.search(queries, 3)._jdf.queryExecution().analyzed().toString().splitlines()) for m in models])
+    assert sizes[0] == sizes[1]
 
 
 def test_bm25_keeps_zero_scores_on_request(spark, corpus):
@@ -64,12 +70,13 @@ def test_bm25_keeps_zero_scores_on_request(spark, corpus):
     model = Bm25Model.fit(corpus)
     rows = model.search(queries, 3, positive_only=False).orderBy("rank").collect()
     assert [(r.id, r.score) for r in rows] == [(0, 0.0), (1, 0.0), (2, 0.0)]
-    model.close()
 
 
 def test_term_table_can_be_stored(spark, corpus, tmp_path):
     model = Bm25Model.fit(corpus, table=str(tmp_path / "terms"))
     assert model.n_docs == 200 and model.terms.where("term = 'the'").count() == 1
+    again = Bm25Model.of_postings(spark.read.parquet(str(tmp_path / "terms" / "postings")), str(tmp_path / "again"))
+    assert (again.n_docs, again.n_terms, again.avg_len) == (model.n_docs, model.n_terms, model.avg_len)
 
 
 def test_empty_query_table(spark, corpus):
