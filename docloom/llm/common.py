@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import shared_dir
+from docloom import session
+from docloom.session import work_folder
+
+__all__ = ["file_system", "fold", "runs_by_size", "set_aside", "set_back", "stored", "text_runs", "unit_hash", "work_folder"]
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -24,17 +26,10 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: it cuts the lineage,
     and a lost executor costs nothing of it."""
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.stored(df, work_folder(df.sparkSession, name))
 
 
 def set_aside(df: DataFrame, names: list[str]) -> DataFrame:
