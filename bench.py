@@ -36,7 +36,11 @@ HEADLINE = [
     "entity_summary",
     "relation_patterns",
     "relation_graph_nodes",
+    "relation_entity_pairs",
+    "relation_svo",
     "document_summary",
+    "collection_analysis",
+    "ingest_statistics",
     "context_compression",
     "conversation_context",
     "cache_lookup",

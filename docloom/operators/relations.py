@@ -193,6 +193,20 @@ def first_of_triple(relations: DataFrame, by: list[str], order: list[Column]) ->
     return top_k(full, [*by, "_k0", "_k1", "_k2"], order, 1, "_n").drop("_k0", "_k1", "_k2", "_n")
 
 
+ROUTES = ("pattern", "dependency", "entity")
+
+
+def extract_relations(routes: list[DataFrame], by: str = "doc_id") -> DataFrame:
+    """The union of several routes' relations (subject, relation, object, confidence, method), each
+    triple once per text: the first route of ``ROUTES`` that has it keeps it."""
+    columns = [by, "subject", "relation", "object", "confidence", "method"]
+    rows = routes[0].select(*columns)
+    for other in routes[1:]:
+        rows = rows.unionByName(other.select(*columns))
+    route = F.array_position(F.array(*map(F.lit, ROUTES)), F.col("method"))
+    return first_of_triple(rows, [by], [route, F.col("subject"), F.col("relation"), F.col("object")])
+
+
 def relation_counts(relations: DataFrame, *by: str) -> DataFrame:
     return relations.groupBy(*by, "relation").agg(F.count("*").alias("relations"))
 

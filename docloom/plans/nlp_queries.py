@@ -246,16 +246,20 @@ _TOKENS = f"""
         FROM (SELECT doc_id, {q.word_runs('text')} AS ws FROM documents)))"""
 
 
-@query(
-    f"""
-    WITH t AS ({_TOKENS}),
+_DEPENDENCIES = f"""
     s AS (SELECT a.doc_id, a.text AS subject, v.i AS v, v.lemma FROM t a JOIN t v ON v.doc_id = a.doc_id AND v.i = a.head WHERE a.dep = 'nsubj' AND v.pos = 'VERB'),
     r AS (
       SELECT s.doc_id, subject, s.lemma AS relation, c.text AS object, 'nsubj-verb-dobj' AS pos_pattern FROM s JOIN t c ON c.doc_id = s.doc_id AND c.head = s.v AND c.dep = 'dobj'
       UNION ALL SELECT s.doc_id, subject, s.lemma || '_' || p.text, c.text, 'nsubj-verb-prep-pobj' FROM s JOIN t p ON p.doc_id = s.doc_id AND p.head = s.v AND p.dep = 'prep'
         JOIN t c ON c.doc_id = p.doc_id AND c.head = p.i AND c.dep = 'pobj'
       UNION ALL SELECT c.doc_id, c.text, 'MODIFIES', h.text, 'compound' FROM t c JOIN t h ON h.doc_id = c.doc_id AND h.i = c.head WHERE c.dep = 'compound'
-      UNION ALL SELECT c.doc_id, c.text, 'POSSESSES', h.text, 'possessive' FROM t c JOIN t h ON h.doc_id = c.doc_id AND h.i = c.head WHERE c.dep = 'poss')
+      UNION ALL SELECT c.doc_id, c.text, 'POSSESSES', h.text, 'possessive' FROM t c JOIN t h ON h.doc_id = c.doc_id AND h.i = c.head WHERE c.dep = 'poss')"""
+
+
+@query(
+    f"""
+    WITH t AS ({_TOKENS}),
+    {_DEPENDENCIES}
     SELECT pos_pattern, relation, count(*) AS relations, count(DISTINCT doc_id) AS documents, min(subject) AS first_subject, max(object) AS last_object FROM r GROUP BY ALL
     """
 )
@@ -274,9 +278,7 @@ def _spans(tokens):
     )
 
 
-@query(
-    f"""
-    WITH t AS MATERIALIZED ({_TOKENS}),
+_PAIRED = f"""
     e AS MATERIALIZED (SELECT doc_id, i, text, upper(dep) AS label FROM t WHERE regexp_matches(text, '^\\p{{Lu}}')),
     near AS (SELECT *, unnest([i // 16, i // 16 + 1]) AS cell FROM e),
     p AS MATERIALIZED (SELECT a.doc_id, a.i AS a, b.i AS b, a.text AS subject, b.text AS object, a.label AS st, b.label AS ot, b.i - a.i - 1 AS distance
@@ -285,12 +287,13 @@ def _spans(tokens):
     w AS (SELECT p.doc_id, a, b, string_agg(link.text, '_' ORDER BY link.i) AS words
           FROM (SELECT *, unnest(CASE WHEN a // 16 = b // 16 THEN [a // 16] ELSE [a // 16, b // 16] END) AS cell FROM p) p
           JOIN link ON link.doc_id = p.doc_id AND link.cell = p.cell
-          WHERE link.i >= a AND link.i <= b AND lower(link.text) <> lower(subject) AND lower(link.text) <> lower(object) GROUP BY ALL)
-    SELECT p.doc_id, subject, st AS subject_type, coalesce(words, 'RELATED_TO_' || st || '_' || ot) AS relation, object, ot AS object_type,
+          WHERE link.i >= a AND link.i <= b AND lower(link.text) <> lower(subject) AND lower(link.text) <> lower(object) GROUP BY ALL),
+    pairs AS (SELECT p.doc_id, subject, st AS subject_type, coalesce(words, 'RELATED_TO_' || st || '_' || ot) AS relation, object, ot AS object_type,
            round(greatest(0.3::DOUBLE, 0.8::DOUBLE - distance * 0.05::DOUBLE), 6) AS confidence, distance::INTEGER AS distance
-    FROM p LEFT JOIN w USING (doc_id, a, b)
-    """
-)
+    FROM p LEFT JOIN w USING (doc_id, a, b))"""
+
+
+@query(f"WITH t AS MATERIALIZED ({_TOKENS}), {_PAIRED} SELECT * FROM pairs")
 def relation_entity_pairs(db):
     tokens = _tokens(db)
     found = relations.entity_pair_relations(_spans(tokens), tokens).drop("method")
@@ -329,3 +332,72 @@ def relation_svo(db):
 def relation_dedup(db):
     rows = relations.first_of_triple(_relations(db), [], [F.col("doc_id"), F.col("start_pos")])
     return rows.select("subject", "relation", "object", "doc_id")
+
+
+@query(
+    f"""
+    WITH t AS MATERIALIZED ({_TOKENS}), {_DEPENDENCIES}, {_PAIRED},
+    united AS (SELECT doc_id, subject, relation, object, 1 AS route FROM ({_RELATIONS})
+               UNION ALL SELECT doc_id, subject, relation, object, 2 FROM r
+               UNION ALL SELECT doc_id, subject, relation, object, 3 FROM pairs),
+    once AS (SELECT DISTINCT ON (doc_id, {q.strip('lower(subject)')}, {q.strip('lower(relation)')}, {q.strip('lower(object)')}) doc_id, route FROM united
+             WHERE {q.strip('subject')} <> '' AND {q.strip('relation')} <> '' AND {q.strip('object')} <> ''
+             ORDER BY route)
+    SELECT doc_id, ['pattern', 'dependency', 'entity'][route] AS method, count(*) AS relations FROM once GROUP BY ALL
+    """
+)
+def relation_routes(db):
+    """Relations of all three routes, each triple once per text, counted by route."""
+    tokens = _tokens(db)
+    found = relations.extract_relations(
+        [_relations(db), relations.dependency_relations(tokens), relations.entity_pair_relations(_spans(tokens), tokens)]
+    )
+    return found.groupBy("doc_id", "method").agg(F.count("*").alias("relations"))
+
+
+# --- entities that the given texts lack -------------------------------------------------
+
+_CALLS = """
+  SELECT o_orderkey AS doc_id, o_orderstatus AS source,
+    'call ' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0')
+    || ' by ' || month(o_orderdate) || '/' || day(o_orderdate) || '/' || year(o_orderdate) || ' or ' || strftime(o_orderdate, '%Y-%m-%d') || ', ' || o_orderpriority AS text
+  FROM orders"""
+
+
+@query(
+    f"""
+    SELECT doc_id, label, entity, start FROM (
+      SELECT * FROM ({_pattern_sql('PHONE', "'[0-9]{3}-[0-9]{3}-[0-9]{4}'", f"({_CALLS})")})
+      UNION ALL SELECT * FROM ({_pattern_sql('DATE', "'[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}'", f"({_CALLS})")}))
+    """
+)
+def entity_patterns_orders(db):
+    """Phone numbers and dates in texts made of the columns of orders."""
+    day = F.col("o_orderdate")
+    number = lambda c, most, width: F.lpad((F.col(c) % most).cast("string"), width, "0")
+    text = F.concat(
+        F.lit("call "), number("o_custkey", 1000, 3), F.lit("-"), number("o_orderkey", 1000, 3), F.lit("-"), number("o_orderkey", 10000, 4),
+        F.lit(" by "), F.concat_ws("/", F.month(day), F.dayofmonth(day), F.year(day)), F.lit(" or "), F.date_format(day, "yyyy-MM-dd"),
+        F.lit(", "), F.col("o_orderpriority"),
+    )
+    found = entities.entities(db.orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text")), custom=False)
+    return found.select("doc_id", "label", "entity", "start")
+
+
+_DEFAULT_TERMS = [r for r in entities.term_rows(rules.ENTITY_TERMS) if r["term"].isalpha()]
+
+
+@query(
+    f"""
+    SELECT event_id, 'CUSTOM_' || d || '_' || upper(c) AS label, upper(w) AS entity, (length(event_type) + 1)::INTEGER AS start
+    FROM (SELECT event_id, event_type, ({_lst([r['term'] for r in _DEFAULT_TERMS])})[event_id % {len(_DEFAULT_TERMS)} + 1] AS w,
+                 ({_lst([r['domain'] for r in _DEFAULT_TERMS])})[event_id % {len(_DEFAULT_TERMS)} + 1] AS d,
+                 ({_lst([r['category'] for r in _DEFAULT_TERMS])})[event_id % {len(_DEFAULT_TERMS)} + 1] AS c FROM events)
+    """
+)
+def entity_default_dictionary(db):
+    """The default dictionary on texts that hold a term of it each, in capitals."""
+    terms = F.array(*[F.lit(r["term"].upper()) for r in _DEFAULT_TERMS])
+    text = F.concat_ws(" ", "event_type", F.get(terms, (F.col("event_id") % len(_DEFAULT_TERMS)).cast("int")), F.lit("!"))
+    found = entities.entities(db.events.select("event_id", text.alias("text")))
+    return found.select("event_id", "label", "entity", "start")
