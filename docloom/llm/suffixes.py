@@ -8,8 +8,9 @@ their anchor at the same offset, so every repeated string is found among suffixe
 the same anchor, and about 2 in PLACES positions are anchors.
 
 1. A scan computes anchors: the anchor's hash, and a second hash of all bytes that its strings
-   cover. Rows are thin (four numbers) and sorted by both hashes. Equal rows are whole repeats.
-   An anchor that occurs once is dropped.
+   cover. Rows are thin (four numbers); of equal rows in a task one stands for all, and the others
+   are settled. The rows are sorted by both hashes. Equal rows are whole repeats. An anchor that
+   occurs once is dropped.
 2. Anchors that occur with different surroundings, one row for each of these, are suffixes to be
    compared byte by byte. Their text is cut out of the documents, and they are range partitioned by
    their leading bytes with sampled splitters. Suffixes with equal anchors begin with the same
@@ -149,9 +150,28 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return long[text], begin, stop, place, hashes[place], around
 
 
-def packed(place: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """An anchor's place in its text, and how far before it its first and last string begin."""
-    return place << 16 | (place - begin) << 8 | (place - stop)
+# A row of the scan occurs once in its task, or stands for several equal ones, or is one of these.
+ONCE, SEVERAL, DONE = range(3)
+
+
+def packed(place: np.ndarray, begin: np.ndarray, stop: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """An anchor's place in its text, its kind, and how far before it its first and last string begin."""
+    return place << 18 | kind << 16 | (place - begin) << 8 | (place - stop)
+
+
+def unpacked(place):
+    return place >> 18, place >> 8 & 255, place & 255
+
+
+def gathered(key: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Kinds of a task's rows: of equal rows the first stands for all in the shuffle."""
+    order = np.lexsort((around, key))
+    same = (key[order[1:]] == key[order[:-1]]) & (around[order[1:]] == around[order[:-1]])
+    kind = np.zeros(len(key), np.int64)
+    kind[order[1:][same]] = DONE
+    first = np.append(same, False) & ~np.append(False, same) if len(key) else same
+    kind[order[first]] = SEVERAL
+    return kind
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +200,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts = ends - [len(x) for x in pieces[i:j]]
                 text, begin, stop, place, key, around = anchors(data, starts, ends)
                 shift = np.array(offsets[i:j], np.int64)[text] - starts[text]
+                kind, docs = gathered(key, around), np.array(ids[i:j], np.int64)[text]
+                places = packed(place + shift, begin + shift, stop + shift, kind)
+                # Rows that are settled go anywhere.
+                key = np.where(kind == DONE, mixed(docs.view(np.uint64) + places.view(np.uint64) * np.uint64(BASES[0])), key)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key.view(np.int64)),
-                        pa.array(around.view(np.int64)),
-                        pa.array(np.array(ids[i:j], np.int64)[text]),
-                        pa.array(packed(place + shift, begin + shift, stop + shift)),
-                    ],
+                    [pa.array(key.view(np.int64)), pa.array(around.view(np.int64)), pa.array(docs), pa.array(places)],
                     names=["key", "around", "id", "place"],
                 )
                 i = j
@@ -205,7 +224,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting = None  # first row of the current key, its repetition flag, until it is needed
 
     def out(rows: np.ndarray, whole: np.ndarray, compare: bool) -> pa.RecordBatch:
-        place, back, near = rows[3] >> 16, rows[3] >> 8 & 255, rows[3] & 255
+        place, back, near = unpacked(rows[3])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(rows[2]),
@@ -228,7 +247,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more[-1], had[0] = following is not None, before is not None
         next_key, prev_key = more & (ahead[0] == rows[0]), had & (behind[0] == rows[0])
         next_same, prev_same = next_key & (ahead[1] == rows[1]), prev_key & (behind[1] == rows[1])
-        whole = next_same | prev_same
+        whole = next_same | prev_same | (rows[3] >> 16 & 3 == SEVERAL)
         if whole.any():
             yield out(rows[:, whole], whole[whole], False)
         later = prev_key & ~prev_same  # first of further surroundings of a key
@@ -250,8 +269,12 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.hstack([held, np.vstack([batch.column(c).to_numpy() for c in names])])
-        held = rows[:, -1:]
+        rows = np.vstack([batch.column(c).to_numpy() for c in names])
+        done = rows[3] >> 16 & 3 == DONE
+        if done.any():
+            yield out(rows[:, done], done[done], False)
+        rows = np.hstack([held, rows[:, ~done]])
+        held = rows[:, -1:] if rows.shape[1] else held
         if rows.shape[1] > 1:
             yield from results(rows[:, :-1], held)
     if held.shape[1]:
@@ -267,7 +290,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for doc, text, suffixes in zip(part.column("id").to_pylist(), texts, part.column("suffixes").to_pylist()):
                 for s in suffixes:
-                    p = s["place"] >> 16
+                    p = unpacked(s["place"])[0]
                     right = text[p : p + LENGTH]
                     lead = int.from_bytes(right[:8], "big") - (1 << 63), int.from_bytes(right[8:16], "big") - (1 << 63)
                     rows.append((*lead, s["key"], doc, s["place"], s["whole"], text[max(0, p - PLACES + 1) : p], right))
@@ -354,7 +377,7 @@ def stretches(hit: np.ndarray, ids: np.ndarray, place: np.ndarray) -> pa.RecordB
     flags[:, 1:-1] = hit
     row, low = np.nonzero(np.diff(flags, axis=1) == 1)
     _, high = np.nonzero(np.diff(flags, axis=1) == -1)
-    at = place[row] >> 16
+    at = unpacked(place)[0][row]
     return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(at - high + 1), pa.array(at - low + LENGTH)], names=["id", "begin", "stop"])
 
 
@@ -364,7 +387,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def compared(table: pa.Table) -> pa.RecordBatch:
         place = table.column("place").to_numpy()
-        hit = repeated_offsets(table.column("left").to_pylist(), table.column("right").to_pylist(), place >> 8 & 255, place & 255)
+        hit = repeated_offsets(table.column("left").to_pylist(), table.column("right").to_pylist(), *unpacked(place)[1:])
         open_rows = np.flatnonzero(~table.column("whole").to_numpy(zero_copy_only=False) & hit.any(axis=1))
         return stretches(hit[open_rows], table.column("id").to_numpy()[open_rows], place[open_rows])
 
@@ -390,7 +413,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.select(["id", "place", "left", "right"]).to_pylist():
             data = np.frombuffer(row["left"] + row["right"], np.uint8)
-            at, back, near = row["place"] >> 16, row["place"] >> 8 & 255, row["place"] & 255
+            at, back, near = unpacked(row["place"])
             begin = len(row["left"]) - np.arange(near, back + 1)
             pair = [pa.array(Hashes(data, k).of(begin, begin + LENGTH).view(np.int64)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*pair, pa.array(np.full(len(begin), row["id"])), pa.array(at - np.arange(near, back + 1))], names=["h1", "h2", "id", "begin"])
