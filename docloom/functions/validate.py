@@ -38,12 +38,12 @@ def _rule(method: str, words: list[str], wanted: bool, issue: str, correction: s
 def method_rules(facts=rules.METHOD_FACTS) -> list[dict]:
     out = []
     for name, (right, wrong) in facts.items():
-        fix = f"{name} behavior: {'; '.join(right[:2])}"
+        fix = rules.METHOD_BEHAVIOR.format(name, "; ".join(right[:2]))
         for phrase in wrong:
-            out.append(_rule(name, [phrase.lower()], False, f"Incorrect statement about {name}: contains '{phrase}'", fix))
+            out.append(_rule(name, [phrase.lower()], False, rules.INCORRECT_STATEMENT.format(name, phrase), fix))
         words = sorted({w for fact in right for w in fact.lower().split()})
         out.append(
-            _rule(name, words, True, f"Missing accurate description of {name} behavior", f"{name} correct behavior: {right[0]}")
+            _rule(name, words, True, rules.MISSING_DESCRIPTION.format(name), rules.METHOD_CORRECT_BEHAVIOR.format(name, right[0]))
         )
     return out
 
@@ -70,7 +70,7 @@ def misconception_issues(low: Column, patterns=rules.MISCONCEPTIONS) -> Column:
         F.when(
             low.rlike("(?d)" + p),
             F.struct(
-                F.lit(f"Common misconception detected: {p}").alias("issue"),
+                F.lit(rules.MISCONCEPTION.format(p)).alias("issue"),
                 F.lit(fix).alias("correction"),
                 F.lit("high").alias("severity"),
             ),

@@ -134,6 +134,29 @@ class Engine:
         found = fusion.attach(kept, meta, n * k)
         return self._with_parents(found, n * k) if mode == "parent" else found.withColumn("parent_context", F.lit(None).cast("string"))
 
+    def routed_search(self, queries: DataFrame, k: int, mode: str = "hybrid") -> DataFrame:
+        """``search`` by the class of each question, in one plan.
+
+        A technical question is asked in all its variants, whose chunks are merged with method
+        documentation first; any other question is asked as it is.
+        """
+        kind = classify_query(F.col("text"))
+        variants = queries.select(
+            "query_id", (kind["type"] == "technical").alias("technical"), F.posexplode(technical_variants(F.col("text"), kind)).alias("variant", "text")
+        ).withColumn("_key", F.concat_ws("#", F.col("query_id").cast("string"), F.col("variant").cast("string")))
+        found = self.search(variants.select(F.col("_key").alias("query_id"), "text"), k, mode)
+        columns = found.columns
+        named = found.withColumnRenamed("query_id", "_key").join(variants.drop("text"), "_key")
+        direct = named.where(~F.col("technical")).select(*columns)
+        corpus = self.chunks.all()
+        kinds = F.col("content_type") if "content_type" in corpus.columns else F.lit(None).cast("string")
+        several = (
+            named.where(F.col("technical") & (F.col("rank") <= F.when(F.col("variant") == 0, k).otherwise(max(2, k // 2))))
+            .withColumn("is_original", F.col("variant") == 0)
+            .join(corpus.select("id", kinds.alias("content_type")), "id")
+        )
+        return direct.unionByName(expansion.merge_variants(several, k, method_docs_first=True).select(*columns))
+
     def _dense_modes(self, queries, k, mode, corpus, n) -> DataFrame:
         embed = self.providers.embed
         plain = corpus.select("id", "text", "embedding")
@@ -219,7 +242,7 @@ class Engine:
 
     def _answer(self, new: DataFrame, k: int, mode: str, compression: bool, validation: bool) -> DataFrame:
         queries = new.select("query_id", "text")
-        chunks = self.search(queries, k, mode)
+        chunks = self.search(queries, k, mode) if mode == "technical" else self.routed_search(queries, k, mode)
         shown = chunks.withColumn("text", F.coalesce("parent_context", "text")) if mode == "parent" else chunks
         if compression:
             shown = self._compressed(shown, queries)

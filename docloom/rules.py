@@ -66,8 +66,8 @@ TFIDF_STOP_WORDS = (
 ).split()
 
 # --- fixed values: queries ----------------------------------------------------------
-QUERY_STOP_WORDS = "the a an and or but in on at to for of with by".split()
-QUESTION_WORDS = "what how when where who why which define explain".split()
+QUERY_STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by"]
+QUESTION_WORDS = ["what", "how", "when", "where", "who", "why", "which", "define", "explain"]
 COMPARISON_WORDS = ["compare", "vs", "difference"]
 SUMMARY_WORDS = ["summarize", "summary"]
 
@@ -283,4 +283,14 @@ RELATION_CONFIDENCE = 0.8
 ENTITY_PAIR_TOKENS = 15
 
 # --- fixed values: summaries --------------------------------------------------------
-SUMMARY_STOP_WORDS = "the a an and or but in on at to for of with by".split()
+SUMMARY_STOP_WORDS = QUERY_STOP_WORDS
+
+# --- fixed values: messages ---------------------------------------------------------
+UNSUPPORTED_FORMAT = "Unsupported format: .{}"
+TYPE_NOT_SUPPORTED = "File type '{}' not supported"
+SIZE_EXCEEDED = "File size exceeds {}MB limit"
+METHOD_BEHAVIOR = "{} behavior: {}"
+METHOD_CORRECT_BEHAVIOR = "{} correct behavior: {}"
+INCORRECT_STATEMENT = "Incorrect statement about {}: contains '{}'"
+MISSING_DESCRIPTION = "Missing accurate description of {} behavior"
+MISCONCEPTION = "Common misconception detected: {}"

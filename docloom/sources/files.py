@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom import rules
 from docloom.config import Settings
 from docloom.functions.markup import html_text, markdown_text
 
@@ -229,7 +230,7 @@ def parse_files(files: DataFrame, pdf_reader: PageReader | None = None) -> DataF
         .select("path", "stem", "format", "content")
         .mapInPandas(_parse(readers), UNIT)
     )
-    unknown = _errors(files.where(F.col("format").isNull()), F.concat(F.lit("Unsupported format: ."), F.col("suffix")))
+    unknown = _errors(files.where(F.col("format").isNull()), F.format_string(rules.UNSUPPORTED_FORMAT.replace("{}", "%s"), F.col("suffix")))
     out = plain
     for part in (marked, pages, objects, undecoded, binary, unknown):
         out = out.unionByName(part)
@@ -249,21 +250,21 @@ def read_documents(
     if strict:
         bad = listing(spark, path).where(F.col("format").isNull()).select("suffix").first()
         if bad:
-            raise ValueError(f"Unsupported format: .{bad['suffix']}")
+            raise ValueError(rules.UNSUPPORTED_FORMAT.format(bad["suffix"]))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     units = parse_files(files.where(F.col("length") <= max_bytes).select("path", "content"), pdf_reader)
     large = listing(spark, path).where(F.col("length") > max_bytes)
-    return units.unionByName(_errors(large, F.lit(f"File size exceeds {max_bytes // (1024 * 1024)}MB limit")))
+    return units.unionByName(_errors(large, F.lit(rules.SIZE_EXCEEDED.format(max_bytes // (1024 * 1024)))))
 
 
 def check_uploads(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Upload checks of a listing: ``filename, success, error`` per file."""
     kind = suffix(F.col("path"))
     error = F.when(
-        ~kind.isin(list(settings.upload_types)), F.concat(F.lit("File type '"), kind, F.lit("' not supported"))
+        ~kind.isin(list(settings.upload_types)), F.format_string(rules.TYPE_NOT_SUPPORTED.replace("{}", "%s"), kind)
     ).when(
         F.col("length") > settings.max_upload_bytes,
-        F.lit(f"File size exceeds {settings.max_upload_bytes // (1024 * 1024)}MB limit"),
+        F.lit(rules.SIZE_EXCEEDED.format(settings.max_upload_bytes // (1024 * 1024))),
     )
     return files.select(
         "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), error.isNull().alias("success"), error.alias("error")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom import rules
 from docloom.config import Settings
 from docloom.operators.chunking import semantic_chunks
 from docloom.sources.files import parse_files
@@ -37,7 +38,7 @@ def ingest_stream(engine, path: str, checkpoint: str, files_per_batch: int = 100
         small = batch.where(F.col("length") <= most).select("path", "content")
         units = parse_files(small, engine.providers.pdf_reader)
         large = batch.where(F.col("length") > most).select(
-            F.col("path").alias("source"), F.lit(f"File size exceeds {most // (1024 * 1024)}MB limit").alias("error")
+            F.col("path").alias("source"), F.lit(rules.SIZE_EXCEEDED.format(most // (1024 * 1024))).alias("error")
         )
         failed = units.where(F.col("error").isNotNull()).select("source", "error").unionByName(large)
         failed = failed.withColumn("batch", F.lit(number).cast("long"))

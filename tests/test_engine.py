@@ -106,6 +106,11 @@ def test_engine_end_to_end(spark, folder, tmp_path, sharded):
         assert top.source.endswith("a.txt"), mode
     with pytest.raises(ValueError):
         engine.search(queries, 3, "other")
+    routed = engine.routed_search(queries, 3, "keyword").collect()
+    direct = engine.search(queries, 3, "keyword").where("query_id = 0").collect()
+    assert sorted(r.id for r in routed if r.query_id == 0) == sorted(r.id for r in direct)
+    technical = [r for r in routed if r.query_id == 1]  # asked in its variants, each text once
+    assert 0 < len(technical) <= 3 and len({r.text for r in technical}) == len(technical)
     asked = queries.withColumn("session_id", F.lit("s1"))
     first = {r.query_id: r for r in engine.query(asked, k=4, mode="semantic").collect()}
     assert "Plain text." in first[0].answer and not first[0].cached and first[0].search_mode == "semantic"
