@@ -42,6 +42,9 @@ SIMILARITY = 0.8
 WORDS = 5
 WIDE_RADIUS = 5
 HOT = 4_096
+# A part of a cluster has at most about so many nodes and bytes of shingles.
+BLOCK = 2_048
+BLOCK_BYTES = 16 << 20
 RUN_BYTES = 4 << 20
 CHUNK = 1 << 16
 
@@ -193,38 +196,106 @@ def near_groups(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADI
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Sorted different hashes of the text's word shingles."""
     found = text.lower().split()
-    shingles = {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], "<u8"))
+    if not found:
+        return np.zeros(0, "<u8")
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found])
+    last = ends[min(words, len(found)) - 1 :] - 1
+    first = np.concatenate(([0], ends))[: len(last)]
+    digest, parts = xxhash.xxh64_intdigest, []
+    for a in range(0, len(last), CHUNK):
+        cut = zip(first[a : a + CHUNK].tolist(), last[a : a + CHUNK].tolist())
+        parts.append(np.array([digest(joined[i:j], SEED) for i, j in cut], "<u8"))
+    return np.unique(np.concatenate(parts))
+
+
+def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that span each part of texts that hang together by links within the radius whose shingle
+    sets have the similarity: places in the given, different sets."""
+    sizes = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    owners = np.repeat(np.arange(len(sets)), sizes)[order]
+    begin = np.concatenate(([0], np.cumsum(np.bincount(codes))))
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    reached: list[int] = []
+    members: list[int] = []
+    left = np.arange(len(sets))
+    while len(left) > 1:
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            a = frontier.pop()
+            near = left[np.bitwise_count((prints[left] ^ prints[a]).view(np.uint64)) <= radius]
+            if not len(near) or not sizes[a]:
+                continue
+            # Every shingle of the text names the texts that have it: these counts are the intersections.
+            with_it = [owners[i:j] for i, j in zip(begin[own[a]].tolist(), begin[own[a] + 1].tolist())]
+            both = np.bincount(np.concatenate(with_it), minlength=len(sets))[near]
+            found = near[both / (sizes[a] + sizes[near] - both) >= similarity]
+            reached += [int(a)] * len(found)
+            members += found.tolist()
+            frontier += found.tolist()
+            left = np.setdiff1d(left, found, assume_unique=True)
+    return reached, members
+
 
+def _confirmed(radius: int, similarity: float):
+    """Edges from batches sorted by (cluster, i, j) with node, fp and shingles behind them."""
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted sets; two empty ones are equal."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, prints, sets = None, [], [], []
+
+        def linked() -> tuple[list[int], list[int]]:
+            if len(nodes) < 2:
+                return [], []
+            reached, members = similar_links(np.array(prints, np.int64), sets, radius, similarity)
+            return [nodes[i] for i in reached], [nodes[i] for i in members]
 
+        def batch_of(us: list[int], vs: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
+        for batch in batches:
+            us, vs = [], []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")))
+            for here, node, fp, shingles in zip(keys, *(batch.column(c).to_pylist() for c in ("node", "fp", "shingles"))):
+                if here != key:
+                    a, b = linked()
+                    us += a
+                    vs += b
+                    key, nodes, prints, sets = here, [], [], []
+                nodes.append(node)
+                prints.append(fp)
+                sets.append(np.frombuffer(shingles, "<u8"))
+            yield batch_of(us, vs)
+        yield batch_of(*linked())
+
+    return edges
+
+
+def similar_groups(
+    documents: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = WIDE_RADIUS, block: int = BLOCK
+) -> DataFrame:
     """(doc_id, text_hash, root, component_id): groups of texts whose shingles of ``words`` words have
     a Jaccard similarity of at least ``similarity``.
 
-    Candidates are fingerprints of the different words within the wider ``radius``; these move less
-    under an edit than those of longer shingles. Each candidate link is confirmed on the exact sets
-    of shingles of both texts. Equal texts are one node.
+    Candidates are all pairs of texts whose fingerprints of the different words are within the wider
+    ``radius``; these move less under an edit than those of longer shingles. Texts with equal sets of
+    shingles are one node. The nodes of fingerprints that hang together by links within the radius are
+    a cluster, which holds every candidate pair of its nodes. A cluster is searched with its sets of
+    shingles at hand, so a pair links only if it is within the radius and similar. One of more than
+    ``block`` nodes or ``BLOCK_BYTES`` of shingles is cut into parts, and every two parts meet in a
+    task, so no pair is left out and no task grows with the cluster.
     """
     keep = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    prints = stored(with_fingerprints(keep, 1, keep=["doc_id", "text_hash"], once=True), "fingerprints")
-    texts = stored(prints.groupBy("text_hash", "fp").agg(F.min("doc_id").alias("first")), "texts")
-    heads = texts.groupBy("fp").agg(F.min("text_hash").alias("head"))
-    found = links(heads.select("fp"), radius).distinct()
-    near = (
-        found.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u")
-        .join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
-        .select("a", "b")
-    )
-    equal = texts.join(heads, "fp").filter("text_hash <> head").select(F.col("text_hash").alias("a"), F.col("head").alias("b"))
-    pairs = stored(near.union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, some in text_runs(batch, "text", RUN_BYTES):
+                prints = np.array([fingerprint(t, 1, True) for t in some], np.uint64).view(np.int64)
+                sets = [shingle_set(t, words) for t in some]
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                columns = [part.column("doc_id"), part.column("text_hash"), pa.array(prints), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "node", "size"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,24 +303,36 @@ def similar_groups(documents: DataFrame, similarity: float = SIMILARITY, words:
                 sets = [shingle_set(t, words).tobytes() for t in some]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
-            good = pa.array([jaccard(x, y) >= similarity for x, y in zip(a, b)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["u", "v"])
-
-    # One document of each text that is in a pair gives its shingles.
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct().join(texts, "text_hash").select(F.col("text_hash").alias("node"), "first")
-    sources = keep.join(nodes, (F.col("text_hash") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
+    added = [StructField(c, LongType()) for c in ("fp", "node", "size")]
+    schema = StructType([*keep.select("doc_id", "text_hash").schema, *added])
+    prints = stored(keep.mapInArrow(sketched, schema), "fingerprints")
+    texts = prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.min(F.struct("text_hash", "doc_id")).alias("one"))
+    texts = stored(texts, "texts")
+    near = components(links(texts.select("fp").distinct(), radius)).select(F.col("node").alias("_fp"), F.col("root").alias("cluster"))
+    placed = texts.join(near, F.col("fp") == F.col("_fp"), "left").select("node", "fp", "size", "one", F.coalesce("cluster", "fp").alias("cluster"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES), F.lit(1))
+    clusters = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).filter("n > 1").select(F.col("cluster").alias("_cluster"), "parts")
+    members = stored(placed.join(clusters, F.col("cluster") == F.col("_cluster")).select("node", "fp", "one", "cluster", "parts"), "clusters")
+
+    # One document of each node that is in a cluster gives its shingles.
+    wanted = members.select("node", F.col("one.text_hash").alias("_hash"), F.col("one.doc_id").alias("_id"))
+    sources = keep.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
     sets = stored(sources.mapInArrow(shingled, "node long, shingles binary"), "shingles").dropDuplicates(["node"])
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: (x != mine) | (F.col("parts") == 1))
+    met = F.explode(F.transform(others, lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))).alias("m")
+    dealt = (
+        members.join(sets, "node")
+        .select("cluster", "node", "fp", "shingles", met)
+        .select("cluster", "m.i", "m.j", "node", "fp", "shingles")
+        .repartition("cluster", "i", "j")
+        .sortWithinPartitions("cluster", "i", "j")
     )
-    parts = components(joined.select("a", "b", "sa", "sb").mapInArrow(confirmed, "u long, v long"))
-    rooted = texts.join(parts, F.col("text_hash") == F.col("node"), "left").select("text_hash", "first", F.coalesce("root", "text_hash").alias("root"))
+    similar = components(dealt.mapInArrow(_confirmed(radius, similarity), "u long, v long")).withColumnRenamed("node", "_node")
+    rooted = texts.join(similar, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select(F.col("text_hash").alias("_text"), "root", "component_id")
-    return prints.join(named, F.col("text_hash") == F.col("_text")).select("doc_id", "text_hash", "root", "component_id")
+    named = rooted.join(smallest, "root").select(F.col("node").alias("_named"), "root", "component_id")
+    return prints.join(named, F.col("node") == F.col("_named")).select("doc_id", "text_hash", "root", "component_id")
 
 
 def one_of_each(documents: DataFrame, groups: DataFrame, text_hash) -> DataFrame:

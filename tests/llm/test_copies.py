@@ -89,6 +89,28 @@ def test_near_copies_are_found_and_others_are_left(spark):
     assert len({i for i in range(200) if i % 4 == 1} & kept) <= 2
 
 
+def test_similar_texts_of_one_template(spark):
+    """Every text has its template's words, so all are candidates, but only planted copies are similar."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(160)]
+    rows = []
+    for _ in range(40):  # the same words in another order: equal fingerprints, no shingle in common
+        mixed = rng.sample(words, len(words))
+        rows += [" ".join(mixed), " ".join([*mixed, mixed[0]]), " ".join(mixed).upper()]
+    for _ in range(40):  # every eighth word is one of the text's own
+        own = [w if i % 8 else "".join(rng.choice("xyz") for _ in range(9)) for i, w in enumerate(words)]
+        rows += [" ".join(own), " ".join([*own[:-1], "end"])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = sorted(brute.similar_first(rows, radius=64))
+    assert len(want) == 80
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (simhash.BLOCK, 7):
+        groups = simhash.similar_groups(df, block=block)
+        assert sorted(r.component_id for r in groups.select("component_id").distinct().collect()) == want
+    assert sorted(r.doc_id for r in simhash.without_similar(df).collect()) == want
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(3)
     nodes = rng.sample(range(10_000), 400)
