@@ -126,24 +126,29 @@ def table_entities(
     """Entities of a dictionary table (``term, domain, category``) of any size.
 
     Texts and terms meet on the first word of the term, so the cost does not grow with
-    the dictionary. A dictionary of at most ``limit`` rows is broadcast to the texts; a
-    larger one is joined to (id, word) rows, and the texts move once, to their terms.
+    the dictionary; a term without a word meets them on its first character. The hits of
+    a row are gathered by its id and a hash of its text, so rows that share an id keep
+    their own, and the texts move once, to their hits. A dictionary of at most ``limit``
+    rows is broadcast, which changes the plan of one join only. Repeated rows and repeated
+    terms count each time; null and empty terms have no entities.
     """
-    keyed = terms.select(
-        F.lower("term").alias("term"), "domain", "category", F.get(t.word_runs(F.lower("term")), F.lit(0)).alias("word")
-    ).where(F.col("word").isNotNull())
+    term = F.lower("term")
+    key = F.coalesce(F.get(t.word_runs(term), F.lit(0)), F.substring(term, 1, 1))
+    keyed = terms.select(term.alias("term"), "domain", "category", key.alias("word")).where(F.col("word") != "")
+    keyed = keyed.groupBy("term", "domain", "category", "word").agg(F.count("*").cast("int").alias("times"))
     low = F.lower(F.col(text_col))
-    words = F.explode(F.array_distinct(t.word_runs(low))).alias("word")
-    hit = F.struct("term", "domain", "category").alias("hit")
-    if is_small(keyed, limit):
-        found = df.select(id_col, text_col, words).join(F.broadcast(keyed), "word").select(id_col, text_col, F.array(hit).alias("hits"))
-    else:
-        pairs = df.select(id_col, words).join(keyed, "word").select(id_col, hit)
-        found = df.select(id_col, text_col).join(pairs.groupBy(id_col).agg(F.collect_list("hit").alias("hits")), id_col)
+    keys = t.word_runs(low)
+    if not terms.where(~term.rlike(f"[{t.WORD}]")).isEmpty():
+        keys = F.concat(keys, F.regexp_extract_all(low, F.lit(f"[^{t.WORD}]"), F.lit(0)))
+    place = [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")]
+    words = df.select(*place, F.explode(F.array_distinct(keys)).alias("word"))
+    pairs = words.join(F.broadcast(keyed) if is_small(keyed, limit) else keyed, "word")
+    # A set: rows that repeat id and text bring the same hits, and each of them gets them all.
+    hits = pairs.groupBy("_id", "_hash").agg(F.collect_set(F.struct("term", "domain", "category", "times")).alias("hits"))
     text = F.col(text_col)
-    rows = found.select(
-        id_col, F.explode(F.flatten(F.transform("hits", lambda r: _of_term(text, low, r)))).alias("e")
-    )
+    found = df.select(id_col, text_col).join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")))
+    each = F.transform("hits", lambda r: F.flatten(F.array_repeat(_of_term(text, low, r), r["times"])))
+    rows = found.select(id_col, F.explode(F.flatten(each)).alias("e"))
     return rows.select(id_col, F.col("e.text").alias("entity"), "e.label", "e.start", "e.end", "e.confidence")
 
 

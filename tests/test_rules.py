@@ -77,6 +77,17 @@ def test_dictionary_entities_at_word_edges(spark):
     assert [r.start for r in entities.table_entities(docs, terms, "doc_id", limit=0).collect()] == [43]
 
 
+def test_dictionary_table_is_the_same_at_any_size(spark):
+    rows = [(1, "java and java"), (1, "a ++ b, rust"), (2, "Rust"), (2, "Rust"), (None, "java"), (3, None), (4, "c++")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    words = [("java", "T", "x"), ("rust", "T", "x"), ("rust", "T", "x"), ("++", "T", "x"), ("", "T", "x"), (None, "T", "x")]
+    terms = spark.createDataFrame(words, "term string, domain string, category string")
+    want = [(None, "java", 0), (1, "java", 0), (1, "java", 9), (1, "++", 2)] + [(1, "rust", 8)] * 2 + [(2, "Rust", 0)] * 4
+    for limit in (200_000, 0):
+        got = [(r.doc_id, r.entity, r.start) for r in entities.table_entities(docs, terms, "doc_id", limit=limit).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pattern_entities_and_lookup(spark):
     text = "Mail a.b@c.org or see https://x.y/z?q=1 on 2024-01-31, 3/4/2020 or 555-123-4567"
     docs = spark.createDataFrame([(1, "s", text)], "doc_id int, source string, text string")
