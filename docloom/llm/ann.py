@@ -9,7 +9,8 @@ vectors with four tables from substring value to vectors.
 A query whose code is within Hamming radius r of a vector's code is within r // 4 in one substring
 at least (pigeonhole), so probing all table entries within r // 4 of the query's substrings finds
 every code within r; these are checked on the whole code and ranked by inner products of the
-original vectors in double precision. The radius is learned too: on the sample, it covers ``REACH``
+original vectors in double precision. The products are computed for all vectors of a task and those
+outside the radius are left out of the ranking, so probing saves no products. The radius is learned too: on the sample, it covers ``REACH``
 of the true nearest neighbours. In a larger table neighbours are nearer, so the radius that is
 enough for the sample is enough there. A task that finds fewer than k vectors within the radius
 widens it until it has k or all of its vectors.
