@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import ann, decontam, langid, mixing, quality, simhash, suffixes, token_files, toxicity, warc
+from docloom.llm import ann, decontam, fingerprints, importance, langid, mixing, negatives, quality, simhash, suffixes, token_files, toxicity, warc
 from docloom.llm.common import fold
+from docloom.llm.ranges import with_following
 
 THRESHOLD = 0.3
 
@@ -120,6 +121,102 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    rows = negatives.usable(table(spark, folder, "embeddings"), whole, label)
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
+def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = with_following(documents, "next_text")
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    sketched = pairs.select(
+        "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"),
+        fingerprints.sketch(F.col("text")).alias("own"), fingerprints.sketch(edited).alias("changed"), fingerprints.sketch(F.col("next_text")).alias("behind"),
+    )
+    own, changed = F.col("own"), F.col("changed")
+    return sketched.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(own).alias("fingerprint"),
+        fingerprints.as_text(changed).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, changed).alias("near_edited"),
+        fingerprints.resemblance(own, F.col("behind")).alias("near_next"),
+        fingerprints.different_shingles(own).alias("n_shingles"),
+        fingerprints.containment(own, changed).alias("kept_share"),
+    )
+
+
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    ranked = importance.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# crc32 by its definition: a table of 256 remainders, then one step per byte.
+IMPORTANCE_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), dw AS (
+  SELECT r, w, count(*) AS n FROM (SELECT r, unnest(words) AS w FROM d) GROUP BY ALL
+), bw AS (
+  SELECT w, count(*) AS n FROM (SELECT unnest(words) AS w FROM b) GROUP BY ALL
+), hashed AS (
+  SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || substr(hex(w), CAST(2 * i - 1 AS BIGINT), 2))::BIGINT)),
+    lambda c, x: xor(crc.t[(xor(c, x) & 255) + 1], c >> 8))) % 10000 AS bucket
+  FROM (SELECT w FROM dw UNION SELECT w FROM bw), crc
+), s AS (
+  SELECT bucket, sum(n)::BIGINT AS s FROM dw JOIN hashed USING (w) GROUP BY bucket
+), t AS (
+  SELECT bucket, sum(n)::BIGINT AS t FROM bw JOIN hashed USING (w) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0)::BIGINT FROM s) + 10000))::DOUBLE
+    / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0)::BIGINT FROM t) + 10000))::DOUBLE))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)
+), weights AS (
+  SELECT r, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM dw JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY r
+), scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+FROM ranked
+"""
+
 QUERIES = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_simhash": (op2_simhash, None),
@@ -131,4 +228,7 @@ QUERIES = {
     "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, MIXING_SQL),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op11_hard_negatives": (op11_hard_negatives, NEGATIVES_SQL),
+    "op12_fingerprints": (op12_fingerprints, None),
+    "op13_importance": (op13_importance, IMPORTANCE_SQL),
 }
