@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import session
-from docloom.session import work_folder
+from docloom.session import removed, work_folder
 
-__all__ = ["file_system", "fold", "runs_by_size", "set_aside", "set_back", "stored", "text_runs", "unit_hash", "work_folder"]
+__all__ = ["file_system", "fold", "runs_by_size", "scratch", "set_aside", "set_back", "stored", "text_runs", "unit_hash", "work_folder"]
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -32,6 +33,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return session.stored(df, work_folder(df.sparkSession, name))
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A ``stored`` whose tables are deleted at the end: for steps whose result is stored elsewhere."""
+    made: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        made.append(work_folder(spark, name))
+        return session.stored(df, made[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in made:
+            removed(spark, path)
+
+
 def set_aside(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` with columns of these names renamed, so that an operator's own don't clash with them."""
     return df.withColumnsRenamed({c: f"_aside_{c}" for c in names if c in df.columns})

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import stored
+from docloom.llm.common import work_folder
+from docloom.session import removed
+from docloom.session import stored as stored_at
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -22,9 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small stars in turn: each node points its larger, then its smaller neighbours to the
     smallest one it sees, until every component is a star. A round is a few shuffles of edges whose
-    number never grows; the edges of each round are stored, so nothing is recomputed.
+    number never grows; the edges of each round are stored, so nothing is recomputed, and those of the
+    round before are deleted.
     """
-    edges = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = work_folder(spark, "edges")
+    edges = stored_at(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), path)
     state = _sum(edges)
     while state[0]:
         sym = _both(edges)
@@ -33,8 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
         # Now u > v throughout: every node points all smaller neighbours to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, state = state, _sum(edges)
+        before, old, path = state, path, work_folder(spark, "edges")
+        edges = stored_at(small.union(least.select("u", F.col("m").alias("v"))).distinct(), path)
+        removed(spark, old)
+        state = _sum(edges)
         if state == before:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(

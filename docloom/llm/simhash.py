@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from docloom.llm.common import stored, text_runs
+from docloom.llm.common import scratch, stored, text_runs
 from docloom.llm.components import components
 
 BITS = 64
@@ -209,9 +209,14 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[list[int], list[int]]:
+def similar_links(
+    prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, only: np.ndarray | None = None
+) -> tuple[list[int], list[int]]:
     """Links that span each part of texts that hang together by links within the radius whose shingle
-    sets have the similarity: places in the given, different sets."""
+    sets have the similarity: places in the given, different sets.
+
+    With ``only``, all links between these places and any other are returned instead.
+    """
     sizes = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     order = np.argsort(codes, kind="stable")
@@ -221,17 +226,27 @@ def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, simil
     reached: list[int] = []
     members: list[int] = []
     left = np.arange(len(sets))
+
+    def similar_to(a: int, among: np.ndarray) -> np.ndarray:
+        near = among[np.bitwise_count((prints[among] ^ prints[a]).view(np.uint64)) <= radius]
+        if not len(near) or not sizes[a]:
+            return near[:0]
+        # Every shingle of the text names the texts that have it: these counts are the intersections.
+        with_it = [owners[i:j] for i, j in zip(begin[own[a]].tolist(), begin[own[a] + 1].tolist())]
+        both = np.bincount(np.concatenate(with_it), minlength=len(sets))[near]
+        return near[both / (sizes[a] + sizes[near] - both) >= similarity]
+
+    if only is not None:
+        for a in only.tolist():
+            found = similar_to(a, left[left != a])
+            reached += [a] * len(found)
+            members += found.tolist()
+        return reached, members
     while len(left) > 1:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             a = frontier.pop()
-            near = left[np.bitwise_count((prints[left] ^ prints[a]).view(np.uint64)) <= radius]
-            if not len(near) or not sizes[a]:
-                continue
-            # Every shingle of the text names the texts that have it: these counts are the intersections.
-            with_it = [owners[i:j] for i, j in zip(begin[own[a]].tolist(), begin[own[a] + 1].tolist())]
-            both = np.bincount(np.concatenate(with_it), minlength=len(sets))[near]
-            found = near[both / (sizes[a] + sizes[near] - both) >= similarity]
+            found = similar_to(a, left)
             reached += [int(a)] * len(found)
             members += found.tolist()
             frontier += found.tolist()
@@ -240,15 +255,20 @@ def similar_links(prints: np.ndarray, sets: list[np.ndarray], radius: int, simil
 
 
 def _confirmed(radius: int, similarity: float):
-    """Edges from batches sorted by (cluster, i, j) with node, fp and shingles behind them."""
+    """Edges from batches sorted by (cluster, i, j) with node, fp, other, shingles and open behind them.
+
+    A group without open nodes is searched whole; else only pairs with an open node are wanted.
+    """
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, prints, sets = None, [], [], []
+        key, held = None, {}
 
         def linked() -> tuple[list[int], list[int]]:
-            if len(nodes) < 2:
+            if len(held) < 2:
                 return [], []
-            reached, members = similar_links(np.array(prints, np.int64), sets, radius, similarity)
+            nodes, rows = list(held), list(held.values())
+            prints, sets, awaited = np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], np.array([r[2] for r in rows])
+            reached, members = similar_links(prints, sets, radius, similarity, np.flatnonzero(awaited) if awaited.any() else None)
             return [nodes[i] for i in reached], [nodes[i] for i in members]
 
         def batch_of(us: list[int], vs: list[int]) -> pa.RecordBatch:
@@ -257,21 +277,27 @@ def _confirmed(radius: int, similarity: float):
         for batch in batches:
             us, vs = [], []
             keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")))
-            for here, node, fp, shingles in zip(keys, *(batch.column(c).to_pylist() for c in ("node", "fp", "shingles"))):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("node", "fp", "shingles", "open")))
+            for here, (node, fp, shingles, awaited) in zip(keys, rows):
                 if here != key:
                     a, b = linked()
                     us += a
                     vs += b
-                    key, nodes, prints, sets = here, [], [], []
-                nodes.append(node)
-                prints.append(fp)
-                sets.append(np.frombuffer(shingles, "<u8"))
+                    key, held = here, {}
+                # A node that comes twice is the same set.
+                held[node] = (fp, np.frombuffer(shingles, "<u8"), awaited)
             yield batch_of(us, vs)
         yield batch_of(*linked())
 
     return edges
 
 
+def _candidate_groups(prints: DataFrame, radius: int) -> DataFrame:
+    """(node, cluster) of nodes whose fingerprints hang together by links within the radius."""
+    near = components(links(prints.select("fp").distinct(), radius)).select(F.col("node").alias("_fp"), F.col("root").alias("cluster"))
+    return prints.join(near, F.col("fp") == F.col("_fp"), "left").select("node", "fp", "size", "one", F.coalesce("cluster", "fp").alias("cluster"))
+
+
 def similar_groups(
     documents: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = WIDE_RADIUS, block: int = BLOCK
 ) -> DataFrame:
@@ -282,10 +308,15 @@ def similar_groups(
     ``radius``; these move less under an edit than those of longer shingles. Texts with equal sets of
     shingles are one node. The nodes of fingerprints that hang together by links within the radius are
     a cluster, which holds every candidate pair of its nodes. A cluster is searched with its sets of
-    shingles at hand, so a pair links only if it is within the radius and similar. One of more than
-    ``block`` nodes or ``BLOCK_BYTES`` of shingles is cut into parts, and every two parts meet in a
-    task, so no pair is left out and no task grows with the cluster.
+    shingles at hand, so a pair links only if it is within the radius and similar.
+
+    A cluster of more than ``block`` nodes or ``BLOCK_BYTES`` of shingles is dealt into parts twice, by
+    two hashes of the node. Links that span the parts join nearly all nodes that hang together. Then
+    the nodes outside the cluster's largest joined group are open: they are cut into blocks, and each
+    block meets every part, so every pair that is not joined yet is tested, and no task grows with the
+    cluster. Sets of shingles move twice, and once per block of open nodes, not once per part.
     """
+    spark = documents.sparkSession
     keep = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,41 +328,64 @@ def similar_groups(
                 columns = [part.column("doc_id"), part.column("text_hash"), pa.array(prints), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "node", "size"])
 
+    placed_columns = ["cluster", "node", "fp", "parts"]
+
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, some in text_runs(batch, "text", RUN_BYTES):
                 sets = [shingle_set(t, words).tobytes() for t in some]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in placed_columns), pa.array(sets, pa.binary())], names=[*placed_columns, "shingles"])
 
     added = [StructField(c, LongType()) for c in ("fp", "node", "size")]
     schema = StructType([*keep.select("doc_id", "text_hash").schema, *added])
     prints = stored(keep.mapInArrow(sketched, schema), "fingerprints")
-    texts = prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.min(F.struct("text_hash", "doc_id")).alias("one"))
-    texts = stored(texts, "texts")
-    near = components(links(texts.select("fp").distinct(), radius)).select(F.col("node").alias("_fp"), F.col("root").alias("cluster"))
-    placed = texts.join(near, F.col("fp") == F.col("_fp"), "left").select("node", "fp", "size", "one", F.coalesce("cluster", "fp").alias("cluster"))
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES), F.lit(1))
-    clusters = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).filter("n > 1").select(F.col("cluster").alias("_cluster"), "parts")
-    members = stored(placed.join(clusters, F.col("cluster") == F.col("_cluster")).select("node", "fp", "one", "cluster", "parts"), "clusters")
-
-    # One document of each node that is in a cluster gives its shingles.
-    wanted = members.select("node", F.col("one.text_hash").alias("_hash"), F.col("one.doc_id").alias("_id"))
-    sources = keep.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    sets = stored(sources.mapInArrow(shingled, "node long, shingles binary"), "shingles").dropDuplicates(["node"])
-    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: (x != mine) | (F.col("parts") == 1))
-    met = F.explode(F.transform(others, lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))).alias("m")
-    dealt = (
-        members.join(sets, "node")
-        .select("cluster", "node", "fp", "shingles", met)
-        .select("cluster", "m.i", "m.j", "node", "fp", "shingles")
-        .repartition("cluster", "i", "j")
-        .sortWithinPartitions("cluster", "i", "j")
-    )
-    similar = components(dealt.mapInArrow(_confirmed(radius, similarity), "u long, v long")).withColumnRenamed("node", "_node")
-    rooted = texts.join(similar, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select(F.col("node").alias("_named"), "root", "component_id")
+    with scratch(spark) as held:
+        texts = prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.min(F.struct("text_hash", "doc_id")).alias("one"))
+        texts = held(texts, "texts")
+        placed = _candidate_groups(texts, radius)
+        parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") * 8 / BLOCK_BYTES), F.lit(1))
+        clusters = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).filter("n > 1").select(F.col("cluster").alias("_cluster"), "parts")
+        members = placed.join(clusters, F.col("cluster") == F.col("_cluster")).select("node", "fp", "one", "cluster", "parts")
+        # One document of each node in a cluster gives its shingles; the cluster travels with its id.
+        wanted = members.select(*placed_columns, F.col("one.text_hash").alias("_hash"), F.col("one.doc_id").alias("_id"))
+        sources = keep.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select(*placed_columns, "text")
+        sets = held(sources.mapInArrow(shingled, "cluster long, node long, fp long, parts long, shingles binary"), "shingles")
+
+        def tested(dealt: DataFrame) -> DataFrame:
+            ordered = dealt.select("cluster", "i", "j", "node", "fp", "shingles", "open").repartition("cluster", "i", "j")
+            return ordered.sortWithinPartitions("cluster", "i", "j").mapInArrow(_confirmed(radius, similarity), "u long, v long")
+
+        def by_hash(turn: int) -> Column:
+            return F.pmod(F.xxhash64(F.lit(turn), F.col("node")), F.col("parts"))
+
+        def turn(number: int) -> Column:
+            return F.struct(F.lit(number).cast("long").alias("i"), by_hash(number).alias("j"))
+
+        turns = F.explode(F.when(F.col("parts") == 1, F.array(turn(0))).otherwise(F.array(turn(0), turn(1)))).alias("m")
+        first_links = held(tested(sets.select("*", turns).select("*", "m.*", F.lit(False).alias("open"))), "first-links")
+        large = sets.filter("parts > 1")
+        found = first_links
+        if not large.isEmpty():
+            joined = held(components(first_links).select(F.col("node").alias("_node"), "root"), "joined")
+            rooted = large.select("cluster", "node", "fp", "parts").join(joined, F.col("node") == F.col("_node"), "left").select("cluster", "node", "fp", "parts", F.coalesce("root", "node").alias("root"))
+            sizes = rooted.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+            largest = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("left_out"))
+            largest = largest.filter("left_out > 0").select(F.col("cluster").alias("_c"), "main", F.ceil(F.col("left_out") / block).alias("blocks"))
+            # Nodes of clusters that are not one group yet: each meets the open nodes, block by block.
+            waiting = rooted.join(largest, F.col("cluster") == F.col("_c")).select(F.col("node").alias("_n"), F.col("cluster").alias("_c"), "blocks", (F.col("root") != F.col("main")).alias("open"))
+            again = large.join(waiting, (F.col("node") == F.col("_n")) & (F.col("cluster") == F.col("_c")))
+            part, own = by_hash(2), F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col("blocks"))
+            steps = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+            everywhere = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.struct(own.alias("i"), x.alias("j"), F.lit(True).alias("open")))
+            once = F.transform(steps, lambda x: F.struct(x.alias("i"), part.alias("j"), F.lit(False).alias("open")))
+            # An open node stands in its part for the other blocks too, where it is an ordinary one.
+            among = F.filter(once, lambda s: s["i"] != own)
+            meets = F.explode(F.when(F.col("open"), F.concat(everywhere, among)).otherwise(once)).alias("m")
+            found = first_links.union(tested(again.select("cluster", "node", "fp", "shingles", meets).select("cluster", "node", "fp", "shingles", "m.*")))
+        similar = components(found).withColumnRenamed("node", "_node")
+        rooted = texts.join(similar, F.col("node") == F.col("_node"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+        smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = stored(rooted.join(smallest, "root").select(F.col("node").alias("_named"), "root", "component_id"), "groups")
     return prints.join(named, F.col("node") == F.col("_named")).select("doc_id", "text_hash", "root", "component_id")
 
 

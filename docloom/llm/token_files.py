@@ -14,10 +14,12 @@ tokens of all parts before it. Readers map the files into memory where the store
 
 Encoding: a text is cut at blanks that follow a character that is no white space; such a blank
 always begins a token of the byte-level tokenizer, so the pieces can be encoded on their own, and
-each different piece is encoded only once as long as a worker remembers it.
+each different piece is encoded only once as long as a worker remembers it. Of two generations of
+remembered pieces the older one is forgotten when the younger is full; pieces in use move over.
+Texts are encoded where they are read, and only their ids move to the range partitions.
 
 Edge cases: a null or empty text has only the end id; a null id comes before all others, equal ids
-are in order of a hash of the text, then of the text; very long texts are taken like others; an
+are in order of a hash of the text, then of the token ids; very long texts are taken like others; an
 empty table gives an empty manifest. Other columns are left out.
 """
 
@@ -38,10 +40,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import file_system, runs_by_size, work_folder
+from docloom.session import removed, stored
 
 END_ID = 0
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 BATCH = 4_096
+LINE = 256
 
 MANIFEST_SCHEMA = "part int, name string, n_docs long, n_tokens long, width int"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -65,6 +69,10 @@ class Encoder:
         self.cuts = self._cuts_at_blanks(path)
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # A line end is a token of its own between words; if so, many words are encoded as one text.
+        lines = self._ids([" a\n b"])[0], self._ids([" a"])[0], self._ids(["\n"])[0], self._ids([" b"])[0]
+        self.line_end = lines[2] if lines[0] == b"".join(lines[1:]) and len(lines[2]) == self.width else b""
 
     @staticmethod
     def _cuts_at_blanks(path: str) -> bool:
@@ -82,6 +90,10 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
         new = pieces.difference(known)
+        if before:
+            kept = {p: self.older[p] for p in new if p in self.older}
+            known.update(kept)
+            new.difference_update(kept)
         # Signs behind a word are tokens of their own: word and signs are encoded apart, once each.
         apart = {p: core for p in new if (core := p.rstrip(".,;:!?")) != p and core.isalpha()} if before else {}
         signs = {p[len(core) :] for p, core in apart.items()}
@@ -90,7 +102,15 @@ class Encoder:
         known.update((p, known[core] + self.first[p[len(core) :]]) for p, core in apart.items())
 
     def _encode_into(self, known: dict[str, bytes], new: set[str], before: str) -> None:
-        pieces = list(new)
+        words = [p for p in new if p.isalpha()] if before and self.line_end else []
+        for i in range(0, len(words), LINE):
+            part = words[i : i + LINE]
+            ids = np.frombuffer(self._ids(["".join([f"{before}{w}\n" for w in part])])[0], f"<u{self.width}")
+            ends = np.flatnonzero(ids == np.frombuffer(self.line_end, f"<u{self.width}")[0])
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), (ends * self.width).tolist()
+                known.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + self.width for x in at)], at))))
+        pieces = list(new.difference(known))
         for i in range(0, len(pieces), BATCH):
             part = pieces[i : i + BATCH]
             known.update(zip(part, self._ids([before + x for x in part])))
@@ -99,9 +119,10 @@ class Encoder:
         """Ids of each text, as bytes of ``width`` bytes an id."""
         if not self.cuts:
             return self._ids(texts)
-        if len(self.first) + len(self.after) > REMEMBERED:
-            self.first.clear()
-            self.after.clear()
+        if len(self.first) > REMEMBERED:
+            self.first = {}
+        if len(self.after) > REMEMBERED:
+            self.older, self.after = self.after, {}
         # Where a blank follows white space, only a pattern finds the places to cut.
         split = [AFTER_WORD.split(t) if BLANK_RUN.search(t) or t[:1] == " " else t.split(" ") for t in texts]
         self._learn(self.first, {s[0] for s in split}, "")
@@ -118,21 +139,29 @@ def encoder(path: str) -> Encoder:
 def write_tokens(documents: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, run_chars: int = 1 << 20) -> DataFrame:
     """Encode (doc_id, text) in ascending order of doc_id below ``root``; returns the stored manifest."""
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
-        end = np.array([end_id], f"<u{made.width}").tobytes()
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for a, b in runs_by_size([len(t) for t in texts], run_chars):
+                part = batch.slice(a, b - a)
+                ids = pa.array(made.encode(texts[a:b]), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_hash"), ids], names=["doc_id", "_hash", "ids"])
+
+    width = encoder(tokenizer).width
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], f"<u{width}").tobytes()
         store, folder = file_system(f"{root}/parts")
         out, name, lengths, ids = None, uuid.uuid4().hex, [], []
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids.append(batch.column(0))
-            for a, b in runs_by_size([len(t) for t in texts], run_chars):
-                if out is None:
-                    store.create_dir(folder)
-                    out = store.open_output_stream(f"{folder}/{name}.bin", compression=None)
-                encoded = made.encode(texts[a:b])
-                lengths += [len(x) // made.width + 1 for x in encoded]
-                out.write(b"".join(y for x in encoded for y in (x, end)))
+            if out is None:
+                store.create_dir(folder)
+                out = store.open_output_stream(f"{folder}/{name}.bin", compression=None)
+            ids.append(batch.column("doc_id"))
+            tokens = batch.column("ids").to_pylist()
+            lengths += [len(x) // width + 1 for x in tokens]
+            out.write(b"".join(y for x in tokens for y in (x, end)))
         if out is None:
             return
         out.close()
@@ -143,18 +172,16 @@ def write_tokens(documents: DataFrame, root: str, tokenizer: str, end_id: int =
         with store.open_output_stream(f"{folder}/{name}.doc", compression=None) as f:
             f.write(joined.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             f.write(joined.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
-        row = (TaskContext.get().partitionId(), name, len(lengths), int(offsets[-1]), made.width)
+        row = (TaskContext.get().partitionId(), name, len(lengths), int(offsets[-1]), width)
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["part", "name", "n_docs", "n_tokens", "width"])
 
-    ordered = (
-        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .withColumn("_hash", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "_hash")
-        .sortWithinPartitions("doc_id", "_hash", "text")
-        .select("doc_id", "text")
-    )
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_hash", F.xxhash64("text"))
+    # Stored, as range partitioning reads its input twice.
+    held = stored(texts.mapInArrow(encoded, "doc_id long, _hash long, ids binary"), f"{root}/encoded")
+    ordered = held.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "ids").select("doc_id", "ids")
     ordered.mapInArrow(write, MANIFEST_SCHEMA).write.parquet(f"{root}/manifest")
+    removed(documents.sparkSession, f"{root}/encoded")
     return documents.sparkSession.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest")
 
 
