@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import rules
@@ -78,6 +78,7 @@ class Bm25Model:
     avg_len: float
     avg_idf: float
     n_terms: int
+    ids: DataFrame | None = None
 
     @staticmethod
     def fit(corpus: DataFrame, id_col: str = "id", text_col: str = "text", table: str | None = None) -> Bm25Model:
@@ -123,28 +124,25 @@ class Bm25Model:
     def _with_others(self, hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         """Hits and, for every query, the first rows of the corpus with score 0 unless they are hits.
 
-        At most k positive hits stand before them, so the 2k smallest ids are enough; all rows are
-        taken where the mean idf is negative, as in a corpus whose every word is in most rows.
+        At most k positive hits stand before them, so the 2k smallest ids are enough; where the mean
+        idf is negative, as in a corpus whose every word is in most rows, each query takes as many
+        ids as it has hits and k more. Ids stay in Spark.
         """
-        ids = self.rows.where("pos = 0").select("id").distinct()
-        if self.avg_idf >= 0:
-            ids = ids.orderBy("id").limit(2 * k)
-        first = ids.agg(F.sort_array(F.collect_list("id")).alias("ids")).first()["ids"]
-        if not first:
-            return hits
-        lists = F.from_json(F.lit(_json(first)), f"array<{self.rows.schema['id'].dataType.simpleString()}>")
-        others = queries.select("query_id").distinct().select("query_id", F.explode(lists).alias("id"))
+        ids = self.ids if self.ids is not None else self.rows.where("pos = 0").select("id").distinct()
+        asked = queries.select("query_id").distinct()
+        # Ids in order, numbered from 1: the k first ones that are no hits of a query are among its
+        # first k + (number of its hits) ones, and each query takes as many as it needs.
+        wanted = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("_hits"))
+        most = 2 * k if self.avg_idf >= 0 else k + (wanted.agg(F.max("_hits")).first()[0] or 0)
+        number = F.row_number().over(Window.orderBy("id"))
+        first = ids.orderBy("id").limit(most).withColumn("_number", number)
+        ranges = asked.join(wanted, "query_id", "left").select("query_id", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("_hits", F.lit(0)) + k, F.lit(most)).cast("int"))).alias("_number"))
+        others = ranges.join(first, "_number").select("query_id", "id")
         return (
             others.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0)).unionByName(hits)
         )
 
 
-def _json(values: list) -> str:
-    import json
-
-    return json.dumps(values, default=str)
-
-
 def tfidf_vocabulary(counts: DataFrame, n_docs: int, max_features: int | None, max_df: float, min_df: int) -> DataFrame:
     """``term, idf`` of terms that are neither too rare nor too common, of ``counts`` (term, df, cf);
     with ``max_features`` the most frequent ones only."""

@@ -12,11 +12,12 @@ from docloom.functions.validate import validate_answer
 from docloom.operators import cache, compress, expansion, fusion, memory, parent, prompts, stats, store
 from docloom.operators.chunking import semantic_chunks
 from docloom.operators.dense import dense_search
-from docloom.operators.sparse import Bm25Model, TfidfModel, bm25_tokens, postings, tfidf_terms
+from docloom.operators.sparse import TfidfModel, postings, tfidf_terms
 from docloom.operators.store import ChunkStore
+from docloom.operators.term_index import TermIndex
 from docloom.operators.topk import union_all
 from docloom.providers import Providers
-from docloom.session import written
+from docloom.session import removed, written
 from docloom.sources.files import check_uploads, listing, read_documents
 
 MODES = ("parent", "hybrid", "two_way", "semantic", "keyword", "technical")
@@ -39,7 +40,7 @@ class Engine:
         self.history = ChunkStore(spark, folder, "history")
         self.log = ChunkStore(spark, folder, "log")
         self.errors = ChunkStore(spark, folder, "ingest_errors")
-        self.bm25_postings = ChunkStore(spark, folder, "bm25_postings")
+        self.bm25_index = TermIndex(spark, f"{folder}/bm25_index")
         self.tfidf_postings = ChunkStore(spark, folder, "tfidf_postings")
         self.use_expansion = True
         self.synonyms: DataFrame | None = None
@@ -90,11 +91,12 @@ class Engine:
         rows = written(rows)  # what is new is settled before the table grows
         # Postings go first: a batch that is repeated after a failure replaces none, so ids in both
         # tables are compared.
-        for table, terms in ((self.bm25_postings, bm25_tokens(F.col("text"))), (self.tfidf_postings, tfidf_terms(F.col("text"), rules.TFIDF_STOP_WORDS))):
-            new = rows.select("id", "text")
-            if table.exists():
-                new = new.join(table.all().where("pos = 0").select("id"), "id", "left_anti")
-            table.append(postings(new, terms))
+        new = rows.select("id", "text")
+        self.bm25_index.add(new)
+        table = self.tfidf_postings
+        if table.exists():
+            new = new.join(table.all().where("pos = 0").select("id"), "id", "left_anti")
+        table.append(postings(new, tfidf_terms(F.col("text"), rules.TFIDF_STOP_WORDS)))
         self.chunks.append(rows.withColumn("embedding", self.providers.embed(F.col("text"))))
 
     def _add_hierarchy(self, units: DataFrame) -> DataFrame:
@@ -179,13 +181,14 @@ class Engine:
 
     def _mixed_modes(self, queries, k, mode, corpus, n) -> DataFrame:
         embed, texts = self.providers.embed, corpus.select("id", "text")
-        model = Bm25Model.of_postings(self.bm25_postings.all())
+        index = self.bm25_index
         if mode == "keyword":
-            hits = model.search(queries, k)
+            hits = index.search(queries, k)
             return fusion.attach(hits, texts, n * k)
         vectors = queries.select("query_id", embed(F.col("text")).alias("embedding"))
         parts = [fusion.tagged(dense_search(corpus, vectors, 2 * k), "dense")]
-        parts.append(fusion.tagged(model.search(queries, 2 * k, positive_only=mode == "hybrid"), "bm25"))
+        words = index.search(queries, 2 * k) if mode == "hybrid" else index.model().search(queries, 2 * k, positive_only=False)
+        parts.append(fusion.tagged(words, "bm25"))
         if mode == "hybrid":
             parts.append(fusion.tagged(TfidfModel.of_postings(self.tfidf_postings.all()).search(queries, 2 * k), "tfidf"))
         hits = fusion.attach(union_all(parts), texts, n * 2 * k * len(parts))
@@ -339,8 +342,9 @@ class Engine:
             kept.write.mode("overwrite").parquet(self.history.path)
 
     def drop(self) -> None:
-        for table in (self.chunks, self.parents, self.children, self.cache, self.history, self.log, self.errors, self.bm25_postings, self.tfidf_postings):
+        for table in (self.chunks, self.parents, self.children, self.cache, self.history, self.log, self.errors, self.tfidf_postings):
             table.drop()
+        removed(self.spark, self.bm25_index.root)
 
     def performance(self) -> DataFrame:
         return stats.performance(self.log.all())

@@ -11,10 +11,12 @@ from docloom.functions.hashing import shard_of
 from docloom.operators import expansion, fusion, parent
 from docloom.operators.dense import dense_search, sharded_dense_search
 from docloom.operators.sparse import Bm25Model, TfidfModel
+from docloom.operators.term_index import TermIndex
 from docloom.operators.topk import union_all
 from docloom.plans import sql as q
 from docloom.plans.chunk_queries import type_sql, windows_sql
 from docloom.plans.registry import query
+from docloom.session import work_folder
 
 K = 5
 
@@ -92,6 +94,15 @@ def bm25_topk(db):
     return Bm25Model.fit(db.documents, "doc_id").search(benchmark_queries(db), K)
 
 
+@query(f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM ({bm25_sql(K)})")
+def bm25_index_topk(db):
+    """The stored index by term, filled by two batches, searched with upper bounds."""
+    index = TermIndex(db.spark, work_folder(db.spark, "term-index"))
+    for turn in (0, 1):
+        index.add(db.documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == turn), "doc_id")
+    return index.search(benchmark_queries(db), K)
+
+
 _STOP = ", ".join(q.quote(w) for w in rules.TFIDF_STOP_WORDS)
 
 
