@@ -106,3 +106,51 @@ class ChunkStore:
     def drop(self) -> None:
         path, fs = self._filesystem()
         fs.delete(path, True)
+
+
+class VersionedStore(ChunkStore):
+    """A table that can be replaced as a whole without readers seeing half of it.
+
+    Rows are in ``data-N`` below the table's folder; the highest number below ``pointers`` says which
+    N holds. ``replace`` writes the next N first and its pointer last, so a driver that is lost in
+    between leaves the table as it was, and what it had written is taken over by nobody.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, name: str):
+        super().__init__(spark, root, name)
+        self.root = self.path
+
+    def _at(self, path: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        place, fs = self._at(f"{self.root}/pointers")
+        return max((int(f.getPath().getName()) for f in fs.listStatus(place)), default=0) if fs.exists(place) else 0
+
+    @property
+    def path(self) -> str:
+        return f"{self.root}/data-{self.version()}" if hasattr(self, "root") else self._first
+
+    @path.setter
+    def path(self, value: str) -> None:
+        self._first = value
+
+    def _switch(self, number: int) -> None:
+        place, fs = self._at(f"{self.root}/pointers/{number}")
+        fs.create(place, True).close()
+
+    def replace(self, records: DataFrame) -> None:
+        """Make ``records``, which may be made of the table's own rows, its only content."""
+        old = self.version()
+        place, fs = self._at(f"{self.root}/data-{old + 1}")
+        fs.delete(place, True)  # of a try that failed
+        records.write.parquet(f"{self.root}/data-{old + 1}")
+        self._switch(old + 1)
+        # Readers that began before the switch may still read the version before; older ones go.
+        place, fs = self._at(f"{self.root}/data-{old - 1}")
+        fs.delete(place, True)
+
+    def drop(self) -> None:
+        place, fs = self._at(self.root)
+        fs.delete(place, True)

@@ -13,11 +13,11 @@ from docloom.operators import cache, compress, expansion, fusion, memory, parent
 from docloom.operators.chunking import semantic_chunks
 from docloom.operators.dense import dense_search
 from docloom.operators.sparse import TfidfModel, postings, tfidf_terms
-from docloom.operators.store import ChunkStore
+from docloom.operators.store import ChunkStore, VersionedStore
 from docloom.operators.term_index import TermIndex
 from docloom.operators.topk import union_all
 from docloom.providers import Providers
-from docloom.session import removed, written
+from docloom.session import removed, ship_package, written
 from docloom.sources.files import check_uploads, listing, read_documents
 
 MODES = ("parent", "hybrid", "two_way", "semantic", "keyword", "technical")
@@ -30,6 +30,7 @@ class Engine:
         self, spark: SparkSession, root: str, settings: Settings = Settings(),
         providers: Providers = Providers(), sharded: bool = False,
     ):
+        ship_package(spark)
         self.spark, self.settings, self.providers = spark, settings, providers
         folder = f"{root.rstrip('/')}/{settings.collection}"
         shards = settings.num_shards if sharded else 0
@@ -37,7 +38,7 @@ class Engine:
         self.parents = ChunkStore(spark, folder, "parents")
         self.children = ChunkStore(spark, folder, "children")
         self.cache = ChunkStore(spark, folder, "cache")
-        self.history = ChunkStore(spark, folder, "history")
+        self.history = VersionedStore(spark, folder, "history")
         self.log = ChunkStore(spark, folder, "log")
         self.errors = ChunkStore(spark, folder, "ingest_errors")
         self.bm25_index = TermIndex(spark, f"{folder}/bm25_index")
@@ -332,14 +333,12 @@ class Engine:
     def clear_session(self, session_id: str) -> None:
         """Rewrite the history without one session."""
         if self.history.exists():
-            rest = written(memory.without_session(self.history.all(), session_id))
-            rest.write.mode("overwrite").parquet(self.history.path)
+            self.history.replace(memory.without_session(self.history.all(), session_id))
 
     def trim_history(self) -> None:
         """Keep the newest turns of each session only."""
         if self.history.exists():
-            kept = written(memory.last_turns(self.history.all(), self.settings.max_history, "answered_at").drop("age"))
-            kept.write.mode("overwrite").parquet(self.history.path)
+            self.history.replace(memory.last_turns(self.history.all(), self.settings.max_history, "answered_at").drop("age"))
 
     def drop(self) -> None:
         for table in (self.chunks, self.parents, self.children, self.cache, self.history, self.log, self.errors, self.tfidf_postings):

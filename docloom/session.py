@@ -25,7 +25,9 @@ def build_session(app: str = "docloom", master: str | None = None, **conf) -> Sp
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark: SparkSession) -> None:

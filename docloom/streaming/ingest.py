@@ -63,8 +63,3 @@ def usage_stream(log: DataFrame, window: str = "5 minutes", late: str = "10 minu
         )
         .select(F.col("window.start").alias("start"), "queries", "cache_hits", "average_response_time")
     )
-
-
-def fresh_answers(answers: DataFrame, ttl_seconds: int = Settings.memory_ttl_seconds) -> DataFrame:
-    """Answers of a stream without repeats of a key inside its time to live."""
-    return answers.withWatermark("created_at", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(["key"])
