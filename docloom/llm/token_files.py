@@ -16,10 +16,11 @@ Encoding: a text is cut at blanks that follow a character that is no white space
 always begins a token of the byte-level tokenizer, so the pieces can be encoded on their own, and
 each different piece is encoded only once as long as a worker remembers it. Of two generations of
 remembered pieces the older one is forgotten when the younger is full; pieces in use move over.
-Texts are encoded where they are read, and only their ids move to the range partitions.
+Texts move to the range partitions and are encoded there: their ids take as many bytes as the texts
+do compressed, and would have to be stored before the move.
 
 Edge cases: a null or empty text has only the end id; a null id comes before all others, equal ids
-are in order of a hash of the text, then of the token ids; very long texts are taken like others; an
+are in order of a hash of the text, then of the text; very long texts are taken like others; an
 empty table gives an empty manifest. Other columns are left out.
 """
 
@@ -40,7 +41,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import file_system, runs_by_size, work_folder
-from docloom.session import removed, stored
 
 END_ID = 0
 REMEMBERED = 400_000
@@ -139,29 +139,21 @@ def encoder(path: str) -> Encoder:
 def write_tokens(documents: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, run_chars: int = 1 << 20) -> DataFrame:
     """Encode (doc_id, text) in ascending order of doc_id below ``root``; returns the stored manifest."""
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(tokenizer)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in runs_by_size([len(t) for t in texts], run_chars):
-                part = batch.slice(a, b - a)
-                ids = pa.array(made.encode(texts[a:b]), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_hash"), ids], names=["doc_id", "_hash", "ids"])
-
-    width = encoder(tokenizer).width
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], f"<u{width}").tobytes()
+        made = encoder(tokenizer)
+        end = np.array([end_id], f"<u{made.width}").tobytes()
         store, folder = file_system(f"{root}/parts")
         out, name, lengths, ids = None, uuid.uuid4().hex, [], []
         for batch in batches:
-            if out is None:
-                store.create_dir(folder)
-                out = store.open_output_stream(f"{folder}/{name}.bin", compression=None)
-            ids.append(batch.column("doc_id"))
-            tokens = batch.column("ids").to_pylist()
-            lengths += [len(x) // width + 1 for x in tokens]
-            out.write(b"".join(y for x in tokens for y in (x, end)))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids.append(batch.column(0))
+            for a, b in runs_by_size([len(t) for t in texts], run_chars):
+                if out is None:
+                    store.create_dir(folder)
+                    out = store.open_output_stream(f"{folder}/{name}.bin", compression=None)
+                encoded = made.encode(texts[a:b])
+                lengths += [len(x) // made.width + 1 for x in encoded]
+                out.write(b"".join(y for x in encoded for y in (x, end)))
         if out is None:
             return
         out.close()
@@ -172,16 +164,18 @@ def write_tokens(documents: DataFrame, root: str, tokenizer: str, end_id: int =
         with store.open_output_stream(f"{folder}/{name}.doc", compression=None) as f:
             f.write(joined.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             f.write(joined.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
-        row = (TaskContext.get().partitionId(), name, len(lengths), int(offsets[-1]), width)
+        row = (TaskContext.get().partitionId(), name, len(lengths), int(offsets[-1]), made.width)
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["part", "name", "n_docs", "n_tokens", "width"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_hash", F.xxhash64("text"))
-    # Stored, as range partitioning reads its input twice.
-    held = stored(texts.mapInArrow(encoded, "doc_id long, _hash long, ids binary"), f"{root}/encoded")
-    ordered = held.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "ids").select("doc_id", "ids")
+    ordered = (
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .withColumn("_hash", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "_hash")
+        .sortWithinPartitions("doc_id", "_hash", "text")
+        .select("doc_id", "text")
+    )
     ordered.mapInArrow(write, MANIFEST_SCHEMA).write.parquet(f"{root}/manifest")
-    removed(documents.sparkSession, f"{root}/encoded")
     return documents.sparkSession.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest")
 
 
