@@ -12,9 +12,10 @@ A task's row of the manifest (a Parquet table that Spark commits) names its file
 random name: files of lost or doubled attempts are named by no row. A part's base is the sum of the
 tokens of all parts before it. Readers map the files into memory where the store is local.
 
-Encoding: a text is cut at blanks that follow a character that is no white space; such a blank
-always begins a token of the byte-level tokenizer, so the pieces can be encoded on their own, and
-each different piece is encoded only once as long as a worker remembers it. Of two generations of
+Encoding: a text is cut at blanks between characters that are no white space; such a blank always
+begins a token of the byte-level tokenizer, and such a line end is one, so the pieces can be encoded on
+their own, and each different piece is encoded only once as long as a worker remembers it; words are
+encoded apart from the signs behind them. Of two generations of
 remembered pieces the older one is forgotten when the younger is full; pieces in use move over.
 Texts move to the range partitions and are encoded there: their ids take as many bytes as the texts
 do compressed, and would have to be stored before the move.
@@ -29,6 +30,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import uuid
 import zlib
 from array import array
@@ -50,8 +52,9 @@ LINE = 256
 MANIFEST_SCHEMA = "part int, name string, n_docs long, n_tokens long, width int"
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-AFTER_WORD = re.compile(r"(?<=\S) ")
+BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 BLANK_RUN = re.compile(r"\s ")
+LINE_RUN = re.compile(r"\n\s")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -71,8 +74,9 @@ class Encoder:
         self.after: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # A line end is a token of its own between words; if so, many words are encoded as one text.
-        lines = self._ids([" a\n b"])[0], self._ids([" a"])[0], self._ids(["\n"])[0], self._ids([" b"])[0]
-        self.line_end = lines[2] if lines[0] == b"".join(lines[1:]) and len(lines[2]) == self.width else b""
+        blank, joined, end, word, second, plain = self._ids([" a\n b", "a\nb", "\n", " a", " b", "a"])
+        whole = blank == word + end + second and joined == plain + end + self._ids(["b"])[0]
+        self.line_end = end if whole and len(end) == self.width else b""
 
     @staticmethod
     def _cuts_at_blanks(path: str) -> bool:
@@ -94,15 +98,20 @@ class Encoder:
             kept = {p: self.older[p] for p in new if p in self.older}
             known.update(kept)
             new.difference_update(kept)
+            # A piece that begins with a line end has no blank before its word.
+            lines = [p for p in new if p[:1] == "\n"]
+            self._learn(self.first, {p[1:] for p in lines}, "")
+            known.update((p, self.line_end + self.first[p[1:]]) for p in lines)
+            new.difference_update(lines)
         # Signs behind a word are tokens of their own: word and signs are encoded apart, once each.
-        apart = {p: core for p in new if (core := p.rstrip(".,;:!?")) != p and core.isalpha()} if before else {}
+        apart = {p: core for p in new if (core := p.rstrip(string.punctuation)) != p and core.isalpha()}
         signs = {p[len(core) :] for p, core in apart.items()}
         self._encode_into(known, (new - apart.keys() | set(apart.values())).difference(known), before)
         self._encode_into(self.first, signs.difference(self.first), "")
         known.update((p, known[core] + self.first[p[len(core) :]]) for p, core in apart.items())
 
     def _encode_into(self, known: dict[str, bytes], new: set[str], before: str) -> None:
-        words = [p for p in new if p.isalpha()] if before and self.line_end else []
+        words = [p for p in new if p.isalpha()] if self.line_end else []
         for i in range(0, len(words), LINE):
             part = words[i : i + LINE]
             ids = np.frombuffer(self._ids(["".join([f"{before}{w}\n" for w in part])])[0], f"<u{self.width}")
@@ -115,6 +124,13 @@ class Encoder:
             part = pieces[i : i + BATCH]
             known.update(zip(part, self._ids([before + x for x in part])))
 
+    def _pieces(self, text: str) -> list[str]:
+        """The text cut at single blanks, and before single line ends, between words."""
+        plain = text.replace("\n", " \n") if self.line_end else text
+        if BLANK_RUN.search(plain) or LINE_RUN.search(plain) or plain[:1] == " ":  # only a pattern finds the places to cut
+            return BETWEEN_WORDS.split(text)
+        return plain.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of ``width`` bytes an id."""
         if not self.cuts:
@@ -123,8 +139,7 @@ class Encoder:
             self.first = {}
         if len(self.after) > REMEMBERED:
             self.older, self.after = self.after, {}
-        # Where a blank follows white space, only a pattern finds the places to cut.
-        split = [AFTER_WORD.split(t) if BLANK_RUN.search(t) or t[:1] == " " else t.split(" ") for t in texts]
+        split = [self._pieces(t) for t in texts]
         self._learn(self.first, {s[0] for s in split}, "")
         self._learn(self.after, set().union(*split), " ")
         return [self.first[s[0]] + b"".join(map(self.after.__getitem__, s[1:])) for s in split]

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import duckdb
 import public_tokenizers
@@ -93,7 +94,11 @@ def test_encoder_equals_tokenizer(file):
     texts = [
         "", " ", "  a", "a  b", "a\n b", "a \n\n b ", "don't stop, it's 3.5!", "tab\t x", "end. ", "é ñ 日本 語", "<|endoftext|> x", "a<|endoftext|>b",
         "x\u0085 y", "a  b", " wide  space", "We're   THERE\r\n now", "word,word ,word. .", "'s 's a's",
+        "end.\nNext\nline&&& x", "a\n", "\na", "a\n\nb", "a\n\u00a0b", "a\r\nb", "ab'\nc", "word'.' x\ny",
     ]
+    rng = random.Random(5)
+    signs = ["a", "B", "é", " ", " ", "\n", ".", "'", "s", "9", "\r", "\u00a0", "&", "\x1c", "漢"]
+    texts += ["".join(rng.choices(signs, k=rng.randrange(1, 14))) for _ in range(3000)]
     for _ in range(2):
         for text, ids in zip(texts, made.encode(texts)):
             want = made.tokenizer.encode(text, add_special_tokens=False).ids
