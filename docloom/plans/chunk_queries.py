@@ -250,8 +250,7 @@ def chunk_word_windows(db):
 _PIECE = "{{'s': {s}, 'n': {n}, 'now': {now}, 'done': {done}}}"
 
 
-@query(
-    f"""
+PIECES_SQL = f"""
     WITH folded AS (
       SELECT doc_id, list_reduce(
           list_transform({q.sentences('text')}, lambda s: {_PIECE.format(s='s', n=q.word_count('s') + '::BIGINT', now="''", done='[]::VARCHAR[]')}),
@@ -266,7 +265,9 @@ _PIECE = "{{'s': {s}, 'n': {n}, 'now': {now}, 'done': {done}}}"
     SELECT doc_id, (k - 1)::INTEGER AS piece_index, p[k] AS text
     FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM parts)
     """
-)
+
+
+@query(PIECES_SQL)
 def summary_pieces(db):
     return db.documents.select(
         "doc_id", F.posexplode(chunking.summary_pieces(F.col("text"))).alias("piece_index", "text")

@@ -8,17 +8,40 @@ from docloom import rules
 from docloom.functions import text as t
 from docloom.functions.hashing import cache_key
 from docloom.functions.markup import html_text, markdown_text
-from docloom.operators import cache, compress, memory, prompts, stats, summarize
+from docloom.operators import abstractive, cache, compress, memory, prompts, stats, summarize
 from docloom.operators.fusion import attach
 from docloom.operators.sparse import Bm25Model
 from docloom.plans import sql as q
-from docloom.plans.chunk_queries import _semantic_sql
+from docloom.plans.chunk_queries import PIECES_SQL, _semantic_sql
 from docloom.plans.nlp_queries import _ENTITIES, _RELATIONS, FIXTURE_TERMS
 from docloom.plans.registry import query
 from docloom.plans.search_queries import HIERARCHY_SQL, K, benchmark_queries, bm25_sql, relevance_sql
 
 # --- summaries ------------------------------------------------------------------------
 
+
+@query(
+    f"""
+    WITH pieces AS ({PIECES_SQL}),
+    parts AS (
+      SELECT doc_id, piece_index, count(*) OVER (PARTITION BY doc_id) AS n, {q.words('pieces.text')} AS w
+      FROM pieces JOIN documents USING (doc_id) WHERE {q.word_count('documents.text')} > 1000),
+    firsts AS (
+      SELECT doc_id, max(n) AS n,
+             string_agg(array_to_string(w[1 : CASE WHEN n > 1 THEN 300 // n + 50 ELSE 300 END], ' '), ' ' ORDER BY piece_index) AS a
+      FROM parts GROUP BY doc_id),
+    made AS (SELECT doc_id, {q.words('coalesce(a, text)')} AS w, coalesce(n, 1)::INTEGER AS n FROM documents LEFT JOIN firsts USING (doc_id))
+    SELECT doc_id, CASE WHEN len(w) > 0 THEN array_to_string(w[1 : 300], ' ') END AS abstract, NULL::VARCHAR AS abstract_error,
+           CASE WHEN len(w) > 0 THEN n END AS abstract_pieces
+    FROM made
+    """
+)
+def summary_two_pass(db):
+    made = abstractive.two_pass(db.documents.select("doc_id", "text"), abstractive.leading_words, batch=64)
+    return made.drop("text")
+
+
+
 _STOP = ", ".join(q.quote(w) for w in rules.SUMMARY_STOP_WORDS)
 _SCORES = f"""
   sents AS (SELECT doc_id, len(ss) AS size, (i - 1)::INTEGER AS i, ss[i] AS s FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i

@@ -9,6 +9,7 @@ from docloom.functions.classify import analyze_query, key_terms
 from docloom.functions.embedding import hashed_embedding
 from docloom.functions.hashing import shard_of
 from docloom.operators import expansion, fusion, parent
+from docloom.operators.cell_index import CellIndex
 from docloom.operators.dense import dense_search, sharded_dense_search
 from docloom.operators.sparse import Bm25Model, TfidfModel
 from docloom.operators.term_index import TermIndex
@@ -53,6 +54,14 @@ def dense_topk(db):
     return dense_search(db.embeddings, label_queries(db), K, id_col="vec_id")
 
 
+@query(ranked_sql(_VECTOR_PAIRS, K))
+def dense_cells_topk(db):
+    cells = 16
+    index = CellIndex(db.spark, work_folder(db.spark, "cells"))
+    index.build(db.embeddings, "vec_id", cells=cells)
+    return index.search(label_queries(db), K, probes=cells)
+
+
 _VEC_SHARD = "(('0x' || right(md5(vec_id::VARCHAR), 1))::INTEGER % 4)::INTEGER"
 
 
