@@ -6,19 +6,20 @@ step, so that the signs of the rotated vectors lose as little as possible. The s
 substrings of 16 bits. Every vector is in the index: each task keeps its part of the different
 vectors with four tables from substring value to vectors.
 
-A query whose code is within Hamming radius r of a vector's code is within r // 4 in one substring
-at least (pigeonhole), so probing all table entries within r // 4 of the query's substrings finds
-every code within r; these are checked on the whole code and ranked by inner products of the
-original vectors in double precision. The products are computed for all vectors of a task and those
-outside the radius are left out of the ranking, so probing saves no products. The radius is learned too: on the sample, it covers ``REACH``
-of the true nearest neighbours. In a larger table neighbours are nearer, so the radius that is
-enough for the sample is enough there. A task that finds fewer than k vectors within the radius
-widens it until it has k or all of its vectors.
+A query whose code is within Hamming radius r = 4 p + e of a vector's code is within p in one of the
+first e + 1 substrings or within p - 1 in one of the others (pigeonhole), so the table entries that
+are so near hold every code within r. Only their vectors are looked at: whole codes are compared, and
+inner products of the original vectors in double precision are computed for codes within r alone. The
+radius is learned too: on the sample, it covers ``REACH`` of the true nearest neighbours. In a larger
+table neighbours are nearer, so the radius that is enough for the sample is enough there. A task that
+finds fewer than k vectors within the radius widens it until it has k or all of its vectors.
 
 Equal vectors are one entry with their smallest k + 1 ids, which are all that an answer can name.
-Queries go to the tasks in blocks of ``QUERY_BLOCK`` different vectors; each block is one pass over
-the index, a task answers a query with one row of at most k + 1 vectors, and the rows of all tasks
-are merged.
+Vectors are dealt into shards of at most ``SHARD_VALUES`` numbers and queries into groups; every
+group meets every shard in one cell. A task builds a cell's index from its vectors, which come first,
+and streams the queries past it, so its memory is bounded and nothing but the sample and the counts
+reaches the driver. Vectors move once a group and queries once a shard, with the number of groups
+chosen so that both move about as much. Each cell answers a query with at most k + 1 rows.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or
 non-finite parts take no part, nor do rows with a null id; rows that repeat id and vector count
@@ -44,8 +45,7 @@ PARTS = 4
 PART_BITS = BITS // PARTS
 SAMPLE = 4_096
 REACH = 0.985
-QUERY_BLOCK = 16_384
-QUERY_ROWS = 128
+SHARD_VALUES = 1 << 23
 TURNS = 30
 
 
@@ -55,7 +55,7 @@ class Coder:
     def __init__(self, sample: np.ndarray, k: int):
         rng = np.random.default_rng(17)
         size = sample.shape[1]
-        self.mean = sample.mean(axis=0)
+        self.mean = sample.mean(axis=0) if len(sample) else np.zeros(size)
         centered = sample - self.mean
         axes = np.linalg.svd(centered, full_matrices=True)[2] if len(sample) else np.eye(size)
         blocks = [axes[: min(BITS, size)].T]
@@ -91,39 +91,39 @@ class Index:
     """Tables from the values of each substring to the vectors that have them."""
 
     def __init__(self, coder: Coder, vectors: np.ndarray):
-        self.coder, self.vectors = coder, vectors
+        self.coder, self.vectors, self.tables = coder, vectors, []
         self.codes = coder.codes(vectors) if len(vectors) else np.zeros(0, np.uint64)
-        self.tables = [np.unique(part, return_inverse=True) for part in substrings(self.codes).T]
-
-    def within(self, codes: np.ndarray, radius: int) -> np.ndarray:
-        """(queries x vectors) flags: the codes differ in at most ``radius`` bits."""
-        near = np.zeros((len(codes), len(self.codes)), bool)
-        for (values, bucket), parts in zip(self.tables, substrings(codes).T):
+        self.products = 0  # inner products computed so far
+        for part in substrings(self.codes).T:
+            order = np.argsort(part, kind="stable")
+            self.tables.append((order, *np.unique(part[order], return_index=True, return_counts=True)))
+
+    def within(self, code: np.uint64, radius: int) -> np.ndarray:
+        """Positions of the vectors whose codes differ in at most ``radius`` bits, ascending."""
+        whole, extra = divmod(radius, PARTS)
+        near = np.zeros(len(self.codes), bool)
+        for j, (part, (order, values, starts, counts)) in enumerate(zip(substrings(np.array([code]))[0], self.tables)):
             # Of all values within the substring's radius, only those that occur are visited.
-            probed = np.bitwise_count(parts[:, None] ^ values[None, :]) <= radius // PARTS
-            near |= probed[:, bucket]
-        near &= np.bitwise_count(codes[:, None] ^ self.codes[None, :]) <= radius
-        return near
-
-    def nearest(self, queries: np.ndarray, codes: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(vectors, inner products) of about the k nearest found of each query, the k nearest among them."""
-        k = min(k, len(self.codes))
-        radius = self.coder.radius
-        near = self.within(codes, radius)
-        few = np.flatnonzero(near.sum(axis=1) < k)
-        while len(few):
+            probed = np.flatnonzero(np.bitwise_count(values ^ part) <= (whole if j <= extra else whole - 1))
+            n = counts[probed]
+            entries = order[np.repeat(starts[probed] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            near[entries[np.bitwise_count(self.codes[entries] ^ code) <= radius]] = True
+        return np.flatnonzero(near)
+
+    def nearest(self, query: np.ndarray, code: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, inner products) of about the k nearest found, the k nearest among them."""
+        k, radius = min(k, len(self.codes)), self.coder.radius
+        near = self.within(code, radius)
+        while len(near) < k:
             radius += PARTS
-            near[few] = self.within(codes[few], radius)
-            few = few[near[few].sum(axis=1) < k]
-        about = np.where(near, queries @ self.vectors.T, -np.inf)
-        out = []
-        for query, row in zip(queries, about):
-            # Those tied with the k-th but for rounding are in; then each product is summed by itself,
-            # so that a score does not depend on what is ranked beside it.
-            least = np.partition(row, len(row) - k)[len(row) - k]
-            best = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
-            out.append((best, (self.vectors[best] * query).sum(axis=1)))
-        return out
+            near = self.within(code, radius)
+        self.products += len(near)
+        about = self.vectors[near] @ query
+        # Those tied with the k-th but for rounding are in; then each product is summed by itself,
+        # so that a score does not depend on what is ranked beside it.
+        least = np.partition(about, len(about) - k)[len(about) - k]
+        best = near[about >= least - 1e-9 * max(1.0, abs(least))]
+        return best, (self.vectors[best] * query).sum(axis=1)
 
 
 def substrings(codes: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return kept
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPLE, block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPLE, shard_values: int = SHARD_VALUES) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``vectors`` (vec_id, embedding) that are queries."""
     spark, rows = vectors.sparkSession, usable(vectors)
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -155,16 +155,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPL
     chosen = classes if total <= sample else classes.filter(unit_hash(F.col("embedding"), seed=23) < sample / total)
     learned = np.array(chosen.orderBy(F.element_at("ids", 1)).select("embedding").toArrow().column(0).to_pylist(), float).reshape(-1, size)
     coder = spark.sparkContext.broadcast(Coder(learned, k))
-    blocks = -(-asked.count() // block)
-    part = F.pmod(F.xxhash64("class_id"), F.lit(max(1, blocks)))
-    found = None
-    for b in range(max(1, blocks)):
-        queries = asked.filter(part == b).select("class_id", "embedding").toArrow()
-        one = _pass(classes, coder, queries, size, k)
-        found = one if found is None else found.union(one)
+    near = _cells(classes, asked, total, asked.count(), max(1, shard_values // size)).mapInArrow(
+        _answers(coder, size, k), "class_id long, minus double, id long"
+    )
     # k + 1 ids of the best answers: one of them may be the query itself.
-    best = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1)
-    merged = found.groupBy("class_id").agg(best.alias("near"))
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy("minus", "id"))
+    near = near.withColumn("_n", place).filter(F.col("_n") <= k + 1)
+    merged = near.groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("minus", "id"))).alias("near"))
     ids = rows.filter(is_query).distinct().join(asked, "embedding").select(F.col("vec_id").alias("query_id"), "class_id")
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
     return (
@@ -174,26 +171,62 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPL
     )
 
 
-def _pass(classes: DataFrame, coder, queries: pa.Table, size: int, k: int) -> DataFrame:
-    """(class_id, near) of each query and task: the best k + 1 (minus score, id), best first."""
-    names = queries.column("class_id").to_pylist()
-    asked = np.array(queries.column("embedding").to_pylist(), float).reshape(-1, size)
-    shared = classes.sparkSession.sparkContext.broadcast((names, asked))
-    near_type = pa.list_(pa.struct([("minus", pa.float64()), ("id", pa.int64())]))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked = shared.value
-        codes = coder.value.codes(asked) if len(asked) else np.zeros(0, np.uint64)
+def _cells(classes: DataFrame, asked: DataFrame, total: int, queries: int, shard_rows: int) -> DataFrame:
+    """(cell, asks, class_id, ids, embedding): every vector meets every query in one cell, vectors first."""
+    least = -(-total // shard_rows)
+    tasks = max(least, 2 * classes.sparkSession.sparkContext.defaultParallelism)
+    # Vectors move ``groups`` times and queries ``shards`` times: about equal if groups / shards = queries / vectors.
+    groups = max(1, round((tasks * queries / max(1, total)) ** 0.5))
+    shards = max(1, least, -(-tasks // groups))
+    shard, group = F.pmod(F.xxhash64("embedding"), F.lit(shards)), F.pmod(F.xxhash64("class_id"), F.lit(groups))
+    held = classes.select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: shard * groups + g)).alias("cell"),
+        F.lit(False).alias("asks"), F.lit(None).cast("long").alias("class_id"), "ids", "embedding",
+    )
+    sent = asked.select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s * groups + group)).alias("cell"),
+        F.lit(True).alias("asks"), "class_id", F.lit(None).cast("array<long>").alias("ids"), "embedding",
+    )
+    return held.union(sent).repartition(shards * groups, "cell").sortWithinPartitions("cell", "asks")
+
+
+def _answers(coder, size: int, k: int):
+    """Per cell, from batches sorted by (cell, asks): the best k + 1 (class_id, minus score, id) of each query."""
+
+    def matrix(parts: list[pa.RecordBatch]) -> np.ndarray:
+        return np.concatenate([p.column("embedding").flatten().to_numpy() for p in parts]).reshape(-1, size)
+
+    def answered(index: Index, ids: list[list[int]], part: pa.RecordBatch) -> pa.RecordBatch:
+        names, minus, found = [], [], []
+        asked = matrix([part])
+        for name, query, code in zip(part.column("class_id").to_pylist(), asked, index.coder.codes(asked)):
+            near, score = index.nearest(query, code, k + 1)
+            best = sorted((-s, i) for v, s in zip(near.tolist(), score.tolist()) for i in ids[v])[: k + 1]
+            names += [name] * len(best)
+            minus += [s for s, _ in best]
+            found += [i for _, i in best]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.int64()), pa.array(minus, pa.float64()), pa.array(found, pa.int64())], names=["class_id", "minus", "id"]
+        )
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, index, ids = None, [], None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("ids").to_pylist()
-            vectors = batch.column("embedding").flatten().to_numpy().reshape(-1, size)
-            index, rows = Index(coder.value, vectors), []
-            for at in range(0, len(asked), QUERY_ROWS):
-                for near, score in index.nearest(asked[at : at + QUERY_ROWS], codes[at : at + QUERY_ROWS], k + 1):
-                    best = sorted((-s, i) for v, s in zip(near.tolist(), score.tolist()) for i in ids[v])[: k + 1]
-                    rows.append([{"minus": s, "id": i} for s, i in best])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(rows, near_type)], names=["class_id", "near"])
-
-    return classes.mapInArrow(answer, "class_id long, near array<struct<minus:double,id:long>>")
+            cells = batch.column("cell").to_numpy()
+            edges = np.flatnonzero(np.diff(cells)) + 1
+            for a, b in zip(np.concatenate(([0], edges)), np.append(edges, len(cells))):
+                if a == b:
+                    continue
+                if cells[a] != cell:
+                    cell, parts, index, ids = cells[a], [], None, []
+                part = batch.slice(a, b - a)
+                held = int(np.searchsorted(part.column("asks").to_numpy(zero_copy_only=False), True))
+                if held:
+                    parts.append(part.slice(0, held))
+                if held < b - a and parts:
+                    if index is None:
+                        index = Index(coder.value, matrix(parts))
+                        ids = [x for p in parts for x in p.column("ids").to_pylist()]
+                    yield answered(index, ids, part.slice(held))
+
+    return answers

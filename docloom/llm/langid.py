@@ -1,13 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the n-grams of every language per task and sums them in Spark; the matrix of
-log-probabilities (buckets x languages) is broadcast, its size fixed by ``BUCKETS`` and
-``MAX_LANGUAGES``. Scoring takes whole texts in batches: the hashed n-grams of a batch are one
+log-probabilities (buckets x languages) is broadcast. It has at most ``CELLS`` numbers: with more than
+``CELLS / BUCKETS`` languages, neighbouring buckets are merged. Scoring takes whole texts in batches: the hashed n-grams of a batch are one
 array, and a text's log-likelihoods are segment sums over the gathered rows.
 
 Text is lower-cased, digits and signs become blanks, and runs of blanks count once; n-grams of one
-to four characters are hashed. Training may use a sample of at most about ``sample`` texts, chosen
-by a hash of id and text, so all reruns choose the same; scoring covers every text.
+to four characters are hashed. Training uses about ``sample`` texts of each language that has more, chosen
+by a hash of id and text, so all reruns choose the same and no rare language is lost in a large table;
+scoring covers every text.
 
 Edge cases: a null text or a text without a letter is ``und`` with score 0; rows without language
 are not learned from; without any learned language all texts are ``und``; ties go to the language
@@ -28,8 +29,8 @@ from docloom.llm.common import runs_by_size, unit_hash
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
-SAMPLE = 20_000
-MAX_LANGUAGES = 500
+SAMPLE = 4_000
+CELLS = 1 << 24
 SMOOTHING = 0.5
 CHUNK_CHARS = 1 << 20
 # How much one more n-gram counts towards the certainty: overlapping n-grams repeat each other.
@@ -65,6 +66,7 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray):
         self.languages = languages
+        self.shift = (BUCKETS // len(counts)).bit_length() - 1  # merged buckets
         smooth = counts.astype(np.float64) + SMOOTHING
         self.logs = np.log(smooth / smooth.sum(axis=0, keepdims=True)).astype(np.float32)
 
@@ -78,12 +80,12 @@ class Model:
                 for part in pieces(texts[known[a]]):
                     found = ngram_buckets(part)
                     n += len(found)
-                    totals[0] += self.logs[found].sum(axis=0, dtype=np.float64)
+                    totals[0] += self.logs[found >> self.shift].sum(axis=0, dtype=np.float64)
                 lengths = np.array([n])
             else:
                 found = [ngram_buckets(texts[i]) for i in known[a:b]]
                 lengths = np.array([len(x) for x in found])
-                rows, starts = np.concatenate(found), np.concatenate(([0], np.cumsum(lengths)[:-1]))
+                rows, starts = np.concatenate(found) >> self.shift, np.concatenate(([0], np.cumsum(lengths)[:-1]))
                 for k in range(len(self.languages)):
                     totals[:, k] = np.add.reduceat(self.logs[:, k][rows], starts, dtype=np.float64)
             best = totals.argmax(axis=1)
@@ -94,22 +96,28 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, sample: int | None = SAMPLE) -> Model:
-    """Learn from (doc_id, text, lang). ``sample`` bounds the number of texts (None: all of them)."""
+def fit(labelled: DataFrame, sample: int | None = SAMPLE, cells: int = CELLS) -> Model:
+    """Learn from (doc_id, text, lang). ``sample`` bounds the number of texts of a language (None: all of them)."""
     usable = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    if sample is not None:
-        total = labelled.filter("lang IS NOT NULL").count()
-        if total > sample:
-            usable = usable.filter(unit_hash(F.col("doc_id"), F.xxhash64("text"), seed=5) < sample / total)
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    shift = 0
+    while (BUCKETS >> shift) * len(sizes) > cells and BUCKETS >> shift > 1:
+        shift += 1
+    buckets = BUCKETS >> shift
+    if sample is not None and any(n > sample for n in sizes.values()):
+        # As many rows as languages, which the matrix bounds.
+        rates = labelled.sparkSession.createDataFrame([(x, sample / n) for x, n in sizes.items()], "lang string, _rate double")
+        u = unit_hash(F.col("doc_id"), F.xxhash64("text"), seed=5)
+        usable = usable.join(F.broadcast(rates), "lang").filter(u < F.col("_rate"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if LETTER.search(text):
-                    mine = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                    mine = sums.setdefault(lang, np.zeros(buckets, np.int64))
                     for part in pieces(text):
-                        mine += np.bincount(ngram_buckets(part), minlength=BUCKETS)
+                        mine += np.bincount(ngram_buckets(part) >> shift, minlength=buckets)
         for lang, mine in sums.items():
             at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_pydict(
@@ -121,9 +129,7 @@ def fit(labelled: DataFrame, sample: int | None = SAMPLE) -> Model:
     )
     table = counted.toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the broadcast matrix is bounded to {MAX_LANGUAGES}")
-    counts = np.zeros((BUCKETS, len(languages)), np.int64)
+    counts = np.zeros((buckets, len(languages)), np.int64)
     place = {x: i for i, x in enumerate(languages)}
     counts[table.column("bucket").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
     return Model(languages, counts)

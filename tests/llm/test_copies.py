@@ -203,8 +203,8 @@ def vector_rows():
 def test_neighbours(spark):
     rows = vector_rows()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").repartition(3)
-    for block in (10_000, 5):
-        got = ann.search(df, F.col("vec_id") % 20 == 0, k=10, block=block).collect()
+    for shard_values in (1 << 23, 400):
+        got = ann.search(df, F.col("vec_id") % 20 == 0, k=10, shard_values=shard_values).collect()
         by_query = {}
         for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
             by_query.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -229,3 +229,26 @@ def test_neighbours_query_recall(spark):
     for r in QUERIES["op6_neighbours"][0](spark, SF).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert np.mean([len(got[q] & {i for i, _ in near}) / 20 for q, near in want.items()]) >= 0.9
+
+
+def test_neighbours_compute_products_of_probed_vectors_only():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(50, 64)) * 4
+    vectors = centres[rng.integers(0, 50, 20_000)] + rng.normal(size=(20_000, 64))
+    asked = vectors[::50]
+    index = ann.Index(ann.Coder(vectors[:4_096], 20), vectors)
+    hits = 0
+    for query, code in zip(asked, index.coder.codes(asked)):
+        true = np.argsort(-(vectors @ query))[:20]
+        found, score = index.nearest(query, code, 20)
+        hits += len(set(true) & set(found[np.argsort(-score)[:20]]))
+    assert hits / (20 * len(asked)) > 0.9
+    assert index.products < len(asked) * len(vectors) / 4
+
+
+def test_probing_finds_every_code_in_the_radius():
+    vectors = np.random.default_rng(4).normal(size=(3_000, 64))
+    index = ann.Index(ann.Coder(vectors, 20), vectors)
+    for radius in (0, 1, 2, 3, 4, 7, 10, 22, 25, 64):
+        for code in index.codes[:20]:
+            assert index.within(code, radius).tolist() == np.flatnonzero(np.bitwise_count(index.codes ^ code) <= radius).tolist()

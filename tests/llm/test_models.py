@@ -74,6 +74,21 @@ def test_language_edges(spark, edges, edge_rows, no_documents):
     assert langid.identify(no_documents, model).count() == 0
 
 
+def test_rare_language_is_learned_from_a_large_table(spark):
+    rows = spark.range(6_000).selectExpr(
+        "id AS doc_id", "CASE WHEN id < 2 THEN 'zq zq xq' ELSE concat('word ', id) END AS text", "CASE WHEN id < 2 THEN 'xx' WHEN id % 2 = 0 THEN 'de' ELSE 'en' END AS lang"
+    )
+    assert langid.fit(rows, sample=100).languages == ["de", "en", "xx"]
+
+
+def test_many_languages_share_a_bounded_matrix(spark):
+    rows = spark.range(600).selectExpr("id AS doc_id", "repeat(concat(chr(97 + id % 26), chr(97 + id div 26 % 26), ' '), 9) AS text", "concat('l', id) AS lang")
+    model = langid.fit(rows, cells=1 << 20)
+    assert len(model.languages) == 600 and model.logs.size <= 1 << 20
+    got = langid.identify(rows, model).join(rows.select("doc_id", "lang"), "doc_id").filter("lang_pred = lang").count()
+    assert got > 590
+
+
 def test_long_texts_score_like_their_parts():
     model = langid.Model(["a", "b"], np.random.default_rng(1).integers(0, 9, (langid.BUCKETS, 2)))
     text = "some words in a row " * 100_000
