@@ -176,8 +176,8 @@ def _cells(classes: DataFrame, asked: DataFrame, total: int, queries: int, shard
     least = -(-total // shard_rows)
     tasks = max(least, 2 * classes.sparkSession.sparkContext.defaultParallelism)
     # Vectors move ``groups`` times and queries ``shards`` times: about equal if groups / shards = queries / vectors.
-    groups = max(1, round((tasks * queries / max(1, total)) ** 0.5))
-    shards = max(1, least, -(-tasks // groups))
+    shards = max(1, least, min(tasks, round((tasks * total / max(1, queries)) ** 0.5)))
+    groups = -(-tasks // shards)
     shard, group = F.pmod(F.xxhash64("embedding"), F.lit(shards)), F.pmod(F.xxhash64("class_id"), F.lit(groups))
     held = classes.select(
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: shard * groups + g)).alias("cell"),
