@@ -77,7 +77,14 @@ def sentence_frequencies(sentences: Column, stop_words: list[str]) -> Column:
 
 
 def sentence_scores(sentences: Column, stop_words: list[str]) -> Column:
-    """``array<struct<i, n, extractive, frequency>>``; n is the number of words."""
+    """``array<struct<i, n, extractive, frequency>>``; n is the number of words.
+
+    The sentences are bound first: an expression inside of a lambda is computed for each element.
+    """
+    return t.let(sentences, lambda bound: _scores(bound, stop_words))
+
+
+def _scores(sentences: Column, stop_words: list[str]) -> Column:
     size = F.size(sentences)
 
     def score(x: Column) -> Column:
