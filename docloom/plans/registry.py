@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.session import spread
 
 
-# Tables whose rows are whole texts: worth spreading when they come as one small file.
-TEXT_TABLES = {"documents", "pages", "conversations"}
+# Tables whose rows are whole texts, or become texts (``part``): worth spreading when they come as one small file.
+TEXT_TABLES = {"documents", "pages", "conversations", "part"}
 
 
 class Tables:
