@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import text as t
-from docloom.operators import summarize
+from docloom.operators import relations, summarize
 from docloom.plans.registry import Tables
 from tests.conftest import SF
 
@@ -17,3 +17,57 @@ def test_sentences_are_cut_once_per_text(spark):
 
 def test_parts_are_spread_like_other_texts(spark):
     assert Tables(spark, SF).part.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def _parsed(spark):
+    words = [("a", "Ann sees Bob"), ("b", "Cy likes red Dora and Eve"), ("c", "x")]
+    tags = ["NOUN", "VERB", "NOUN", "ADP"]
+    deps = ["nsubj", "ROOT", "dobj", "compound"]
+    rows = [
+        (doc, i, i + (1, 0, -1, -2)[i % 4], w, w.lower(), tags[i % 4], deps[i % 4])
+        for doc, text in words for i, w in enumerate(text.split())
+    ]
+    return rows, spark.createDataFrame(rows, "doc_id string, i int, head int, text string, lemma string, pos string, dep string")
+
+
+def _marked(tokens):
+    i = F.col("i").cast("long")
+    span = F.struct(i.alias("ord"), "text", F.col("dep").alias("label"), i.alias("first"), (i + 1).alias("last"))
+    return tokens.select("doc_id", i.alias("i"), F.when(relations.linking(), F.col("text")).alias("word"), F.when(F.col("text").rlike("^[A-Z]"), span).alias("span"))
+
+
+def test_tokens_meet_their_heads_without_a_shuffle(spark):
+    """Texts that cross batches and rows in any order give the same relations."""
+    rows, tokens = _parsed(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        one = relations.dependency_relations(tokens.coalesce(1), together=True)
+        assert "Exchange hash" not in one._jdf.queryExecution().toString()
+        got = sorted(map(tuple, one.collect()))
+        mixed = relations.dependency_relations(tokens.orderBy(F.xxhash64("text")))
+        assert sorted(map(tuple, mixed.collect())) == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by_place = {(r[0], r[1]): r for r in rows}
+    want = [
+        (s[0], s[3], by_place[s[0], s[2]][4], o[3]) for s in rows for o in rows
+        if s[0] == o[0] and s[6] == "nsubj" and o[6] == "dobj" and s[2] == o[2] and by_place.get((s[0], s[2]), [None] * 6)[5] == "VERB"
+    ]
+    assert want and sorted(r[:4] for r in got if r[6] == "nsubj-verb-dobj") == sorted(want)
+
+
+def test_pairs_of_entities_and_words_between_them(spark):
+    _, tokens = _parsed(spark)
+    marked = _marked(tokens)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = relations.marked_pair_relations(marked.coalesce(1), reach=2).select("doc_id", "subject", "relation", "object", "distance")
+        got = sorted(map(tuple, got.collect()))
+        spans = marked.where("span is not null").select("doc_id", "span.*").orderBy(F.xxhash64("text"))
+        apart = relations.entity_pair_relations(spans, tokens, reach=2).select("doc_id", "subject", "relation", "object", "distance")
+        assert sorted(map(tuple, apart.collect())) == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [
+        ("a", "Ann", "sees", "Bob", 1), ("b", "Cy", "likes", "Dora", 2), ("b", "Dora", "RELATED_TO_compound_ROOT", "Eve", 1),
+    ]
