@@ -5,8 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Inside of a character class: word characters and white space as Python's str sees them.
 WORD = r"\p{L}\p{N}_"
@@ -170,6 +174,29 @@ def placed(gaps: Column, found: Column) -> Column:
     )
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _sums_in_rows(values: pa.Array) -> pa.Array:
+    lengths = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+    sums = np.cumsum(values.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    bases = np.concatenate([[0], sums])[offsets[:-1]]
+    each = (sums - np.repeat(bases, lengths)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(each), mask=values.is_null())
+
+
+def word_places(text: Column) -> Column:
+    """Runs of word characters as ``matches`` gives them.
+
+    Positions are summed in Arrow batches, which is quicker than ``running_sums`` for the many words
+    of a text but cannot stand inside of a lambda.
+    """
+    found, gaps = word_runs(text), F.split(text, f"[{WORD}]+", -1)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+    return F.zip_with(
+        found, _sums_in_rows(steps), lambda m, end: F.struct(m.alias("text"), (end - F.length(m)).alias("start"), end.alias("end"))
+    )
+
+
 _BLOCK = 64
 
 

@@ -125,20 +125,50 @@ def table_entities(
 ) -> DataFrame:
     """Entities of a dictionary table (``term, domain, category``) of any size.
 
-    Texts and terms meet on the first word of the term, so the cost does not grow with
-    the dictionary; a term without a word meets them on its first character. The hits of
-    a row are gathered by its id and a hash of its text, so rows that share an id keep
-    their own, and the texts move once, to their hits. A dictionary of at most ``limit``
-    rows is broadcast, which changes the plan of one join only. Repeated rows and repeated
+    A term that is one run of word characters is found where a run of the text equals it: the text is
+    cut once, whatever the number of its terms. Other texts and terms meet on the first word of the
+    term, so the cost does not grow with the dictionary; a term without a word meets them on its
+    first character. The hits of a row are gathered by its id and a hash of its text, so rows that
+    share an id keep their own, and the texts move once, to their hits. A dictionary of at most
+    ``limit`` rows is broadcast, which changes the plan of one join only. Repeated rows and repeated
     terms count each time; null and empty terms have no entities.
     """
     term = F.lower("term")
     key = F.coalesce(F.get(t.word_runs(term), F.lit(0)), F.substring(term, 1, 1))
     keyed = terms.select(term.alias("term"), "domain", "category", key.alias("word")).where(F.col("word") != "")
     keyed = keyed.groupBy("term", "domain", "category", "word").agg(F.count("*").cast("int").alias("times"))
+    run = F.col("term") == F.col("word")
+    one = F.col("term").rlike(f"^[{t.WORD}]+$")
+    rows = _run_entities(df, keyed.where(run & one), id_col, text_col, limit)
+    rest = keyed.where(~(run & one))
+    if rest.isEmpty():
+        return rows
+    return rows.unionByName(_term_entities(df, rest, id_col, text_col, limit))
+
+
+def _run_entities(df: DataFrame, keyed: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    text = F.col(text_col)
+    low = F.lower(text)
+    # Lower case keeps places unless it changes the length; then the spelling is cut out by its place.
+    spelled = F.when(
+        F.length(low) == F.length(text), t.word_runs(text)
+    ).otherwise(F.transform(F.col("_runs"), lambda m: F.substring(text, m["start"] + 1, m["end"] - m["start"])))
+    runs = df.select(F.col(id_col).alias("_id"), text_col, t.word_places(low).alias("_runs"))
+    runs = runs.select("_id", F.explode(F.arrays_zip(F.col("_runs").alias("m"), spelled.alias("text"))).alias("_e"))
+    words = runs.select("_id", F.col("_e.m.text").alias("word"), F.col("_e.m.start").alias("start"), F.col("_e.m.end").alias("end"), F.col("_e.text").alias("entity"))
+    pairs = words.join(F.broadcast(keyed) if is_small(keyed, limit) else keyed, "word")
+    pairs = pairs.select("*", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+    return pairs.select(
+        F.col("_id").alias(id_col), "entity", F.concat(F.lit("CUSTOM_"), "domain", F.lit("_"), F.upper("category")).alias("label"),
+        "start", "end", F.lit(rules.TERM_CONFIDENCE).alias("confidence"),
+    )
+
+
+def _term_entities(df: DataFrame, keyed: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """Entities of terms that are more, or less, than one run of word characters."""
     low = F.lower(F.col(text_col))
     keys = t.word_runs(low)
-    if not terms.where(~term.rlike(f"[{t.WORD}]")).isEmpty():
+    if not keyed.where(~F.col("term").rlike(f"[{t.WORD}]")).isEmpty():
         keys = F.concat(keys, F.regexp_extract_all(low, F.lit(f"[^{t.WORD}]"), F.lit(0)))
     place = [F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")]
     words = df.select(*place, F.explode(F.array_distinct(keys)).alias("word"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import text as t
-from docloom.operators import relations, summarize
+from docloom.operators import entities, relations, summarize
 from docloom.plans.registry import Tables
 from tests.conftest import SF
 
@@ -71,3 +71,25 @@ def test_pairs_of_entities_and_words_between_them(spark):
     assert got == [
         ("a", "Ann", "sees", "Bob", 1), ("b", "Cy", "likes", "Dora", 2), ("b", "Dora", "RELATED_TO_compound_ROOT", "Eve", 1),
     ]
+
+
+def test_word_places_are_those_of_matches(spark):
+    rows = [("ab, c  d",), ("",), (None,), ("...",), ("ünd İx 𝒳y z",)]
+    df = spark.createDataFrame(rows, "text string").coalesce(1)
+    text = F.col("text")
+    for row in df.select(t.word_places(text).alias("a"), t.matches(text, f"[{t.WORD}]+").alias("b")).collect():
+        assert row["a"] == row["b"]
+
+
+def test_dictionary_of_words_does_not_scan_texts_for_each_term(spark):
+    docs = spark.createDataFrame([(1, "Abc abc_ ABC x-abc İ abc"), (None, "abc"), (2, "a b")], "doc_id int, text string")
+    terms = spark.createDataFrame(
+        [("ABC", "D", "c"), ("abc", "D", "c"), ("x-abc", "D", "e"), ("", "D", "c"), (None, "D", "c")], "term string, domain string, category string"
+    )
+    found = entities.table_entities(docs, terms, "doc_id")
+    got = sorted(map(tuple, found.select("doc_id", "entity", "label", "start", "end").collect()), key=repr)
+    # Behind the letter that grows in lower case, places are those of the lower-case text.
+    one = [(1, s, "CUSTOM_D_C", a, a + 3) for s, a in (("Abc", 0), ("ABC", 9), ("abc", 15), ("bc", 22))]
+    assert got == sorted([*one, *one, *[(None, "abc", "CUSTOM_D_C", 0, 3)] * 2, (1, "x-abc", "CUSTOM_D_E", 13, 18)], key=repr)
+    plan = entities.table_entities(docs, terms.limit(2), "doc_id")._jdf.queryExecution().toString()
+    assert "Q" + "abc" not in plan and "collect_set" not in plan
