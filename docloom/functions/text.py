@@ -119,9 +119,20 @@ def jaccard(left: Column, right: Column) -> Column:
 
 def relevance(text: Column, query: Column) -> Column:
     """Word overlap plus 0.2 where the whole query occurs in the text, at most 1."""
-    low, asked = F.lower(text), F.lower(query)
-    left, right = word_runs(low), word_runs(asked)
-    bonus = F.when(low.contains(asked), F.lit(0.2)).otherwise(F.lit(0.0))
+    return relevance_to(text, asked(query))
+
+
+def asked(query: Column) -> Column:
+    """The lower-case query and its words; bind it where many texts meet one query in a lambda."""
+    low = F.lower(query)
+    return F.struct(low.alias("text"), word_runs(low).alias("words"))
+
+
+def relevance_to(text: Column, query: Column) -> Column:
+    """``relevance`` to what ``asked`` gives."""
+    low, right = F.lower(text), query["words"]
+    left = word_runs(low)
+    bonus = F.when(low.contains(query["text"]), F.lit(0.2)).otherwise(F.lit(0.0))
     empty = (F.size(left) == 0) | (F.size(right) == 0)
     score = F.least(jaccard(left, right) + bonus, F.lit(1.0))
     return F.when(empty, F.lit(0.0)).otherwise(score)

@@ -20,12 +20,12 @@ def compress_sentences(text: Column, query: Column, budget: int = 200) -> Column
     a sentence costs 1.3 per word. Texts of up to two sentences stay as they are.
     """
 
-    def build(sents: Column) -> Column:
+    def build(sents: Column, asked: Column) -> Column:
         order = F.sort_array(
             F.transform(
                 sents,
                 lambda s, i: F.struct(
-                    (-t.relevance(s, query)).alias("s"), i.alias("i"), (t.word_count(s) * 1.3).alias("cost"), s.alias("text")
+                    (-t.relevance_to(s, asked)).alias("s"), i.alias("i"), (t.word_count(s) * 1.3).alias("cost"), s.alias("text")
                 ),
             )
         )
@@ -53,7 +53,8 @@ def compress_sentences(text: Column, query: Column, budget: int = 200) -> Column
             )
         )
 
-    return t.let(t.sentences(text), build)
+    # The query is cut into words once per text, not once for each sentence.
+    return t.let(t.asked(query), lambda asked: t.let(t.sentences(text), lambda sents: build(sents, asked)))
 
 
 def compress_context(

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import text as t
-from docloom.operators import entities, relations, summarize
+from docloom.operators import compress, entities, relations, summarize
 from docloom.plans.registry import Tables
 from tests.conftest import SF
 
@@ -15,6 +15,11 @@ def test_sentences_are_cut_once_per_text(spark):
     assert str(scored).count("split(") == 1
 
 
+def test_a_query_is_cut_once_per_text(spark):
+    cut = str(compress.compress_sentences(F.col("text"), F.col("asked")))
+    assert cut.count("asked") == 2  # its text and its words, bound ahead of the sentences
+
+
 def test_parts_are_spread_like_other_texts(spark):
     assert Tables(spark, SF).part.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
