@@ -23,8 +23,23 @@ def _place(term: str) -> tuple[int, int]:
     return digest[0] % WIDTH, -1 if (digest[1] >> 4) & 1 else 1
 
 
+# Words that are hashed at a time (more only if one text holds more): a batch of long texts takes no more
+# memory than one of short ones.
+STEP_WORDS = 1 << 18
+
+
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def _hash_words(tokens: pa.Array) -> pa.Array:
+    ends = tokens.offsets.to_numpy()
+    parts, first = [], 0
+    while first < len(tokens):
+        last = max(int(np.searchsorted(ends, ends[first] + STEP_WORDS, "right")) - 1, first + 1)
+        parts.append(_hashed(tokens.slice(first, last - first)))
+        first = last
+    return pa.concat_arrays(parts) if parts else _hashed(tokens)
+
+
+def _hashed(tokens: pa.Array) -> pa.Array:
     n = len(tokens)
     lengths = np.diff(tokens.offsets.to_numpy())
     rows = np.repeat(np.arange(n), lengths)
