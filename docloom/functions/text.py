@@ -251,6 +251,27 @@ def running_sums(values: Column) -> Column:
     return let(let(values, blocks), shift)
 
 
+_PIECE = 512
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of ``_PIECE`` characters, for ``cut``: bind it."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(_PIECE))
+    return F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(_PIECE)))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end`` of a text in ``pieces``, without reading it from its first one."""
+    first = F.floor(start / _PIECE).cast("int")
+    some = F.slice(parts, first + 1, F.floor(end / _PIECE).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), start - first * _PIECE + 1, end - start)
+
+
+def around_in(parts: Column, start: Column, end: Column, margin: int) -> Column:
+    """``around`` on ``pieces``."""
+    return cut(parts, F.greatest(start - margin, F.lit(0)), end + margin)
+
+
 def around(text: Column, start: Column, end: Column, margin: int) -> Column:
     """The span with ``margin`` characters on both sides."""
     left = F.greatest(start - margin, F.lit(0))

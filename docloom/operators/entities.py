@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom import rules
 from docloom.config import Settings
 from docloom.functions import text as t
-from docloom.session import is_small
+from docloom.session import is_small, stored, work_folder
 
 _ENTITY = (
     "array<struct<text:string,label:string,start:int,end:int,confidence:double,description:string,"
@@ -74,14 +74,14 @@ def _label(r: Column) -> Column:
     return F.concat(F.lit("CUSTOM_"), r["domain"], F.lit("_"), F.upper(r["category"]))
 
 
-def _of_term(text: Column, low: Column, r: Column) -> Column:
-    """Entities of one dictionary term, with the spelling of the text."""
+def _of_term(parts: Column, low: Column, r: Column) -> Column:
+    """Entities of one dictionary term, with the spelling of the text, which comes in ``pieces``."""
     description = F.concat(F.lower(r["domain"]), F.lit(" "), F.replace(r["category"], F.lit("_"), F.lit(" ")))
     return F.transform(
         t.matches(low, _whole_word(r["term"])),
         lambda m: _entity(
             F.struct(
-                F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("text"), m["start"].alias("start"),
+                t.cut(parts, m["start"], m["end"]).alias("text"), m["start"].alias("start"),
                 m["end"].alias("end"),
             ),
             _label(r), rules.TERM_CONFIDENCE, description, r["domain"], r["category"],
@@ -95,7 +95,7 @@ def dictionary_entities(text: Column, dictionary=rules.ENTITY_TERMS) -> Column:
 
     def scan(low: Column) -> Column:
         present = F.filter(terms, lambda r: low.contains(r["term"]))
-        return F.flatten(F.transform(present, lambda r: _of_term(text, low, r)))
+        return t.let(t.pieces(text), lambda parts: F.flatten(F.transform(present, lambda r: _of_term(parts, low, r))))
 
     return t.let(F.lower(text), scan).cast(_ENTITY)
 
@@ -107,15 +107,15 @@ def entities(df: DataFrame, text_col: str = "text", dictionary=rules.ENTITY_TERM
     if custom:
         found = F.concat(dictionary_entities(text, dictionary), found)
     # The context is cut while the text is at hand; the text itself is not copied to the rows.
-    found = F.transform(
+    found = t.let(t.pieces(text), lambda parts: F.transform(
         found,
         lambda e: F.struct(
             e["text"].alias("entity"), e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"),
             e["confidence"].alias("confidence"), e["description"].alias("description"), e["domain"].alias("domain"),
             e["category"].alias("category"),
-            t.around(text, e["start"], e["end"], rules.CONTEXT_CHARS).alias("context"),
+            t.around_in(parts, e["start"], e["end"], rules.CONTEXT_CHARS).alias("context"),
         ),
-    )
+    ))
     keep = [c for c in df.columns if c != text_col]
     return df.select(*keep, F.posexplode(found).alias("entity_index", "_e")).select(*keep, "entity_index", "_e.*")
 
@@ -177,7 +177,10 @@ def _term_entities(df: DataFrame, keyed: DataFrame, id_col: str, text_col: str,
     hits = pairs.groupBy("_id", "_hash").agg(F.collect_set(F.struct("term", "domain", "category", "times")).alias("hits"))
     text = F.col(text_col)
     found = df.select(id_col, text_col).join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")))
-    each = F.transform("hits", lambda r: F.flatten(F.array_repeat(_of_term(text, low, r), r["times"])))
+    each = t.let(
+        t.pieces(text),
+        lambda parts: F.transform("hits", lambda r: F.flatten(F.array_repeat(_of_term(parts, low, r), r["times"]))),
+    )
     rows = found.select(id_col, F.explode(F.flatten(each)).alias("e"))
     return rows.select(id_col, F.col("e.text").alias("entity"), "e.label", "e.start", "e.end", "e.confidence")
 
@@ -203,8 +206,11 @@ def search_entities(index: DataFrame, label: str | None = None, entity: str | No
     of_label = index.where(F.col("label") == label)
     if entity is None:
         return of_label
+    # One pass over the index: rows of either kind are written, and read for the test and the result.
     same = F.col("entity") == entity.lower()
-    return index.where(same & ((F.col("label") == label) | ~of_label.exists()))
+    kept = stored(index.where(same | (F.col("label") == label)), work_folder(index.sparkSession, "postings"))
+    some = kept.where(F.col("label") == label).limit(1)
+    return kept.where(same & ((F.col("label") == label) | ~some.exists()))
 
 
 def label_counts(entity_rows: DataFrame) -> DataFrame:

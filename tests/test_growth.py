@@ -98,3 +98,41 @@ def test_dictionary_of_words_does_not_scan_texts_for_each_term(spark):
     assert got == sorted([*one, *one, *[(None, "abc", "CUSTOM_D_C", 0, 3)] * 2, (1, "x-abc", "CUSTOM_D_E", 13, 18)], key=repr)
     plan = entities.table_entities(docs, terms.limit(2), "doc_id")._jdf.queryExecution().toString()
     assert "Q" + "abc" not in plan and "collect_set" not in plan
+
+
+def test_spans_are_cut_out_of_pieces(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "é" for i in range(1200))
+    df = spark.createDataFrame([(text, a, a + n) for a in (0, 511, 512, 1100, 1190) for n in (0, 5, 600)], "text string, a int, b int")
+    some, part = F.col("text"), t.pieces(F.col("text"))
+    for row in df.select("a", "b", t.around(some, F.col("a"), F.col("b"), 50).alias("x"), t.around_in(part, F.col("a"), F.col("b"), 50).alias("y")).collect():
+        assert row.x == row.y, row
+
+
+def test_unknown_label_reads_the_postings_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def label(x):
+        seen.add(1)
+        return x
+
+    index = spark.createDataFrame([("L", "qui"), ("M", "a")], "label string, entity string").select(label("label").alias("label"), "entity")
+    found = entities.search_entities(index, "NONE", "Qui")
+    before = seen.value
+    assert [r.entity for r in found.collect()] == ["qui"]
+    assert seen.value == before
+    assert entities.search_entities(index, "M", "qui").count() == 0
+
+
+def test_words_of_long_batches_are_hashed_in_steps(spark, monkeypatch):
+    import pyarrow as pa
+
+    from docloom.functions import embedding
+
+    tokens = pa.array([["a", "b"], [], ["c"] * 9, ["a"], None], pa.list_(pa.string()))
+    whole, steps = embedding._hashed(tokens), []
+    monkeypatch.setattr(embedding, "STEP_WORDS", 3)
+    plain = embedding._hashed
+    monkeypatch.setattr(embedding, "_hashed", lambda x: steps.append(len(x)) or plain(x))
+    assert embedding._hash_words.func(tokens).to_pylist() == whole.to_pylist()
+    assert len(steps) > 1
