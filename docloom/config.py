@@ -23,5 +23,7 @@ class Settings:
     history_in_prompt: int = 3
     # Largest block of query vectors that is shipped to the scoring tasks.
     vector_block: int = 1024
+    # Largest number of word queries that are scored for in one scan.
+    query_block: int = 4096
     # Largest side that may be broadcast, in rows, after it was counted.
     broadcast_rows: int = 200_000

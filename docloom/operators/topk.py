@@ -30,14 +30,21 @@ class _Best:
     def __init__(self, n_queries: int, k: int, floor: float | None):
         self.n_queries, self.k, self.floor = n_queries, k, floor
         self.kept: dict = {}
+        self.least: dict = {}
 
     def add(self, ids: np.ndarray, scores: np.ndarray, groups: np.ndarray | None) -> None:
         scores = np.round(scores, SCORE_DIGITS)
         for group in [None] if groups is None else np.unique(groups):
             rows = slice(None) if group is None else np.flatnonzero(groups == group)
             some_ids, some = ids[rows], scores[rows]
-            for q in range(self.n_queries):
-                self._merge((group, q), some_ids, some[:, q])
+            # Only queries that some row can still enter are looked at one by one.
+            least = self.least.setdefault(group, np.full(self.n_queries, -np.inf))
+            tops = some.max(axis=0, initial=-np.inf)
+            for q in np.flatnonzero(tops >= least).tolist():
+                if self.floor is None or tops[q] > self.floor:
+                    self._merge((group, q), some_ids, some[:, q])
+                    if len(self.kept[group, q][0]) == self.k:
+                        least[q] = self.kept[group, q][1].min()
 
     def _merge(self, key, ids: np.ndarray, scores: np.ndarray) -> None:
         if self.floor is not None:
