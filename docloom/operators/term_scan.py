@@ -82,8 +82,8 @@ def tallied(rows: np.ndarray, keys: np.ndarray, size: int) -> tuple[np.ndarray,
     return cells // max(size, 1), cells % max(size, 1), tf
 
 
-def term_counts(tokens: DataFrame, stop_words: list[str] = (), pairs: bool = False) -> DataFrame:
-    """``term, df, cf, docs, words`` of a column of word lists or texts, with ``pairs`` of neighbours too.
+def term_counts(tokens: DataFrame, stop_words: list[str] = ()) -> DataFrame:
+    """``term, df, cf, docs, words`` of a column of word lists or texts.
 
     Rows and words are in the sums of ``docs`` and ``words``, on a row without a term.
     """
@@ -95,17 +95,32 @@ def term_counts(tokens: DataFrame, stop_words: list[str] = (), pairs: bool = Fal
                 _, codes, tf = tallied(words.rows, words.codes, len(words.names))
                 yield _counted(words.names, codes, tf)
                 yield _rows([None], [0], [0], [words.n], [int(words.lengths.sum())])
-                if pairs:
-                    rows, left, right = words.pairs()
-                    met, numbers = np.unique(left * len(words.names) + right, return_inverse=True)
-                    _, codes, tf = tallied(rows, numbers, len(met))
-                    sides = [words.names.take(pa.array(x)) for x in (met // max(len(words.names), 1), met % max(len(words.names), 1))]
-                    yield _counted(pc.binary_join_element_wise(*sides, " "), codes, tf)
 
     sums = [F.sum(c).alias(c) for c in ("df", "cf", "docs", "words")]
     return tokens.mapInArrow(count, COUNTS).groupBy("term").agg(*sums)
 
 
+def pair_counts(tokens: DataFrame, stop_words: list[str], kept: list[str]) -> DataFrame:
+    """``pair, df, cf`` of neighbours that are both in ``kept``, as first place * len(kept) + second place."""
+    stop_words = list(stop_words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, words in steps(batch.column(0), stop_words):
+                place = words.index_in(kept)
+                rows, left, right = words.pairs()
+                left, right = place[left], place[right]
+                both = (left >= 0) & (right >= 0)
+                met, numbers = np.unique(left[both] * len(kept) + right[both], return_inverse=True)
+                _, codes, tf = tallied(rows[both], numbers, len(met))
+                sums = np.bincount(codes, minlength=len(met)), np.bincount(codes, tf, len(met)).astype(np.int64)
+                columns = [pa.array(x, pa.int64()) for x in (met, *sums)]
+                yield pa.RecordBatch.from_arrays(columns, names=["pair", "df", "cf"])
+
+    sums = [F.sum(c).alias(c) for c in ("df", "cf")]
+    return tokens.mapInArrow(count, "pair long, df long, cf long").groupBy("pair").agg(*sums)
+
+
 def _counted(names: pa.Array, codes: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
     df, cf = np.bincount(codes, minlength=len(names)), np.bincount(codes, tf, len(names)).astype(np.int64)
     used = np.flatnonzero(df)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docloom.operators import term_scan
-from docloom.operators.sparse import Bm25Model, TfidfModel
+from docloom.operators.sparse import Bm25Model, TfidfModel, postings, tfidf_terms
 
 
 def _rows(df):
@@ -30,3 +30,16 @@ def test_long_batches_are_counted_in_steps(spark, monkeypatch):
     monkeypatch.setattr(term_scan, "STEP_WORDS", 1)
     parts = [(first + r, x) for first, w in term_scan.steps(batch) for r, x in zip(w.rows.tolist(), w.names.take(w.codes).to_pylist())]
     assert len(whole) == 1 and parts == list(zip(*whole[0][1:])) and len(list(term_scan.steps(batch, most_rows=1))) == 4
+
+
+def test_rare_pairs_are_left_out_before_they_are_counted(spark, documents, monkeypatch):
+    corpus = documents.select(F.col("doc_id").alias("id"), "text").limit(60)
+    seen = []
+    whole = term_scan.pair_counts
+    monkeypatch.setattr(term_scan, "pair_counts", lambda *a: seen.append(whole(*a)) or seen[0])
+    stop = ["the"]
+    some = TfidfModel.fit(corpus, stop_words=stop, max_features=300)
+    rows = postings(corpus, tfidf_terms(F.col("text"), stop))
+    every = TfidfModel.of_postings(rows, stop, 300)
+    assert sorted(map(tuple, some.vocabulary.collect())) == sorted(map(tuple, every.vocabulary.collect()))
+    assert 0 < seen[0].count() < rows.where("term like '% %'").select("term").distinct().count() / 2
