@@ -29,9 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom import rules
+from docloom.config import Settings
 from docloom.operators.sparse import Bm25Model, bm25_tokens, postings, summed, term_weights
 from docloom.operators.topk import SCORE_DIGITS, top_k
-from docloom.session import removed, stored, work_folder
+from docloom.session import is_small, removed, stored, work_folder
 
 BUCKETS = 16
 BLOCK = 128
@@ -170,12 +171,13 @@ class TermIndex:
             rows = chosen.select("query_id", "w", F.inline("entries"))
             return rows.select("query_id", "id", value(F.col("tf"), F.col("len")).alias("value"))
 
-        found = blocks.join(weights.drop("bucket"), "term")
+        # Weights of a bounded number go to the blocks, which then are not shuffled.
+        side = F.broadcast if is_small(weights, Settings.broadcast_rows) else lambda rows: rows
+        known = side(weights.drop("bucket"))
         if not bounds:
-            return added(found)
+            return added(blocks.join(known, "term"))
         # A term's bound is the highest of its blocks', of which only the headers are read.
-        known = weights.drop("bucket")
-        heads = blocks.select("term", "max_tf", "min_len").distinct().join(known, "term")
+        heads = blocks.select("term", "max_tf", "min_len").join(known, "term")
         bound = F.greatest(value(F.col("max_tf"), F.col("min_len")), F.lit(0.0))
         tops = heads.groupBy("query_id", "term", "w").agg(F.max(bound).alias("top"))
         # A weight below 0 makes sums of some terms no lower bound: such a query reads all blocks.
@@ -186,5 +188,5 @@ class TermIndex:
         limits = reach.join(goal, "query_id", "left").select("query_id", "all_tops", F.when(F.col("least") >= 0, F.col("goal")).alias("goal"))
         needed = F.col("goal") - (F.col("all_tops") - F.col("top")) - SLACK
         asked = tops.join(limits, "query_id").select("query_id", "term", "w", needed.alias("needed"))
-        reached = blocks.join(asked, "term").where(F.col("needed").isNull() | (value(F.col("max_tf"), F.col("min_len")) >= F.col("needed")))
+        reached = blocks.join(side(asked), "term").where(F.col("needed").isNull() | (value(F.col("max_tf"), F.col("min_len")) >= F.col("needed")))
         return added(reached)

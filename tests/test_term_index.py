@@ -95,3 +95,17 @@ def test_a_batch_that_failed_half_way_counts_once(spark, texts, asked, tmp_path)
     assert collected(made.search(asked, 5)) == collected(Bm25Model.fit(texts.where("id < 300")).search(asked, 5))
     made.add(texts.where("id >= 300"))
     assert collected(made.search(asked, 5)) == collected(Bm25Model.fit(texts).search(asked, 5))
+
+
+def test_blocks_stay_where_they_are_read(spark, index, asked):
+    """Weights are sent to the blocks; entries are not shuffled to meet them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = index.contributions(asked, 5)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depths = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "SortMergeJoin [term" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depths[j] <= depths[i]), len(lines))
+            assert not any("entries" in x for x in lines[i:end])
