@@ -100,22 +100,30 @@ def dictionary_entities(text: Column, dictionary=rules.ENTITY_TERMS) -> Column:
     return t.let(F.lower(text), scan).cast(_ENTITY)
 
 
-def entities(df: DataFrame, text_col: str = "text", dictionary=rules.ENTITY_TERMS, custom: bool = True) -> DataFrame:
-    """One row per entity: dictionary entities first, then patterns. Keeps all columns."""
+def entities(df: DataFrame, text_col: str = "text", dictionary=rules.ENTITY_TERMS, custom: bool = True, context: bool = True) -> DataFrame:
+    """One row per entity: dictionary entities first, then patterns. Keeps all columns.
+
+    Without ``context`` the text around the entities is not cut out, and its column is left out.
+    """
     text = F.col(text_col)
     found = pattern_entities(text)
     if custom:
         found = F.concat(dictionary_entities(text, dictionary), found)
-    # The context is cut while the text is at hand; the text itself is not copied to the rows.
-    found = t.let(t.pieces(text), lambda parts: F.transform(
-        found,
-        lambda e: F.struct(
+
+    def shown(e: Column, *around: Column) -> Column:
+        return F.struct(
             e["text"].alias("entity"), e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"),
             e["confidence"].alias("confidence"), e["description"].alias("description"), e["domain"].alias("domain"),
-            e["category"].alias("category"),
-            t.around_in(parts, e["start"], e["end"], rules.CONTEXT_CHARS).alias("context"),
-        ),
-    ))
+            e["category"].alias("category"), *around,
+        )
+
+    # The context is cut while the text is at hand; the text itself is not copied to the rows.
+    if context:
+        found = t.let(t.pieces(text), lambda parts: F.transform(
+            found, lambda e: shown(e, t.around_in(parts, e["start"], e["end"], rules.CONTEXT_CHARS).alias("context"))
+        ))
+    else:
+        found = F.transform(found, lambda e: shown(e))
     keep = [c for c in df.columns if c != text_col]
     return df.select(*keep, F.posexplode(found).alias("entity_index", "_e")).select(*keep, "entity_index", "_e.*")
 
@@ -225,10 +233,10 @@ def top_entities(entity_rows: DataFrame, n: int = 20) -> DataFrame:
 def entity_summary(entity_rows: DataFrame, n: int = 20) -> DataFrame:
     """``section, key, value``: distinct entities, mentions by label, the most common ones.
 
-    Everything follows from counts by (label, entity), so the rows are aggregated once
-    before anything is compared.
+    Everything follows from counts by (label, entity), which are written: the texts are read once.
     """
     pairs = entity_rows.groupBy("label", F.lower("entity").alias("entity")).agg(F.count("*").alias("n"))
+    pairs = stored(pairs, work_folder(entity_rows.sparkSession, "entity-counts"))
     by_text = pairs.groupBy("entity").agg(F.sum("n").alias("n"))
     total = by_text.agg(F.count("*").alias("value")).select(F.lit("total").alias("section"), F.lit("unique_entities").alias("key"), "value")
     labels = pairs.groupBy(F.col("label").alias("key")).agg(F.sum("n").alias("value")).select(F.lit("label").alias("section"), "key", "value")

@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from docloom import rules
 from docloom.functions import text as t
 from docloom.operators.topk import top_k, union_all
+from docloom.session import stored, work_folder
 
 # A stretch of words and white space; a relation never crosses its ends.
 RUN = f"[{t.WORD}](?:[{t.WORD}{t.SPACE}]*[{t.WORD}])?"
@@ -93,19 +94,25 @@ def relation_array(text: Column, table=rules.RELATION_CONNECTORS, min_chars: int
     return t.let(F.flatten(F.transform(runs, of_run)), once)
 
 
-def pattern_relations(df: DataFrame, text_col: str = "text", table=rules.RELATION_CONNECTORS) -> DataFrame:
-    """One row per distinct relation of each text. Keeps all columns but the text."""
+def pattern_relations(df: DataFrame, text_col: str = "text", table=rules.RELATION_CONNECTORS, context: bool = True) -> DataFrame:
+    """One row per distinct relation of each text, with its ``context`` unless that is not asked for. Keeps all columns but the text."""
     keep = [c for c in df.columns if c != text_col]
     text = F.col(text_col)
-    found = F.transform(
-        relation_array(text, table),
-        lambda r: F.struct(
+
+    def shown(r: Column, parts: Column | None) -> Column:
+        around = [] if parts is None else [t.around_in(parts, r["start"], r["end"], rules.CONTEXT_CHARS).alias("context")]
+        return F.struct(
             r["subject"].alias("subject"), r["relation"].alias("relation"), r["object"].alias("object"),
             F.lit(rules.RELATION_CONFIDENCE).alias("confidence"), F.lit("pattern").alias("method"),
             r["start"].alias("start_pos"), r["end"].alias("end_pos"),
-            t.around(text, r["start"], r["end"], rules.CONTEXT_CHARS).alias("context"),
-        ),
-    )
+            *around,
+        )
+
+    found = relation_array(text, table)
+    if context:
+        found = t.let(t.pieces(text), lambda parts: F.transform(found, lambda r: shown(r, parts)))
+    else:
+        found = F.transform(found, lambda r: shown(r, None))
     return df.select(*keep, F.explode(found).alias("_r")).select(*keep, "_r.*")
 
 
@@ -378,6 +385,8 @@ def relation_counts(relations: DataFrame, *by: str) -> DataFrame:
 def relation_statistics(relations: DataFrame, n: int = 20) -> DataFrame:
     """``section, key, value``: totals, counts by method, mean confidence, common types."""
     pairs = relations.groupBy("relation", "method").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
+    # Written, so that the texts are read once.
+    pairs = stored(pairs, work_folder(relations.sparkSession, "relation-counts"))
     total = pairs.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("total_relationships"),
         F.count_distinct("relation").cast("double").alias("unique_patterns"),

@@ -59,8 +59,8 @@ def ingest_statistics(docs: DataFrame, id_col: str, dictionary=rules.ENTITY_TERM
     base = docs.select(
         id_col, F.size(semantic_array(text)).cast("long").alias("chunks")
     )
-    found = entities.entities(docs.select(id_col, "text"), dictionary=dictionary).select(id_col, "label")
-    links = relations.pattern_relations(docs.select(id_col, "text")).select(id_col, "relation")
+    found = entities.entities(docs.select(id_col, "text"), dictionary=dictionary, context=False).select(id_col, "label")
+    links = relations.pattern_relations(docs.select(id_col, "text"), context=False).select(id_col, "relation")
     e = _top_labels(found, id_col, "label", n, ("entities", "top_entities"))
     r = _top_labels(links, id_col, "relation", n, ("relations", "top_relations"))
     return (
@@ -73,8 +73,8 @@ def ingest_statistics(docs: DataFrame, id_col: str, dictionary=rules.ENTITY_TERM
 
 def collection_analysis(docs: DataFrame, id_col: str, dictionary=rules.ENTITY_TERMS) -> DataFrame:
     """``part, section, key, value``: documents, entities, relations and hierarchy."""
-    found = entities.entities(docs.select(id_col, "text"), dictionary=dictionary)
-    links = relations.pattern_relations(docs.select(id_col, "text"))
+    found = entities.entities(docs.select(id_col, "text"), dictionary=dictionary, context=False)
+    links = relations.pattern_relations(docs.select(id_col, "text"), context=False)
     tops = parent.parents(docs, id_col)
     shape = parent.hierarchy_stats(tops, parent.children(tops))
     total = docs.agg(F.count("*").cast("double").alias("value")).select(

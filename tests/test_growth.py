@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import text as t
-from docloom.operators import compress, entities, relations, summarize
+from docloom.operators import compress, entities, relations, stats, summarize
 from docloom.plans.registry import Tables
 from tests.conftest import SF
 
@@ -20,6 +20,24 @@ def test_a_query_is_cut_once_per_text(spark):
     assert cut.count("asked") == 2  # its text and its words, bound ahead of the sentences
 
 
+def test_statistics_cut_no_contexts(documents):
+    """They only count; the text around entities and relations was cut out for each of them."""
+    for made in (stats.ingest_statistics, stats.collection_analysis):
+        assert "context" not in made(documents, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_summaries_of_counts_read_texts_once(documents):
+    found = entities.entity_summary(entities.entities(documents)), relations.relation_statistics(relations.pattern_relations(documents))
+    assert all("text" not in x._jdf.queryExecution().optimizedPlan().toString() for x in found)
+
+
+def test_contexts_of_relations_are_cut_from_pieces(spark):
+    text = "x " * 700 + "Ann Lee works for Acme Corp. " + "y " * 700
+    rows = relations.pattern_relations(spark.createDataFrame([(1, text)], "id int, text string")).collect()
+    size = rules.CONTEXT_CHARS
+    assert rows and all(r.context == text[max(r.start_pos - size, 0) : r.end_pos + size] for r in rows)
+
+
 def test_parts_are_spread_like_other_texts(spark):
     assert Tables(spark, SF).part.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
