@@ -1,154 +1,148 @@
-"""Extractive summaries, built inside each row: no shuffle however long the corpus is."""
+"""Extractive summaries, built from each row: no shuffle however long the corpus is.
+
+Sentences and words are cut by Spark expressions; the words of a text are counted, and its sentences
+chosen, in Arrow batches, since folds over arrays copy their state at every element.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import text as t
+from docloom.operators.term_scan import STEP_WORDS, Words
 
 
-def _tokens(sentence: Column, stop_words: list[str]) -> Column:
-    return F.filter(t.alnum_runs(F.lower(sentence)), lambda w: ~w.isin(list(stop_words)))
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _stretches(ordered: Column, key) -> Column:
-    """First positions of stretches of equal keys in a sorted array."""
-    return F.filter(
-        F.transform(ordered, lambda _, i: i),
-        lambda i: (i == 0) | (key(F.get(ordered, i)) != key(F.get(ordered, i - 1))),
-    )
-
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
 
-def _length(starts: Column, j: Column, ordered: Column, p: Column) -> Column:
-    return F.coalesce(F.get(starts, j + 1), F.size(ordered)) - p
 
+def _listed(values: pa.Array, like: pa.Array) -> pa.Array:
+    """``values`` in lists as long as those of ``like``, null where they are."""
+    return pa.ListArray.from_arrays(pa.array(_ends(_sizes(like)).astype(np.int32)), values, mask=like.is_null())
 
-def sentence_frequencies(sentences: Column, stop_words: list[str]) -> Column:
-    """``array<struct<i, total, words>>``: per sentence the summed text-wide counts of its
-    words, and their number.
 
-    Sorting by word gives each word its count, sorting by sentence brings the counts back
-    to their sentences. A marker of count 0 keeps sentences without words.
-    """
-
-    def with_counts(pairs: Column) -> Column:
-        return t.let(
-            _stretches(pairs, lambda x: x["w"]),
-            lambda s: F.flatten(
-                F.transform(
-                    s,
-                    lambda p, j: t.let(
-                        _length(s, j, pairs, p),
-                        lambda n: F.transform(
-                            F.slice(pairs, p + 1, n), lambda x: F.struct(x["i"].alias("i"), n.alias("f"))
-                        ),
-                    ),
-                )
-            ),
-        )
+def _steps(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Texts of about ``STEP_WORDS`` words: their numbers of sentences, the sentences' numbers of words, the words."""
+    sizes, words = _sizes(texts), pc.struct_field(texts.flatten(), "words")
+    lengths, flat = _sizes(words), words.flatten()
+    sentences, ends = _ends(sizes), _ends(lengths)
+    first = 0
+    while first < len(sizes):
+        last = int(np.searchsorted(ends[sentences], ends[sentences[first]] + STEP_WORDS, "right")) - 1
+        last = max(last, first + 1)
+        a, b = sentences[first], sentences[last]
+        yield sizes[first:last], lengths[a:b], flat.slice(ends[a], ends[b] - ends[a])
+        first = last
 
-    def per_sentence(rows: Column) -> Column:
-        return t.let(
-            _stretches(rows, lambda x: x["i"]),
-            lambda s: F.transform(
-                s,
-                lambda p, j: t.let(
-                    _length(s, j, rows, p),
-                    lambda n: F.struct(
-                        F.get(rows, p)["i"].alias("i"),
-                        F.aggregate(F.slice(rows, p + 1, n), F.lit(0), lambda a, x: a + x["f"]).alias("total"),
-                        (n - 1).alias("words"),
-                    ),
-                ),
-            ),
-        )
 
-    pairs = F.flatten(
-        F.transform(
-            sentences,
-            lambda s, i: F.transform(_tokens(s, stop_words), lambda w: F.struct(w.alias("w"), i.alias("i"))),
-        )
+def _scores(sentences: Column, stop_words: list[str]) -> Column:
+    """``array<struct<i, extractive, frequency>>`` of an array of sentences."""
+    stop_words = list(stop_words)
+
+    def frequencies(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for sizes, lengths, flat in _steps(texts):
+            words = Words(lengths, flat, stop_words)
+            text = np.repeat(np.arange(len(sizes)), sizes)[words.rows]
+            _, cells, counts = np.unique(text * len(words.names) + words.codes, return_inverse=True, return_counts=True)
+            many = np.bincount(words.rows, minlength=words.n)
+            total = np.bincount(words.rows, counts[cells], words.n)
+            yield np.divide(total, many, out=np.zeros(words.n), where=many > 0), many
+
+    def score(texts: pa.Array) -> pa.Array:
+        sizes, parts = _sizes(texts), texts.flatten()
+        steps = [*frequencies(texts), (np.zeros(0), np.zeros(0, np.int64))]
+        mean, many = (np.concatenate(x) for x in zip(*steps))
+        i = np.arange(len(parts)) - np.repeat(_ends(sizes)[:-1], sizes)
+        size = np.repeat(sizes, sizes)
+        place = np.where((i == 0) | (i == size - 1), 0.3, np.where(i < size * 0.2, 0.1, 0.0))
+        length = np.where((many >= 10) & (many <= 30), 0.2, 0.0)
+        number = np.where(pc.struct_field(parts, "number").to_numpy(zero_copy_only=False), 0.1, 0.0)
+        full = np.where(many > 0, mean + place + length + number, 0.0)
+        fields = [pa.array(i, pa.int32()), pa.array(full), pa.array(mean)]
+        return _listed(pa.StructArray.from_arrays(fields, names=["i", "extractive", "frequency"]), texts)
+
+    parts = F.transform(
+        sentences, lambda s: F.struct(t.alnum_runs(F.lower(s)).alias("words"), s.rlike(r"\p{Nd}").alias("number"))
     )
-    markers = F.transform(sentences, lambda _, i: F.struct(i.alias("i"), F.lit(0).alias("f")))
-    counted = t.let(F.sort_array(pairs), with_counts)
-    return t.let(F.sort_array(F.concat(counted, markers)), per_sentence)
+    return F.arrow_udf(score, "array<struct<i: int, extractive: double, frequency: double>>")(parts)
 
 
 def sentence_scores(sentences: Column, stop_words: list[str]) -> Column:
     """``array<struct<i, n, extractive, frequency>>``; n is the number of words.
 
-    The sentences are bound first: an expression inside of a lambda is computed for each element.
+    ``frequency`` is the mean of the text-wide counts of a sentence's words, ``extractive`` adds to it for
+    place, length and numbers; both are 0 without words other than stop words. Cannot stand inside of a lambda.
+    The sentences are read twice, so they should be a column and not the expression that cuts them.
     """
-    return t.let(sentences, lambda bound: _scores(bound, stop_words))
 
+    def with_length(s: Column, x: Column) -> Column:
+        n = t.word_count(s).alias("n")
+        return F.struct(x["i"].alias("i"), n, x["extractive"].alias("extractive"), x["frequency"].alias("frequency"))
 
-def _scores(sentences: Column, stop_words: list[str]) -> Column:
-    size = F.size(sentences)
+    return F.zip_with(sentences, _scores(sentences, stop_words), with_length)
 
-    def score(x: Column) -> Column:
-        sentence = F.get(sentences, x["i"])
-        mean = F.when(x["words"] > 0, x["total"] / x["words"]).otherwise(0.0)
-        place = (
-            F.when((x["i"] == 0) | (x["i"] == size - 1), 0.3).when(x["i"] < size * 0.2, 0.1).otherwise(0.0)
-        )
-        length = F.when(x["words"].between(10, 30), 0.2).otherwise(0.0)
-        number = F.when(sentence.rlike(r"\p{Nd}"), 0.1).otherwise(0.0)
-        full = F.when(x["words"] > 0, mean + place + length + number).otherwise(0.0)
-        return F.struct(
-            x["i"].alias("i"), t.word_count(sentence).alias("n"), full.alias("extractive"), mean.alias("frequency")
-        )
 
-    return F.transform(sentence_frequencies(sentences, stop_words), score)
+def _chosen(scores: Column, lengths: Column, budget: int) -> Column:
+    """Places of sentences by score while they fit the word budget (others are skipped), in text order."""
 
+    def choose(scores: pa.Array, lengths: pa.Array) -> pa.Array:
+        sizes = _sizes(scores)
+        by_text, ends = np.repeat(np.arange(len(sizes)), sizes), _ends(sizes)
+        order = np.lexsort((-scores.flatten().to_numpy(zero_copy_only=False), by_text))
+        n = lengths.flatten().to_numpy(zero_copy_only=False)[order]
+        kept = np.zeros(len(n), bool)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            used = 0
+            for at, words in enumerate(n[a:b].tolist(), a):
+                if used + words <= budget:
+                    used += words
+                    kept[order[at]] = True
+        places = (np.arange(len(n)) - np.repeat(ends[:-1], sizes))[kept]
+        offsets = _ends(np.bincount(by_text[kept], minlength=len(sizes))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(places, pa.int32()), mask=scores.is_null())
+
+    return F.arrow_udf(choose, "array<int>")(scores, lengths)
 
-def _select(scored: Column, which: str, sentences: Column, budget: int) -> Column:
-    """Sentences by score while they fit the word budget (others are skipped), in text order."""
-    order = F.sort_array(
-        F.transform(scored, lambda x: F.struct((-x[which]).alias("s"), x["i"].alias("i"), x["n"].alias("n")))
-    )
-    zero = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("chosen"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["n"] <= budget
+def candidates(df: DataFrame, text_col: str, max_words: int, stop_words) -> DataFrame:
+    """Adds ``_extractive`` and ``_frequency``, the summaries of texts of 50 words (``_n``) or more, each with
+    text, ratio and sentence count. One that is not read is not made.
+    """
+    text, sents, total = F.col(text_col), F.col("_sentences"), F.col("_n")
+    staged = df.withColumn("_sentences", F.when(total >= 50, t.sentences(text)))
+    staged = staged.withColumns({"_scored": _scores(sents, stop_words), "_lengths": F.transform(sents, t.word_count)})
+    scored, lengths = F.col("_scored"), F.col("_lengths")
+    picked = {
+        f"_{which}": F.transform(_chosen(scored[which], lengths, max_words), lambda i: F.get(sents, i))
+        for which in ("extractive", "frequency")
+    }
+    staged = staged.withColumns(picked)
+
+    def shape(part: Column) -> Column:
+        joined = F.array_join(part, " ")
         return F.struct(
-            F.when(fits, acc["used"] + x["n"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.concat(acc["chosen"], F.array(x["i"]))).otherwise(acc["chosen"]).alias("chosen"),
+            joined.alias("text"), (t.word_count(joined) / total).alias("ratio"), F.size(part).alias("sentences")
         )
 
-    chosen = F.aggregate(order, zero, step, lambda acc: F.sort_array(acc["chosen"]))
-    return F.transform(chosen, lambda i: F.get(sentences, i))
-
-
-def candidates(text: Column, max_words: int = 300, stop_words=tuple(rules.SUMMARY_STOP_WORDS)) -> Column:
-    """``struct<extractive, frequency>`` summaries, each with text, ratio and sentence count."""
-    total = t.word_count(text)
-
-    def build(sents: Column) -> Column:
-        def from_scores(scored: Column) -> Column:
-            def one(which: str, keep_short: bool) -> Column:
-                picked = _select(scored, which, sents, max_words)
-
-                def shape(part: Column) -> Column:
-                    joined = F.array_join(part, " ")
-                    plain = F.struct(
-                        joined.alias("text"),
-                        (t.word_count(joined) / total).alias("ratio"),
-                        F.size(part).alias("sentences"),
-                    )
-                    if not keep_short:
-                        return plain
-                    short = F.struct(text.alias("text"), F.lit(1.0).alias("ratio"), F.size(sents).alias("sentences"))
-                    return F.when(F.size(sents) <= 3, short).otherwise(plain)
-
-                return t.let(picked, shape)
-
-            return F.struct(one("extractive", True).alias("extractive"), one("frequency", False).alias("frequency"))
-
-        return t.let(sentence_scores(sents, stop_words), from_scores)
-
-    return t.let(t.sentences(text), build)
+    short = F.struct(text.alias("text"), F.lit(1.0).alias("ratio"), F.size(sents).alias("sentences"))
+    extractive, frequency = F.col("_extractive"), F.col("_frequency")
+    return staged.withColumns(
+        {
+            "_extractive": F.when(F.size(sents) <= 3, short).when(sents.isNotNull(), shape(extractive)),
+            "_frequency": F.when(sents.isNotNull(), shape(frequency)),
+        }
+    )
 
 
 def quality(ratio: Column, words: Column, abstractive: bool = False) -> Column:
@@ -168,18 +162,16 @@ def summarize(
     of a text (an abstractive model behind a pandas UDF) used for texts over 100 words.
     """
     text = F.col(text_col)
-    staged = df.withColumn("_n", t.word_count(text)).withColumn(
-        "_c", F.when(F.col("_n") >= 50, candidates(text, max_words, stop_words))
-    )
+    staged = candidates(df.withColumn("_n", t.word_count(text)), text_col, max_words, stop_words)
     none = F.lit(None).cast("string")
     abstract = F.when(F.col("_n") > 100, model(text)) if model is not None else none
     staged = staged.withColumn("_a", abstract)
     options = []
     if method == "auto":
         shapes = [
-            ("extractive", F.col("_c.extractive.text"), F.col("_c.extractive.ratio"), False),
+            ("extractive", F.col("_extractive.text"), F.col("_extractive.ratio"), False),
             ("abstractive", F.col("_a"), t.word_count(F.col("_a")) / F.col("_n"), True),
-            ("frequency", F.col("_c.frequency.text"), F.col("_c.frequency.ratio"), False),
+            ("frequency", F.col("_frequency.text"), F.col("_frequency.ratio"), False),
         ]
         for place, (name, body, ratio, is_model) in enumerate(shapes):
             if is_model and model is None:
@@ -191,11 +183,13 @@ def summarize(
             options.append(F.when(body.isNotNull(), entry))
         best = F.array_min(F.filter(F.array(*options), lambda o: o.isNotNull()))
     else:
-        body = {"frequency": F.col("_c.frequency.text"), "abstractive": F.col("_a")}.get(method, F.col("_c.extractive.text"))
-        named = F.struct(
-            F.when(body.isNotNull(), F.lit(method)).otherwise("extractive").alias("type"),
-            F.coalesce(body, F.col("_c.extractive.text")).alias("text"),
-        )
+        if method == "abstractive":
+            body = F.coalesce(F.col("_a"), F.col("_extractive.text"))
+            kind = F.when(F.col("_a").isNotNull(), method).otherwise("extractive")
+        else:
+            body = F.col("_frequency.text") if method == "frequency" else F.col("_extractive.text")
+            kind = F.lit(method)
+        named = F.struct(kind.alias("type"), body.alias("text"))
         best = named.withField("ratio", t.word_count(named["text"]) / F.col("_n"))
     staged = staged.withColumn("_best", F.when(F.col("_n") >= 50, best))
     short = F.col("_n") < 50
@@ -207,7 +201,7 @@ def summarize(
         t.word_count(F.when(short, text).otherwise(F.col("_best.text"))).alias("word_count"),
         F.col("_n").alias("original_word_count"),
         F.create_map(
-            F.lit("extractive"), F.col("_c.extractive.text"), F.lit("frequency"), F.col("_c.frequency.text"),
+            F.lit("extractive"), F.col("_extractive.text"), F.lit("frequency"), F.col("_frequency.text"),
             F.lit("abstractive"), F.col("_a"),
         ).alias("all_summaries"),
     )

@@ -83,8 +83,9 @@ _SUMMARIES = f"""
 
 @query(f"WITH {_SCORES} SELECT doc_id, i AS sentence_index, n AS words, round(extractive, 6) AS extractive, round(frequency, 6) AS frequency FROM scores")
 def sentence_scores(db):
-    scored = summarize.sentence_scores(t.sentences(F.col("text")), rules.SUMMARY_STOP_WORDS)
-    rows = db.documents.select("doc_id", F.explode(scored).alias("x"))
+    cut = db.documents.select("doc_id", t.sentences(F.col("text")).alias("sentences"))
+    scored = summarize.sentence_scores(F.col("sentences"), rules.SUMMARY_STOP_WORDS)
+    rows = cut.select("doc_id", F.explode(scored).alias("x"))
     return rows.select(
         "doc_id", F.col("x.i").alias("sentence_index"), F.col("x.n").alias("words"),
         F.round("x.extractive", 6).alias("extractive"), F.round("x.frequency", 6).alias("frequency"),

@@ -1,5 +1,8 @@
 """What kept queries from growing in proportion to their input."""
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from docloom import rules
@@ -15,6 +18,41 @@ def test_sentences_are_cut_once_per_text(spark):
     assert str(scored).count("split(") == 1
 
 
+def test_summaries_fold_no_arrays(documents):
+    """A fold copies its state at each sentence; words are counted and sentences chosen in Arrow batches."""
+    plan = summarize.summarize(documents, method="frequency").select("doc_id", "summary")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "sort_array(" not in plan
+    assert plan.count("choose(") == 1  # the other summary is not made
+
+
+def test_summaries_by_frequency_are_those_of_a_plain_count(spark):
+    """Texts of any length in batches of two rows, with ties, sentences that do not fit and without words."""
+    texts = [None, "", "Few words.", "the a. " * 40, "One two. Two three! ... One one? " * 20, "x " * 301 + "x. y. " * 30]
+    texts += [" ".join(f"Word{i % k} word{i % 3} and {'more ' * (i % 4)}end{i}." for i in range(9 * k)) for k in (3, 7, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = [r.summary for r in summarize.summarize(df, method="frequency", max_words=60).orderBy("id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def plain(text):
+        if text is None or len(text.split()) < 50:
+            return text
+        sentences = re.split(r"(?<=[.!?])\s+", text.strip())
+        words = [[w for w in re.findall(r"[^\W_]+", s.lower()) if w not in rules.SUMMARY_STOP_WORDS] for s in sentences]
+        counts = Counter(w for ws in words for w in ws)
+        score = [sum(counts[w] for w in ws) / len(ws) if ws else 0 for ws in words]
+        used, kept = 0, []
+        for i in sorted(range(len(sentences)), key=lambda i: (-score[i], i)):
+            n = len(sentences[i].split())
+            if used + n <= 60:
+                used, kept = used + n, [*kept, i]
+        return " ".join(sentences[i] for i in sorted(kept))
+
+    assert got == [plain(x) for x in texts]
+
+
 def test_a_query_is_cut_once_per_text(spark):
     cut = str(compress.compress_sentences(F.col("text"), F.col("asked")))
     assert cut.count("asked") == 2  # its text and its words, bound ahead of the sentences
