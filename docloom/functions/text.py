@@ -60,6 +60,20 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
+# Capitals whose lower case is not one letter, or depends on the letters around it.
+_ODD_CAPITALS = ("\u0130", "\u03a3")
+
+
+def lower_values(values: pa.Array) -> pa.Array:
+    """``lower`` of Arrow strings. Arrow maps letter by letter, so values with odd capitals are left to Python."""
+    low, data = pc.utf8_lower(values), values.buffers()[2]
+    held = data.to_pybytes() if data else b""
+    if not any(c.encode() in held for c in _ODD_CAPITALS):
+        return low
+    odd = pc.fill_null(pc.match_substring_regex(values, f"[{''.join(_ODD_CAPITALS)}]"), False)
+    return pc.replace_with_mask(low, odd, pa.array([x.lower() for x in values.filter(odd).to_pylist()], values.type))
+
+
 def words(text: Column) -> Column:
     """White-space separated words, without empty ones."""
     return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0))

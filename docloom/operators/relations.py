@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +13,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom import rules
+from docloom.config import Settings
 from docloom.functions import text as t
-from docloom.operators.topk import top_k, union_all
-from docloom.session import stored, work_folder
+from docloom.operators.topk import top_k
+from docloom.session import is_small, stored, work_folder
 
 # A stretch of words and white space; a relation never crosses its ends.
 RUN = f"[{t.WORD}](?:[{t.WORD}{t.SPACE}]*[{t.WORD}])?"
+# Subject and object have more characters than this.
+MIN_CHARS = 2
 
 
 def connectors(table=rules.RELATION_CONNECTORS) -> list[tuple[int, str, str]]:
@@ -34,7 +37,7 @@ def _pattern(words: str) -> str:
     return f"(?isu)^([{t.WORD}].*){_between(words)}([{t.WORD}].*)$"
 
 
-def relation_array(text: Column, table=rules.RELATION_CONNECTORS, min_chars: int = 2) -> Column:
+def relation_array(text: Column, table=rules.RELATION_CONNECTORS, min_chars: int = MIN_CHARS) -> Column:
     """Relations of a text in order of pattern and position, copies of a triple dropped.
 
     Both word groups of a pattern are greedy, so a run holds at most one match of each
@@ -94,8 +97,16 @@ def relation_array(text: Column, table=rules.RELATION_CONNECTORS, min_chars: int
     return t.let(F.flatten(F.transform(runs, of_run)), once)
 
 
-def pattern_relations(df: DataFrame, text_col: str = "text", table=rules.RELATION_CONNECTORS, context: bool = True) -> DataFrame:
-    """One row per distinct relation of each text, with its ``context`` unless that is not asked for. Keeps all columns but the text."""
+def pattern_relations(
+    df: DataFrame | pa.Table, text_col: str = "text", table=rules.RELATION_CONNECTORS, context: bool = True
+) -> DataFrame | Iterator[pa.Table]:
+    """One row per distinct relation of each text, with its ``context`` unless that is not asked for. Keeps all columns but the text.
+
+    Arrow rows of whole texts ``with_words``, which ``count_routes`` hands out, give Arrow rows (doc_id, subject, relation,
+    object, confidence, method).
+    """
+    if isinstance(df, pa.Table):
+        return _connected(df, table)
     keep = [c for c in df.columns if c != text_col]
     text = F.col(text_col)
 
@@ -116,6 +127,73 @@ def pattern_relations(df: DataFrame, text_col: str = "text", table=rules.RELATIO
     return df.select(*keep, F.explode(found).alias("_r")).select(*keep, "_r.*")
 
 
+def runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+
+
+def with_words(texts: pa.Table) -> pa.Table:
+    """Adds the list ``words`` of each text, cut out of its ``runs``, and the list ``run_words``: how many each run has."""
+    lists = _column(texts, "runs")
+    words = pc.utf8_split_whitespace(lists.flatten())
+    sizes, ends = pc.list_value_length(words), np.concatenate([[0], np.cumsum(_lengths(lists))])
+    places = np.concatenate([[0], np.cumsum(_lengths(words))])[ends]
+    flat = words.flatten().dictionary_encode()
+    columns = {"words": (places, flat), "run_words": (ends, sizes)}
+    for name, (offsets, values) in columns.items():
+        texts = texts.append_column(name, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
+    return texts
+
+
+def _connected(texts: pa.Table, table, min_chars: int = MIN_CHARS) -> Iterator[pa.Table]:
+    """The relations of ``relation_array``. A run has word characters and white space only, so its words tell
+    where a connector is; a run and the words' places give both sides."""
+    lists, flat = _column(texts, "runs"), _column(texts, "words").flatten()
+    ends = np.cumsum(_column(texts, "run_words").flatten().to_numpy())
+    starts = np.append(0, ends)[:-1]
+    run = np.repeat(np.arange(len(ends)), ends - starts)
+    text_of_run = np.repeat(np.arange(len(lists)), _lengths(lists))
+    pieces, names, indices = lists.flatten(), flat.dictionary, flat.indices
+    rows = [(relation, words.split()) for _, relation, words in connectors(table)]
+    asked = pa.array([w for _, words in rows for w in words], pa.string())
+    # Two numbers for each word: of the connectors' words without regard to case, and as they stand in lower case.
+    forms, plain = _folded(asked).unique(), asked.unique()
+    codes = pc.fill_null(pc.index_in(_folded(names), forms).take(indices), -1).to_numpy()
+    as_is = pc.fill_null(pc.index_in(t.lower_values(names), plain).take(indices), -1).to_numpy()
+    found: dict[tuple, tuple] = {}
+    for relation, words in rows:
+        at = np.arange(len(codes) - len(words) + 1)
+        for k, code in enumerate(pc.index_in(_folded(pa.array(words)), forms).to_pylist()):
+            at = at[codes[at + k] == code]
+        at = at[(at > starts[run[at]]) & (at + len(words) < ends[run[at]])]
+        at = at[np.append(run[at][1:] != run[at][:-1], True)[: len(at)]]
+        same = as_is[at + len(words) - 1] == plain.index(words[-1]).as_py()
+        for r, j, known, piece in zip(run[at].tolist(), at.tolist(), same.tolist(), pieces.take(pa.array(run[at])).to_pylist()):
+            if not known and words[-1] not in piece.lower():
+                continue
+            subject = piece.rsplit(None, int(ends[r]) - j)[0]
+            target = piece.split(None, j + len(words) - int(starts[r]))[-1]
+            if len(subject) > min_chars and len(target) > min_chars:
+                text = int(text_of_run[r])
+                found.setdefault((text, subject.lower(), relation, target.lower()), (text, subject, relation, target))
+    text, *sides = zip(*found.values()) if found else [()] * 4
+    yield pa.table({
+        "doc_id": texts["doc_id"].take(pa.array(text, pa.int64())), **{c: pa.array(x, pa.string()) for c, x in zip(TRIPLE, sides)},
+        "confidence": pa.repeat(rules.RELATION_CONFIDENCE, len(text)), "method": pa.repeat("pattern", len(text)),
+    })
+
+
+TRIPLE = ("subject", "relation", "object")
+
+
+def _folded(values: pa.Array) -> pa.Array:
+    """The form in which Java compares letters if case is ignored."""
+    return pc.utf8_lower(pc.utf8_upper(values))
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of complete texts from rows in which those of a text lie together.
 
@@ -126,7 +204,7 @@ def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         if not batch.num_rows:
             continue
         ids = batch.column(0)
-        others = np.flatnonzero(~pc.equal(ids, ids[-1]).to_numpy(zero_copy_only=False))
+        others = np.flatnonzero(~_true(pc.equal(ids, ids[-1])))
         cut = int(others[-1]) + 1 if len(others) else 0
         if held and (cut or held[-1].column(0)[-1] != ids[0]):
             done = pa.Table.from_batches([*held, batch.slice(0, cut)])
@@ -134,7 +212,8 @@ def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             yield done.combine_chunks()
         elif cut:
             yield pa.Table.from_batches([batch.slice(0, cut)])
-        held.append(batch.slice(cut))
+        if cut < batch.num_rows:
+            held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -154,11 +233,31 @@ def _true(column: pa.Array) -> np.ndarray:
 
 
 def _text_numbers(ids: pa.Array) -> np.ndarray:
-    """0, 1, ...: the place of each row's text among the texts."""
-    changes = pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)
+    """0, 1, ...: the place of each row's text among the texts. A row without an id is a text of its own."""
+    changes = ~_true(pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)))
     return np.concatenate([[0], np.cumsum(changes)])
 
 
+def _coded(column: pa.Array) -> pa.DictionaryArray:
+    return column if pa.types.is_dictionary(column.type) else column.dictionary_encode()
+
+
+def _plain(column: pa.Array) -> pa.Array:
+    return column.dictionary_decode() if pa.types.is_dictionary(column.type) else column
+
+
+def _one_of(column: pa.Array, *names: str) -> np.ndarray:
+    """True where a column has one of some values."""
+    coded = _coded(column)
+    known = np.append(_true(pc.is_in(coded.dictionary, pa.array(names))), False)
+    return known[pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)]
+
+
+def _lowered(column: pa.Array) -> pa.Array:
+    coded = _coded(column)
+    return t.lower_values(coded.dictionary).take(coded.indices)
+
+
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows repeated for each place from ``first`` to ``last`` (exclusive), and the places."""
     n = np.maximum(last - first, 0)
@@ -178,13 +277,15 @@ def _together(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", *order)
 
 
-def dependency_relations(tokens: DataFrame, together: bool = False) -> DataFrame:
+def dependency_relations(tokens: DataFrame | pa.Table, together: bool = False) -> DataFrame | Iterator[pa.Table]:
     """Relations from parser tokens (doc_id, i, head, text, lemma, pos, dep).
 
     A text's tokens are gathered once, unless they lie together already (``together``: rows that an
     ``explode`` made of one row per text), and meet their heads there. A task holds one batch of rows
-    and the text that it leaves open.
+    and the text that it leaves open. Arrow rows of whole texts, which ``count_routes`` hands out, give Arrow rows.
     """
+    if isinstance(tokens, pa.Table):
+        return _dependencies(tokens.filter(pc.is_valid(tokens["doc_id"])).combine_chunks())
     rows = tokens.where(F.col("doc_id").isNotNull()).select("doc_id", "i", "head", "text", "lemma", "pos", "dep")
     if not together:
         rows = _together(rows)
@@ -196,12 +297,15 @@ def dependency_relations(tokens: DataFrame, together: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _whole_texts(batches):
-            yield from pa.concat_tables(_dependencies(texts, arrow)).to_batches(1 << 16)
+            found = [pa.Table.from_arrays(x.columns, schema=arrow) for x in _dependencies(texts)]
+            yield from pa.concat_tables(found).to_batches(1 << 16) if found else []
 
     return rows.mapInArrow(run, kept)
 
 
-def _dependencies(rows: pa.Table, schema: pa.Schema) -> Iterator[pa.Table]:
+def _dependencies(rows: pa.Table) -> Iterator[pa.Table]:
+    if not rows.num_rows:
+        return
     ids, text, lemma, dep = (_column(rows, c) for c in ("doc_id", "text", "lemma", "dep"))
     place, head = _column(rows, "i"), _column(rows, "head")
     has_place, has_head = _true(place.is_valid()), _true(head.is_valid())
@@ -209,22 +313,24 @@ def _dependencies(rows: pa.Table, schema: pa.Schema) -> Iterator[pa.Table]:
     least = min(place.min(), head.min())
     base = _text_numbers(ids) * (max(place.max(), head.max()) - least + 1) - least
     own, above = base + place, base + head
+    dep = _coded(dep)
 
-    def of(*names: str) -> np.ndarray:
-        return np.flatnonzero(_true(pc.is_in(dep, pa.array(names))) & has_head)
+    def of(name: str) -> np.ndarray:
+        return np.flatnonzero(_one_of(dep, name) & has_head)
 
-    verbs = np.flatnonzero(_true(pc.equal(_column(rows, "pos"), "VERB")) & has_place)
+    verbs = np.flatnonzero(_one_of(_column(rows, "pos"), "VERB") & has_place)
     subjects, targets, preps, under = of("nsubj"), of("dobj"), of("prep"), of("pobj")
     s, v = _equal(above[subjects], own[verbs])
     subjects, verbs = subjects[s], verbs[v]
 
     def out(subject: np.ndarray, relation: pa.Array, target: np.ndarray, confidence: float, shape: str) -> pa.Table:
         n = len(subject)
-        columns = [
-            ids.take(pa.array(subject)), text.take(pa.array(subject)), relation, text.take(pa.array(target)),
-            pa.repeat(confidence, n), pa.repeat("dependency", n), pa.repeat(shape, n),
-        ]
-        return pa.Table.from_arrays(columns, schema=schema)
+        columns = {
+            "doc_id": ids.take(pa.array(subject)), "subject": text.take(pa.array(subject)), "relation": relation,
+            "object": text.take(pa.array(target)), "confidence": pa.repeat(confidence, n),
+            "method": pa.repeat("dependency", n), "pos_pattern": pa.repeat(shape, n),
+        }
+        return pa.table(columns)
 
     a, b = _equal(above[subjects], above[targets])
     yield out(subjects[a], lemma.take(pa.array(verbs[a])), targets[b], 0.7, "nsubj-verb-dobj")
@@ -233,7 +339,7 @@ def _dependencies(rows: pa.Table, schema: pa.Schema) -> Iterator[pa.Table]:
     c, d = _equal(own[preps[b]], above[under])
     a, b = a[c], b[c]
     verb_prep = pc.binary_join_element_wise(
-        lemma.take(pa.array(verbs[a])), text.take(pa.array(preps[b])), "_", null_handling="skip"
+        _plain(lemma.take(pa.array(verbs[a]))), _plain(text.take(pa.array(preps[b]))), "_", null_handling="skip"
     )
     yield out(subjects[a], verb_prep, under[d], 0.6, "nsubj-verb-prep-pobj")
     heads = np.flatnonzero(has_place)
@@ -260,13 +366,21 @@ def entity_pair_relations(spans: DataFrame, tokens: DataFrame, reach: int = rule
 SPAN = ("ord", "text", "label", "first", "last")
 
 
+LINKING = ("VERB", "ADP")
+
+
 def linking() -> Column:
-    return F.col("pos").isin("VERB", "ADP")
+    return F.col("pos").isin(*LINKING)
 
 
-def marked_pair_relations(marked: DataFrame, reach: int = rules.ENTITY_PAIR_TOKENS, together: bool = True) -> DataFrame:
+def marked_pair_relations(
+    marked: DataFrame | pa.Table, reach: int = rules.ENTITY_PAIR_TOKENS, together: bool = True
+) -> DataFrame | Iterator[pa.Table]:
     """The same of one table: tokens (doc_id, i, word, span), ``word`` null unless the token links,
-    ``span`` (ord, text, label, first, last) null unless an entity belongs to the row."""
+    ``span`` (ord, text, label, first, last) null unless an entity belongs to the row. Arrow rows of
+    whole texts, which ``count_routes`` hands out, give Arrow rows."""
+    if isinstance(marked, pa.Table):
+        return _pairs(_marked_rows(marked), reach)
     span = F.col("span")
     numbers = [span[c].cast("long").alias(c) for c in ("ord", "first", "last")]
     rows = marked.where(F.col("doc_id").isNotNull() & (F.col("word").isNotNull() | span.isNotNull())).select(
@@ -284,16 +398,31 @@ def marked_pair_relations(marked: DataFrame, reach: int = rules.ENTITY_PAIR_TOKE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in _whole_texts(batches):
-            yield from _pairs(texts, reach, arrow)
+            for some in _pairs(texts, reach):
+                yield from pa.Table.from_arrays(some.columns, schema=arrow).to_batches()
 
     return rows.mapInArrow(run, kept)
 
 
+def _marked_rows(marked: pa.Table) -> pa.Table:
+    """What ``_pairs`` reads of Arrow rows (doc_id, i, word, span)."""
+    marked = marked.filter(pc.and_(pc.is_valid(marked["doc_id"]), pc.or_(pc.is_valid(marked["word"]), pc.is_valid(marked["span"]))))
+    marked = marked.combine_chunks()
+    if not marked.num_rows:
+        return marked
+    word, span = _column(marked, "word"), _column(marked, "span")
+    fields = {c: pc.struct_field(span, c) for c in SPAN}
+    low = {"low_word": _lowered(word), "low_text": _lowered(fields["text"])}
+    return pa.table({"doc_id": marked["doc_id"], "i": marked["i"], "word": word, **fields, **low})
+
+
 # Pairs that are made at a time.
 _PAIRS = 1 << 16
 
 
-def _pairs(rows: pa.Table, reach: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _pairs(rows: pa.Table, reach: int) -> Iterator[pa.Table]:
+    if not rows.num_rows:
+        return
     numbers = _text_numbers(_column(rows, "doc_id"))
     spans = np.flatnonzero(_true(pc.and_(_column(rows, "first").is_valid(), _column(rows, "last").is_valid())))
     links = np.flatnonzero(_true(pc.and_(_column(rows, "word").is_valid(), _column(rows, "i").is_valid())))
@@ -308,7 +437,7 @@ def _pairs(rows: pa.Table, reach: int, schema: pa.Schema) -> Iterator[pa.RecordB
     ends = base[spans] + last
     near = np.searchsorted(starts[by_start], ends - reach, "left"), np.searchsorted(starts[by_start], ends + reach, "right")
     links = links[np.argsort((base + at)[links], kind="stable")]
-    places, words = (base + at)[links], _column(rows, "word").take(pa.array(links))
+    places, words = (base + at)[links], _plain(_column(rows, "word").take(pa.array(links)))
     # Equal lower-case forms have equal codes; null has -1 and equals nothing.
     forms = pa.concat_arrays([_column(rows, "low_word").take(pa.array(links)), _column(rows, "low_text").take(pa.array(spans))])
     codes = pc.fill_null(forms.dictionary_encode().indices.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
@@ -332,15 +461,16 @@ def _pairs(rows: pa.Table, reach: int, schema: pa.Schema) -> Iterator[pa.RecordB
         n = np.bincount(pair, minlength=len(a))
         offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words.take(pa.array(link))), "_")
-        types = [label.take(pa.array(x)) for x in (a, b)]
+        types = [_plain(label.take(pa.array(x))) for x in (a, b)]
         fallback = pc.binary_join_element_wise("RELATED_TO", *types, "_", null_handling="skip")
         distance = np.abs(first[b] - last[a])
-        columns = [
-            ids.take(pa.array(a)), text.take(pa.array(a)), types[0], pc.if_else(pa.array(n > 0), joined, fallback),
-            text.take(pa.array(b)), types[1], pa.array(np.maximum(0.3, 0.8 - distance * 0.05)), pa.repeat("entity", len(a)),
-            pa.array(distance.astype(np.int32)),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        columns = {
+            "doc_id": ids.take(pa.array(a)), "subject": text.take(pa.array(a)), "subject_type": types[0],
+            "relation": pc.if_else(pa.array(n > 0), joined, fallback), "object": text.take(pa.array(b)), "object_type": types[1],
+            "confidence": pa.array(np.maximum(0.3, 0.8 - distance * 0.05)), "method": pa.repeat("entity", len(a)),
+            "distance": pa.array(distance.astype(np.int32)),
+        }
+        yield pa.table(columns)
 
 
 def first_of_triple(relations: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -365,17 +495,142 @@ def extract_relations(routes: list[DataFrame], by: str = "doc_id") -> DataFrame:
     return first_of_triple(rows, [by], [route, F.col("subject"), F.col("relation"), F.col("object")])
 
 
-def count_routes(routes: list[DataFrame], by: str = "doc_id") -> DataFrame:
-    """``by, method, relations``: how many triples of a text each of ``extract_relations``' routes keeps.
+def lone_texts(df: DataFrame, by: str = "doc_id", limit: int = Settings.broadcast_rows) -> DataFrame:
+    """Adds ``alone``: true if the row has an id that no other row has. Only ids are read and moved for it,
+    unless more than ``limit`` of them are repeated."""
+    ids = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_rows"))
+    many = ids.where(F.col("_rows") > 1).select(by, F.lit(True).alias("_many"))
+    if is_small(many, limit):
+        many = F.broadcast(many)
+    alone = F.col(by).isNotNull() & F.col("_many").isNull()
+    return df.join(many, by, "left").select(*df.columns, alone.alias("alone"))
+
+
+# Bytes of the texts whose relations are held at a time; a longer text is read by itself.
+_STEP_BYTES = 1 << 20
 
-    Only the triples move, already without the copies that a task sees.
+Routes = Callable[[pa.Table], list[Iterable[pa.Table]]]
+
+
+def count_routes(texts: DataFrame, routes: Routes) -> DataFrame:
+    """``doc_id, method, relations``: how many triples of a text each of ``extract_relations``' routes keeps.
+
+    ``texts`` has one row per text: ``doc_id``, ``alone`` (``lone_texts``), its ``runs``, and what else the routes read. ``routes`` makes of Arrow rows of whole texts, with numbers for ids, the relations (doc_id, subject, relation,
+    object) of each of ``ROUTES``. The triples of a text that is alone meet where it lies, only their number moves.
+    Those of rows that share an id or have none, and of texts of over ``_STEP_BYTES``, are shuffled, without the
+    copies that a step sees.
     """
-    route = F.array_position(F.array(*map(F.lit, ROUTES)), F.col("method")).cast("int").alias("route")
-    keys = [t.strip(F.lower(F.col(c))).alias(f"_k{i}") for i, c in enumerate(("subject", "relation", "object"))]
-    parts = [r.select(by, *keys, route).where((F.col("_k0") != "") & (F.col("_k1") != "") & (F.col("_k2") != "")) for r in routes]
-    once = union_all(parts).groupBy(by, "_k0", "_k1", "_k2").agg(F.min("route").alias("route"))
-    found = once.groupBy(by, "route").agg(F.count("*").alias("relations"))
-    return found.select(by, F.get(F.array(*map(F.lit, ROUTES)), F.col("route") - 1).alias("method"), "relations")
+    texts = texts.select("doc_id", *[c for c in texts.columns if c != "doc_id"])
+    keys = [T.StructField(f"_k{i}", T.StringType()) for i in range(3)]
+    kept = T.StructType([texts.schema["doc_id"], *keys, T.StructField("route", T.IntegerType()), T.StructField("n", T.LongType())])
+    arrow = to_arrow_schema(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _whole_texts(batches):
+            for step in _text_steps(some):
+                for columns in _step_counts(step, routes):
+                    yield from pa.Table.from_arrays(columns, schema=arrow).to_batches(1 << 16)
+
+    found = texts.mapInArrow(run, kept)
+    # A text that was counted has no keys and one row for each route.
+    counted = F.when(F.col("_k0").isNull(), F.col("route")).alias("_counted")
+    once = found.groupBy("doc_id", "_k0", "_k1", "_k2", counted).agg(F.min("route").alias("route"), F.max("n").alias("n"))
+    total = once.groupBy("doc_id", "route").agg(F.sum("n").alias("relations"))
+    return total.select("doc_id", F.get(F.array(*map(F.lit, ROUTES)), F.col("route") - 1).alias("method"), "relations")
+
+
+def _text_steps(texts: pa.Table) -> Iterator[pa.Table]:
+    """Rows of at most ``_STEP_BYTES``, or of one text that has more; rows of a text stay together."""
+    # The rows and the bytes up to the end of each text.
+    rows = np.append(np.flatnonzero(np.diff(_text_numbers(_column(texts, "doc_id")))) + 1, texts.num_rows)
+    size = np.cumsum(_run_bytes(texts))[rows - 1]
+    first = at = 0
+    while at < len(rows):
+        before = int(size[at - 1]) if at else 0
+        at = max(int(np.searchsorted(size, before + _STEP_BYTES, "right")), at + 1)
+        yield texts.slice(first, int(rows[at - 1]) - first)
+        first = int(rows[at - 1])
+
+
+def _run_bytes(texts: pa.Table) -> np.ndarray:
+    lists = _column(texts, "runs")
+    up_to = np.concatenate([[0], np.cumsum(pc.binary_length(lists.flatten()).to_numpy(), dtype=np.int64)])
+    return np.diff(up_to[np.concatenate([[0], np.cumsum(_lengths(lists))])])
+
+
+def _step_counts(rows: pa.Table, routes: Routes) -> Iterator[list[pa.Array]]:
+    ids, rows = _column(rows, "doc_id"), rows.combine_chunks()
+    numbers = _text_numbers(ids)
+    firsts = np.flatnonzero(np.diff(numbers, prepend=-1))
+    alone = _true(_column(rows, "alone"))[firsts]
+    known = _true(ids.is_valid())
+    # The last place is that of rows without an id.
+    ids, alone = ids.take(pa.array([*firsts, None], pa.int64())), np.append(alone, False)
+    found = routes(rows.set_column(rows.schema.get_field_index("doc_id"), "doc_id", pa.array(numbers, mask=~known)))
+    parts = ((route, part) for route, many in enumerate(found, 1) for part in many if part.num_rows)
+    if _run_bytes(rows).sum() > _STEP_BYTES:
+        for part in parts:
+            yield from _distinct([part], ids, alone & False)
+    else:
+        yield from _distinct([*parts], ids, alone)
+
+
+def _distinct(parts: list[tuple[int, pa.Table]], ids: pa.Array, alone: np.ndarray) -> Iterator[list[pa.Array]]:
+    """Different triples of the texts that are not alone, and the number that each route keeps of the others."""
+    if not parts:
+        return
+    text = np.concatenate([pc.fill_null(x["doc_id"], len(ids) - 1).to_numpy() for _, x in parts])
+    route = np.repeat(np.array([r for r, _ in parts]), [x.num_rows for _, x in parts])
+    codes, forms = _forms([[c for _, x in parts for c in x[name].chunks] for name in TRIPLE])
+    full = np.flatnonzero(np.all([c >= 0 for c in codes], axis=0))
+    if not len(full):
+        return
+    # Parts come by route, so the first of equal triples is that of the route that keeps it.
+    _, first = np.unique(_packed([text[full], *[c[full] for c in codes]]), return_index=True)
+    first = full[first]
+    own = alone[text[first]]
+    cells, n = np.unique(text[first[own]] * (len(ROUTES) + 1) + route[first[own]], return_counts=True)
+    none = pa.nulls(len(n), pa.string())
+    at, by_route = np.divmod(cells, len(ROUTES) + 1)
+    yield [ids.take(pa.array(at)), none, none, none, pa.array(by_route, pa.int32()), pa.array(n, pa.int64())]
+    first = first[~own]
+    keys = [forms.take(pa.array(c[first])) for c in codes]
+    yield [ids.take(pa.array(text[first])), *keys, pa.array(route[first], pa.int32()), pa.array(np.ones(len(first), np.int64))]
+
+
+def _forms(columns: list[list[pa.Array]]) -> tuple[np.ndarray, pa.Array]:
+    """Codes of the lower-case, trimmed values of each column, -1 if null or empty; the values of the codes."""
+    coded = [[_coded(c) for c in chunks] for chunks in columns]
+    # Chunks that share a dictionary have its values looked at once.
+    names, begins, size = [], {}, 0
+    for c in (c for chunks in coded for c in chunks):
+        values = c.dictionary
+        key = (values.offset, len(values), *[b.address if b else 0 for b in values.buffers()])
+        if key not in begins:
+            begins[key], size = size, size + len(values)
+            names.append(values)
+    low = pc.utf8_trim(t.lower_values(pa.concat_arrays(names)), t.SPACE_CHARS)
+    forms = pc.if_else(pc.equal(low, ""), None, low).dictionary_encode()
+    places = np.append(pc.fill_null(forms.indices, -1).to_numpy(), -1)
+
+    def codes(c: pa.DictionaryArray) -> np.ndarray:
+        values = c.dictionary
+        at = begins[(values.offset, len(values), *[b.address if b else 0 for b in values.buffers()])]
+        return places[pc.fill_null(pc.add(c.indices, at), -1).to_numpy()]
+
+    return [np.concatenate([codes(c) for c in chunks]) for chunks in coded], forms.dictionary
+
+
+def _packed(columns: list[np.ndarray]) -> np.ndarray:
+    """Equal numbers for equal rows, and only for them."""
+    key, size = columns[0].astype(np.int64), int(columns[0].max()) + 1
+    for column in columns[1:]:
+        width = int(column.max()) + 1
+        if size * width >= 1 << 62:
+            names, key = np.unique(key, return_inverse=True)
+            size = len(names)
+        key, size = key * width + column, size * width
+    return key
 
 
 def relation_counts(relations: DataFrame, *by: str) -> DataFrame:

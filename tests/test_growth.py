@@ -1,13 +1,18 @@
 """What kept queries from growing in proportion to their input."""
 
+import random
 import re
+import sys
+import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import text as t
 from docloom.operators import compress, entities, relations, stats, summarize
+from docloom.plans import nlp_queries
 from docloom.plans.registry import Tables
 from tests.conftest import SF
 
@@ -134,6 +139,75 @@ def test_pairs_of_entities_and_words_between_them(spark):
     ]
 
 
+def _routes_apart(db):
+    """Triples by route, made by the operators on tables and matched in Spark."""
+    tokens = nlp_queries._tokens(db)
+    apart = [
+        relations.pattern_relations(db.documents.select("doc_id", "text")), relations.dependency_relations(tokens, together=True),
+        relations.marked_pair_relations(nlp_queries._marked(tokens)),
+    ]
+    return relations.extract_relations(apart)
+
+
+def test_routes_read_texts_once_and_count_triples_where_they_lie(spark, tmp_path):
+    """Each route read the texts, and all triples were shuffled. Ids may be missing or come twice."""
+    long = "Ann uses Bob in Rome and ΟΔΟΣ has Cy in Oslo, İda sees Eve at home. " * 3
+    rows = [(1, long), (2, "ann is in rome and bob is in rome"), (3, None), (2, "ann is in oslo and the bob is in rome")]
+    rows += [(None, "the sea has salt in it"), (None, "the sea has salt in it"), (5, ""), (6, "Zoe_a HAS\u00a0Zoe_b. zoe_a has zoe_b")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = Tables(spark, str(tmp_path))
+    found = nlp_queries.relation_routes(db)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\(\d+\) MapInArrow|MapInArrow run", plan)) == 1 and plan.count("ReadSchema: struct<doc_id:bigint,text:string>") == 1
+    want = _routes_apart(db).groupBy("doc_id", "method").agg(F.count("*").alias("relations"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert {r.method for r in want.collect()} == set(relations.ROUTES)
+
+
+def test_counts_of_routes_do_not_depend_on_steps(documents, monkeypatch):
+    """Texts that are counted and texts whose triples are given, which long ones are, agree."""
+    rows = documents.limit(40).select("doc_id", F.lit(True).alias("alone"), relations.runs(F.col("text")).alias("runs")).toArrow()
+
+    def routes(texts):
+        texts = relations.with_words(texts)
+        tokens = nlp_queries._token_rows(texts)
+        marked = nlp_queries._marked_rows(tokens)
+        return [relations.pattern_relations(texts), relations.dependency_relations(tokens), relations.marked_pair_relations(marked)]
+
+    def found(size):
+        monkeypatch.setattr(relations, "_STEP_BYTES", size)
+        steps = (x for some in relations._whole_texts(iter(rows.to_batches(7))) for x in relations._text_steps(some))
+        return [row for step in steps for columns in relations._step_counts(step, routes) for row in zip(*[c.to_pylist() for c in columns])]
+
+    whole = {(r[0], r[4]): r[5] for r in found(1 << 30)}
+    some = {(r[0], r[4]): r[5] for r in found(1 << 12) if r[1] is None}
+    assert 0 < len(some) < len(whole) and some.items() <= whole.items()
+    triples = {}
+    for doc, *key, route, _ in found(1):
+        triples[doc, *key] = min(route, triples.get((doc, *key), route))
+    assert Counter((key[0], route) for key, route in triples.items()) == whole
+
+
+def test_relations_of_runs_are_those_of_the_patterns(spark):
+    deal = random.Random(5)
+    words = "is a A are ARE in IN at has HAS uſes uses \u0131n \u0130n İs includes leads to works for employed by located x Ann _ éa ΣΑΣ 7 was".split()
+    gaps = [" "] * 9 + ["  ", "\n", "\u00a0", "\x1c", "\u2028 ", ", ", ". ", "-", "\u200b"]
+    texts = ["".join(deal.choice(words) + deal.choice(gaps) for _ in range(deal.randint(0, 40))) for _ in range(1500)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, relations.pattern_relations(df, context=False).select("doc_id", *relations.TRIPLE).collect()))
+    rows = relations.with_words(df.select("doc_id", relations.runs(F.col("text")).alias("runs")).toArrow().combine_chunks())
+    got = pa.concat_tables(relations.pattern_relations(rows)).select(["doc_id", *relations.TRIPLE]).to_pylist()
+    assert len(want) > 1000 and sorted(tuple(r.values()) for r in got) == want
+
+
+def test_lower_case_of_values_is_that_of_spark(spark):
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "L"]
+    rows = spark.createDataFrame(pa.table({"w": [*letters, "ΟΔΟΣ", "ΟΔΟΣ_ΧΑ", "ΣΑ", "ΑΣ́", "aİb", "ÄÖ É", "", None]}))
+    rows = rows.select("w", F.lower("w").alias("low")).toArrow().combine_chunks()
+    assert t.lower_values(rows["w"].chunk(0)).to_pylist() == rows["low"].to_pylist()
+    assert t.lower_values(pa.array(["ÄB", None, "ſ"])).to_pylist() == ["äb", None, "ſ"]
+
+
 def test_word_places_are_those_of_matches(spark):
     rows = [("ab, c  d",), ("",), (None,), ("...",), ("ünd İx 𝒳y z",)]
     df = spark.createDataFrame(rows, "text string").coalesce(1)
