@@ -164,6 +164,22 @@ def test_routes_read_texts_once_and_count_triples_where_they_lie(spark, tmp_path
     assert {r.method for r in want.collect()} == set(relations.ROUTES)
 
 
+def test_arrow_tokens_are_those_of_the_table(spark, documents):
+    some = documents.limit(30).unionByName(spark.createDataFrame([(-1, "Éa ŒB\u00a0ǅz Σ_ΑΣ\n7 İx"), (-2, None)], "doc_id long, text string"), True)
+    some = spark.createDataFrame(some.select("doc_id", "text").collect(), "doc_id long, text string")
+    rows = some.select("doc_id", relations.runs(F.col("text")).alias("runs")).toArrow().combine_chunks()
+    tokens = nlp_queries._token_rows(relations.with_words(rows))
+    marked = nlp_queries._marked_rows(tokens)
+    db = type("Db", (), {"documents": some})
+    table = nlp_queries._tokens(db)
+
+    def plain(found):
+        return [{k: {**v.asDict()} if hasattr(v, "asDict") else v for k, v in r.asDict().items()} for r in found.collect()]
+
+    assert sorted(map(str, tokens.to_pylist())) == sorted(map(str, plain(table)))
+    assert sorted(map(str, marked.to_pylist())) == sorted(map(str, plain(nlp_queries._marked(table))))
+
+
 def test_counts_of_routes_do_not_depend_on_steps(documents, monkeypatch):
     """Texts that are counted and texts whose triples are given, which long ones are, agree."""
     rows = documents.limit(40).select("doc_id", F.lit(True).alias("alone"), relations.runs(F.col("text")).alias("runs")).toArrow()
