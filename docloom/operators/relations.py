@@ -506,8 +506,9 @@ def lone_texts(df: DataFrame, by: str = "doc_id", limit: int = Settings.broadcas
     return df.join(many, by, "left").select(*df.columns, alone.alias("alone"))
 
 
-# Bytes of the texts whose relations are held at a time; a longer text is read by itself.
+# Bytes of the texts that are read at a time (a longer text is read by itself), and triples that are held.
 _STEP_BYTES = 1 << 20
+_STEP_TRIPLES = 1 << 20
 
 Routes = Callable[[pa.Table], list[Iterable[pa.Table]]]
 
@@ -515,9 +516,10 @@ Routes = Callable[[pa.Table], list[Iterable[pa.Table]]]
 def count_routes(texts: DataFrame, routes: Routes) -> DataFrame:
     """``doc_id, method, relations``: how many triples of a text each of ``extract_relations``' routes keeps.
 
-    ``texts`` has one row per text: ``doc_id``, ``alone`` (``lone_texts``), its ``runs``, and what else the routes read. ``routes`` makes of Arrow rows of whole texts, with numbers for ids, the relations (doc_id, subject, relation,
+    ``texts`` has one row per text: ``doc_id``, ``alone`` (``lone_texts``), its ``runs``, and what else the routes read.
+    ``routes`` makes of Arrow rows of whole texts, with numbers for ids, the relations (doc_id, subject, relation,
     object) of each of ``ROUTES``. The triples of a text that is alone meet where it lies, only their number moves.
-    Those of rows that share an id or have none, and of texts of over ``_STEP_BYTES``, are shuffled, without the
+    Those of rows that share an id or have none, and of steps with over ``_STEP_TRIPLES``, are shuffled, without the
     copies that a step sees.
     """
     texts = texts.select("doc_id", *[c for c in texts.columns if c != "doc_id"])
@@ -567,16 +569,20 @@ def _step_counts(rows: pa.Table, routes: Routes) -> Iterator[list[pa.Array]]:
     # The last place is that of rows without an id.
     ids, alone = ids.take(pa.array([*firsts, None], pa.int64())), np.append(alone, False)
     found = routes(rows.set_column(rows.schema.get_field_index("doc_id"), "doc_id", pa.array(numbers, mask=~known)))
-    parts = ((route, part) for route, many in enumerate(found, 1) for part in many if part.num_rows)
-    if _run_bytes(rows).sum() > _STEP_BYTES:
-        for part in parts:
-            yield from _distinct([part], ids, alone & False)
-    else:
-        yield from _distinct([*parts], ids, alone)
+    held, n = [], 0
+    for route, part in ((route, part) for route, many in enumerate(found, 1) for part in many):
+        held.append((route, part.select(["doc_id", *TRIPLE])))
+        n += part.num_rows
+        if n > _STEP_TRIPLES:
+            alone = alone & False
+            yield from _distinct(held, ids, alone)
+            held, n = [], 0
+    yield from _distinct(held, ids, alone)
 
 
 def _distinct(parts: list[tuple[int, pa.Table]], ids: pa.Array, alone: np.ndarray) -> Iterator[list[pa.Array]]:
     """Different triples of the texts that are not alone, and the number that each route keeps of the others."""
+    parts = [(route, part) for route, part in parts if part.num_rows]
     if not parts:
         return
     text = np.concatenate([pc.fill_null(x["doc_id"], len(ids) - 1).to_numpy() for _, x in parts])
@@ -598,7 +604,7 @@ def _distinct(parts: list[tuple[int, pa.Table]], ids: pa.Array, alone: np.ndarra
     yield [ids.take(pa.array(text[first])), *keys, pa.array(route[first], pa.int32()), pa.array(np.ones(len(first), np.int64))]
 
 
-def _forms(columns: list[list[pa.Array]]) -> tuple[np.ndarray, pa.Array]:
+def _forms(columns: list[list[pa.Array]]) -> tuple[list[np.ndarray], pa.Array]:
     """Codes of the lower-case, trimmed values of each column, -1 if null or empty; the values of the codes."""
     coded = [[_coded(c) for c in chunks] for chunks in columns]
     # Chunks that share a dictionary have its values looked at once.
